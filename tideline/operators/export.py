@@ -15,6 +15,13 @@ DROP_NULLS = {"ignoreNullFields": "true"}
 TOOLING_TABLES = ("PlatformEventChannelMember",)  # fixed value: rows deleted by the tooling route
 
 
+def json_ready(df: DataFrame, columns: Sequence[str]) -> Column:
+    """A struct of the columns, times as ISO text with all their digits."""
+    times = {f.name for f in df.schema.fields if f.dataType.typeName().startswith("timestamp")}
+    iso = [F.replace(F.col(c).cast("string"), F.lit(" "), F.lit("T")).alias(c) if c in times else F.col(c) for c in columns]
+    return F.struct(*iso)
+
+
 def rows_to_json(df: DataFrame, excluded: str | Iterable[str] = (), keys: Sequence[str] = (), out: str = "json") -> DataFrame:
     """One JSON object per row: no excluded columns, no column without a value.
 
@@ -23,13 +30,13 @@ def rows_to_json(df: DataFrame, excluded: str | Iterable[str] = (), keys: Sequen
     """
     shown = exclude_columns(df, excluded)
     columns = columns_with_values(shown)
-    return df.select(*keys, F.to_json(F.struct(*columns), KEEP_NULLS).alias(out))
+    return df.select(*keys, F.to_json(json_ready(df, columns), KEEP_NULLS).alias(out))
 
 
 def row_to_json(df: DataFrame, excluded: str | Iterable[str] = (), keys: Sequence[str] = (), out: str = "json") -> DataFrame:
     """Every row as JSON; excluded names must match in case here."""
     columns = exclude_columns(df, excluded, case_sensitive=True).columns
-    return df.select(*keys, F.to_json(F.struct(*columns), KEEP_NULLS).alias(out))
+    return df.select(*keys, F.to_json(json_ready(df, columns), KEEP_NULLS).alias(out))
 
 
 def distinct_to_xml(df: DataFrame, columns: Sequence[str], table: str, out: str = "xml") -> DataFrame:
@@ -55,9 +62,9 @@ def outbound_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame
     own, so the columns it has no value for are left out.
     """
     fields = [c for c in after.columns if c != key]
-    old = before.select(F.col(key).alias("_key"), F.struct(*fields).alias("_old"))
+    old = before.select(F.col(key).alias("_key"), json_ready(before, fields).alias("_old"))
     joined = after.join(old, after[key] == F.col("_key"), "left")
-    new = F.struct(*[after[f] for f in fields])
+    new = json_ready(after, fields)
     added = F.col("_key").isNull()
     op = F.when(added, F.lit("insert")).when(~F.col("_old").eqNullSafe(new), F.lit("update"))
     payload = F.when(added, F.to_json(new, DROP_NULLS)).otherwise(F.to_json(new, KEEP_NULLS))
