@@ -36,7 +36,10 @@ def change_events(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ())
 
     ``extra`` names columns of the table to carry along.
     """
-    e = table(spark, sf_dir, "events")
+    return change_events_of(table(spark, sf_dir, "events"), extra)
+
+
+def change_events_of(e: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     kind = F.col("event_type")
     value_set = kind.isin("click", "purchase", "signup")
     k_set = kind.isin("view", "purchase", "signup")

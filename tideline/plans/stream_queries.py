@@ -1,0 +1,131 @@
+"""Queries that run the feed as a stream over what has landed."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators import delta
+from ..session import work_dir
+from ..sources import feed, snapshot
+from ..streaming import apply as streams
+from ..streaming.replica import ReplicaLog
+from . import domain
+from .catalog import query
+from .feed_queries import DECODED, EV, LATEST, REASON
+
+EVENTS = T._parse_datatype_string("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+STATE = T._parse_datatype_string("record_id string, Value__c double, K__c int")
+
+
+def _event_stream(spark, sf_dir):
+    """The events table as a stream of change events."""
+    raw = streams.read_table_stream(spark, sf_dir, "events", EVENTS)
+    return domain.change_events_of(raw)
+
+
+def _envelope_stream(spark, sf_dir, max_files=4):
+    path = work_dir(spark, "landed")
+    domain.envelopes(spark, sf_dir).write.parquet(path)
+    return feed.read_envelopes(spark, path, max_files)
+
+
+LATEST_APPLIED = f"""WITH {EV}, ok AS (SELECT *, CASE WHEN raw_value NOT BETWEEN 10 AND 12 THEN Value__c END AS v, CASE WHEN raw_value NOT BETWEEN 10 AND 12 THEN K__c END AS k FROM ev WHERE ({REASON}) IS NULL)
+    SELECT entity, record_id, v AS Value__c, k AS K__c FROM ok a WHERE change_type <> 'DELETE'
+    AND NOT EXISTS (SELECT 1 FROM ok b WHERE b.record_id = a.record_id AND (b.commit_ts > a.commit_ts OR (b.commit_ts = a.commit_ts AND b.replay_id > a.replay_id)))"""
+
+
+def _applied(spark, sf_dir):
+    decoded = feed.decode_events(feed.split_envelopes(_envelope_stream(spark, sf_dir)), domain.PAYLOAD)
+    path = work_dir(spark, "replica")
+    log = ReplicaLog(spark, path, ["entity", "record_id"], T.StructType([T.StructField("entity", T.StringType()), *STATE.fields]))
+    streams.apply_feed(decoded, log, path + "/dead", path + "/checkpoint")
+    return log, path
+
+
+@query("stream_apply", LATEST_APPLIED)
+def stream_apply(spark, sf_dir):
+    log, _ = _applied(spark, sf_dir)
+    return log.current()
+
+
+@query("stream_compact", LATEST_APPLIED)
+def stream_compact(spark, sf_dir):
+    log, _ = _applied(spark, sf_dir)
+    log.compact()
+    return log.current()
+
+
+@query("stream_dead_letter", f"WITH {EV} SELECT topic, replay_id, {REASON} AS reason FROM ev WHERE ({REASON}) IS NOT NULL")
+def stream_dead_letter(spark, sf_dir):
+    _, path = _applied(spark, sf_dir)
+    return spark.read.parquet(path + "/dead").select("topic", "replay_id", "reason")
+
+
+@query(
+    "stream_replay_from",
+    f"WITH {EV} SELECT record_id, replay_id, change_type FROM ev WHERE replay_id > (SELECT min(event_id) FROM events WHERE ts >= TIMESTAMP '2024-01-15')",
+)
+def stream_replay_from(spark, sf_dir):
+    resume = domain.table(spark, sf_dir, "events").filter(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")).agg(F.min("event_id")).first()[0]
+    rows = feed.start_after(_event_stream(spark, sf_dir), resume).select("record_id", "replay_id", "change_type")
+    out = work_dir(spark, "replay")
+    return streams.run_to_table(rows, out, out + "-checkpoint")
+
+
+@query(
+    "stream_schema_join",
+    f"""WITH {EV} SELECT replay_id, CASE WHEN raw_value >= 2 THEN 'S-' || entity END AS schema_id, CASE WHEN raw_value >= 2 THEN '{{"type":"record","name":"' || entity || '"}}' END AS schema_json FROM ev""",
+)
+def stream_schema_join(spark, sf_dir):
+    events = feed.split_envelopes(_envelope_stream(spark, sf_dir)).select("replay_id", "schema_id")
+    joined = feed.join_schemas(events, domain.schema_registry(spark, sf_dir)).select("replay_id", "schema_id", "schema_json")
+    out = work_dir(spark, "schemas")
+    return streams.run_to_table(joined, out, out + "-checkpoint")
+
+
+@query("stream_state", LATEST.replace("SELECT record_id, commit_ts, replay_id, change_type, Value__c, K__c", "SELECT record_id, Value__c, K__c"))
+def stream_state(spark, sf_dir):
+    path = work_dir(spark, "state")
+    log = ReplicaLog(spark, path, ["record_id"], STATE)
+    state = streams.keyed_state(_event_stream(spark, sf_dir), ["record_id"], ["Value__c", "K__c"], ["commit_ts", "replay_id"])
+    streams.run_keyed_state(state, log, path + "/checkpoint")
+    return log.current()
+
+
+@query(
+    "stream_multi_topic",
+    f"""WITH {EV} SELECT topic, replay_id, entity, change_type, CASE WHEN raw_value NOT BETWEEN 10 AND 12 THEN Value__c END AS Value__c,
+    CASE WHEN raw_value NOT BETWEEN 10 AND 12 THEN K__c END AS K__c FROM ev WHERE ({REASON}) IS NULL AND entity <> 'Account'""",
+)
+def stream_multi_topic(spark, sf_dir):
+    wanted = domain.with_topic(domain.change_events(spark, sf_dir).filter(F.col("entity") != "Account")).select("topic")
+    decoded = feed.decode_events(feed.split_envelopes(feed.only_topics(_envelope_stream(spark, sf_dir), wanted)), domain.PAYLOAD)
+    good, _ = delta.split_dead_letters(decoded)
+    out = work_dir(spark, "topics")
+    return streams.run_to_table(good.select(*DECODED), out, out + "-checkpoint")
+
+
+PARTNER = T._parse_datatype_string("as2_id string, name string")
+
+
+@query(
+    "webhook_feed",
+    """SELECT 'P' || user_id AS as2_id, 'Partner ' || json_extract_string(props, '$.k') AS name FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'""",
+)
+def webhook_feed(spark, sf_dir):
+    e = domain.table(spark, sf_dir, "events")
+    body = F.struct(
+        F.when(F.col("event_type") == "error", F.lit("delete")).otherwise(F.lit("update")).alias("change_type"),
+        F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("as2_id"),
+        F.concat(F.lit("Partner "), F.get_json_object("props", "$.k")).alias("name"),
+        F.col("ts").cast("string").alias("commit_ts"),
+        F.col("event_id").alias("replay_id"),
+    )
+    path = work_dir(spark, "webhook")
+    e.select(F.to_json(body)).write.text(path + "/bodies")
+    schema = "change_type string, as2_id string, name string, commit_ts timestamp_ntz, replay_id bigint"
+    bodies = snapshot.read_webhook_bodies(spark, path + "/bodies", schema, max_files=8)
+    log = ReplicaLog(spark, path + "/partners", ["as2_id"], PARTNER)
+    streams.run_batches(bodies, lambda batch, batch_id: log.append(batch, batch_id), path + "/checkpoint")
+    return log.current()
