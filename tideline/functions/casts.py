@@ -146,10 +146,8 @@ def cast_error(value: Column, meta: ColumnMeta) -> Column:
 def cast_columns(df: DataFrame, metas: list[ColumnMeta], keep: list[str] = ()) -> DataFrame:
     """Cast every described column; ``errors`` names each refused column and why."""
     typed = [cast_as(empty_to_null(F.col(m.name)), m.data_type).alias(m.name) for m in metas]
-    reasons = [
-        F.when(cast_error(F.col(m.name), m).isNotNull(), F.concat(F.lit(f"{m.name}: "), cast_error(F.col(m.name), m)))
-        for m in metas
-    ]
+    # concat() with a NULL is NULL and concat_ws() skips it: only refusals are listed.
+    reasons = [F.concat(F.lit(f"{m.name}: "), cast_error(F.col(m.name), m)) for m in metas]
     return df.select(*keep, *typed, F.nullif(F.concat_ws("; ", *reasons), F.lit("")).alias("errors"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.casts import INTEGER_TEXT
+from .once import computed_once
 
 # Transaction sets that have a name.
 SET_NAMES = {"850": "PO", "856": "ASN", "810": "INV", "997": "FA"}
@@ -24,7 +25,11 @@ ORDER_DDL = (
     "struct<_Id:string,_Name:string,CreatedDate:timestamp_ntz,Status__c:string,EdiStatus:string,EDI_Seed:string,"
     f"Account:{ACCOUNT_DDL},OrderItem:array<{ITEM_DDL}>>"
 )
-ROOT_NAME = r"^(?:\ufeff)?\s*(?:<\?[^>]*\?>\s*)?(?:<!--(?s:.*?)-->\s*)*<([A-Za-z_][\w.-]*)"
+PROLOG = r"^\ufeff?\s*<\?xml[^>]*\?>"
+ENVELOPE_DDL = (
+    "struct<Orders:array<struct<Order:array<struct<EDI_Seed:string>>,xs_any:array<string>>>,"
+    "xs_any:array<string>,_VALUE:string,_bad:string>"
+)
 
 MANY_ROOTS = "more_than_one_document"
 NOT_ORDERS = "not_an_orders_document"
@@ -44,26 +49,37 @@ def parse_order(xml: Column) -> Column:
     return F.from_xml(xml, ORDER_DDL, {"rowTag": "Order"})
 
 
+def _count(array: Column) -> Column:
+    return F.coalesce(F.size(array), F.lit(0))
+
+
 def validate_documents(df: DataFrame, xml: str) -> DataFrame:
     """Adds ``problem`` (NULL when the document can go out) and ``control_number``.
 
-    The document is parsed as the root element, so it needs no second pass:
-    ``Order`` under it gives the order, the count of children is taken by xpath.
+    The text is parsed once, inside an outer element: what follows the root
+    shows up as a second root or as text, which the parser alone would not
+    report.  Element names match in any case.
     """
-    root = F.regexp_extract(F.col(xml), ROOT_NAME, 1)
-    parsed = F.from_xml(F.col(xml), "struct<Order:array<struct<EDI_Seed:string>>,_bad:string>", {"rowTag": "Orders", "columnNameOfCorruptRecord": "_bad"})
-    checked = df.withColumn("_root", F.lower(root)).withColumn("_doc", parsed)
-    children = F.size(F.xpath(F.when(F.col("_doc._bad").isNull(), F.col(xml)), F.lit("/*/*")))
-    seed = F.col("_doc.Order")[0]["EDI_Seed"]
+    outer = F.concat(F.lit("<w>"), F.regexp_replace(xml, PROLOG, ""), F.lit("</w>"))
+    parsed = F.from_xml(outer, ENVELOPE_DDL, {"rowTag": "w", "columnNameOfCorruptRecord": "_bad"})
+    doc = computed_once(df, "_doc", parsed)
+    roots = _count(F.col("_doc.Orders")) + _count(F.col("_doc.xs_any"))
+    stray = F.trim(F.coalesce("_doc._VALUE", F.lit(""))) != ""
+    broken = F.col("_doc").isNull() | F.col("_doc._bad").isNotNull() | (roots != 1) | stray
+    orders = F.try_element_at("_doc.Orders", F.lit(1))
+    # Children of another root are counted by a second parse, of those documents only.
+    other = F.when(~broken & orders.isNull(), F.from_xml(xml, "struct<xs_any:array<string>>", {"rowTag": "w"}))
+    children = F.when(orders.isNotNull(), _count(orders["Order"]) + _count(orders["xs_any"])).otherwise(_count(other["xs_any"]))
+    seed = F.try_element_at(orders["Order"], F.lit(1))["EDI_Seed"]
     number = F.when(seed.rlike(INTEGER_TEXT), F.trim(seed).try_cast("int"))
     problem = (
-        F.when(F.col("_doc").isNull() | F.col("_doc._bad").isNotNull(), F.lit(BROKEN))
+        F.when(broken, F.lit(BROKEN))
         .when(children > 1, F.lit(MANY_ROOTS))
-        .when(F.col("_root") != "orders", F.lit(NOT_ORDERS))
-        .when(F.coalesce(F.size("_doc.Order"), F.lit(0)) == 0, F.lit(NO_ORDER))
+        .when(orders.isNull(), F.lit(NOT_ORDERS))
+        .when(_count(orders["Order"]) == 0, F.lit(NO_ORDER))
         .when(number.isNull(), F.lit(BAD_SEED))
     )
-    return checked.withColumn("problem", problem).withColumn("control_number", number).drop("_root", "_doc")
+    return doc.withColumns({"problem": problem, "control_number": number}).drop("_doc")
 
 
 def interchange_headers(documents: DataFrame, sender: Column, receiver: Column, date: Column, is_production: bool = False) -> DataFrame:

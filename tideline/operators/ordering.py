@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shuffle_width
+from ..session import cut_lineage
 from .keys import drop_matching, hot_keys, keep_matching
 
 HOT_ROWS = 5_000_000
@@ -25,11 +25,12 @@ def _range_sorted(df: DataFrame, sort: Sequence[Column], partitions: int | None)
     """Rows in global order: ``_part`` is the partition, ``_pos`` the place in it.
 
     The checkpoint fixes the range borders, so that the count and the rows seen
-    later agree even if tasks are run again.
+    later agree even if tasks are run again.  Without ``partitions`` the session's
+    shuffle width is used and AQE merges what is small.
     """
-    width = partitions or shuffle_width(df.sparkSession)
     ids = F.monotonically_increasing_id()
-    ranged = df.repartitionByRange(width, *sort).sortWithinPartitions(*sort).withColumn("_id_in_order", ids)
+    spread = df.repartitionByRange(partitions, *sort) if partitions else df.repartitionByRange(*sort)
+    ranged = spread.sortWithinPartitions(*sort).withColumn("_id_in_order", ids)
     fixed = cut_lineage(ranged)
     return fixed.withColumn("_part", F.shiftright("_id_in_order", _POSITION_BITS)).withColumn(
         "_pos", F.col("_id_in_order").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
@@ -50,8 +51,8 @@ def global_row_number(df: DataFrame, order: Sequence[Column], out: str, partitio
     return indexed.withColumn(out, (F.col("_index") + 1).cast("bigint")).drop("_part", "_pos", "_index")
 
 
-def _split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    hot = cut_lineage(hot_keys(df, keys, hot_rows))
+def _split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int, count_on: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    hot = cut_lineage(hot_keys(df if count_on is None else count_on, keys, hot_rows))
     if hot.isEmpty():
         return df, None
     return drop_matching(df, hot, keys, null_safe=True), keep_matching(df, hot, keys, null_safe=True)
@@ -64,9 +65,14 @@ def row_number_within(
     out: str,
     hot_rows: int = HOT_ROWS,
     partitions: int | None = None,
+    count_on: DataFrame | None = None,
 ) -> DataFrame:
-    """1-based place of every row inside its group."""
-    cold, hot = _split_hot(df, keys, hot_rows)
+    """1-based place of every row inside its group.
+
+    ``count_on`` is a cheaper frame with the same groups to find hot ones in,
+    as when ``df`` is a join that adds no rows.
+    """
+    cold, hot = _split_hot(df, keys, hot_rows, count_on)
     numbered = cold.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     if hot is None:
         return numbered
@@ -113,13 +119,14 @@ def collect_in_parts(
     out: str,
     max_items: int,
     hot_rows: int = HOT_ROWS,
+    count_on: DataFrame | None = None,
 ) -> DataFrame:
     """Items of each group in order, as arrays of at most ``max_items``.
 
     One row per (group, ``part_no``): a group of any size stays whole, and no
     task ever holds more than one part of it.
     """
-    numbered = row_number_within(df, keys, order, "_seq", hot_rows)
+    numbered = row_number_within(df, keys, order, "_seq", hot_rows, count_on=count_on)
     return (
         numbered.select(
             *keys,

@@ -70,9 +70,17 @@ def status_after_documents(documents: DataFrame, key: str, order: Sequence[str],
     )
 
 
-def order_items(lines: DataFrame, key: str, order: Sequence[Column], item: Column, items_per_part: int = ITEMS_PER_PART, hot_rows: int = HOT_ROWS) -> DataFrame:
+def order_items(
+    lines: DataFrame,
+    key: str,
+    order: Sequence[Column],
+    item: Column,
+    items_per_part: int = ITEMS_PER_PART,
+    hot_rows: int = HOT_ROWS,
+    count_on: DataFrame | None = None,
+) -> DataFrame:
     """Items of each order in SeqNo order, in parts of a bounded size."""
-    return collect_in_parts(lines, [key], order, item, "items", items_per_part, hot_rows)
+    return collect_in_parts(lines, [key], order, item, "items", items_per_part, hot_rows, count_on)
 
 
 def order_documents(headers: DataFrame, parts: DataFrame, key: str, header: Sequence[Column], items_per_part: int = ITEMS_PER_PART) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.names import entity_topic, object_to_event
 from ..functions.text import type_tag
 from ..operators import apply, delta
-from ..session import work_dir
+from ..session import cut_lineage, work_dir
 from ..sources import feed
 from ..streaming import apply as streams
 from . import domain
@@ -46,7 +46,7 @@ def _landed(spark, sf_dir):
 )
 def change_feed(spark, sf_dir):
     stream = feed.read_envelopes(spark, _landed(spark, sf_dir), max_files=4)
-    topics = domain.with_topic(domain.change_events(spark, sf_dir)).select("topic")
+    topics = cut_lineage(feed.topic_set(domain.with_topic(domain.change_events(spark, sf_dir)).select("topic")))
     decoded = feed.decode_events(feed.split_envelopes(feed.only_topics(stream, topics)), domain.PAYLOAD)
     good, _ = delta.split_dead_letters(decoded)
     out = work_dir(spark, "change_feed")
@@ -70,8 +70,7 @@ def envelope_split(spark, sf_dir):
 )
 def payload_decode(spark, sf_dir):
     events = domain.wire_events(spark, sf_dir).select("replay_id", F.col("event.schema_id").alias("schema_id"), F.col("event.payload").alias("payload"))
-    record = feed.decode_payload(F.col("payload"), domain.PAYLOAD)
-    decoded = events.select("replay_id", "schema_id", record.alias("r")).filter(F.col("r").isNotNull() & F.col("schema_id").isNotNull())
+    decoded = feed.with_record(events.filter(F.col("schema_id").isNotNull()), domain.PAYLOAD, out="r").filter(F.col("r").isNotNull())
     return decoded.select("replay_id", "r.commit_ts", F.col("r.ChangeEventHeader").isNull().alias("headless"), "r.Value__c", "r.K__c")
 
 

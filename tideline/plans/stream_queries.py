@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import delta
-from ..session import work_dir
+from ..session import cut_lineage, work_dir
 from ..sources import feed, snapshot
 from ..streaming import apply as streams
 from ..streaming.replica import ReplicaLog
@@ -79,7 +79,7 @@ def stream_replay_from(spark, sf_dir):
 )
 def stream_schema_join(spark, sf_dir):
     events = feed.split_envelopes(_envelope_stream(spark, sf_dir)).select("replay_id", "schema_id")
-    joined = feed.join_schemas(events, domain.schema_registry(spark, sf_dir)).select("replay_id", "schema_id", "schema_json")
+    joined = feed.join_schemas(events, cut_lineage(domain.schema_registry(spark, sf_dir))).select("replay_id", "schema_id", "schema_json")
     out = work_dir(spark, "schemas")
     return streams.run_to_table(joined, out, out + "-checkpoint")
 
@@ -100,6 +100,7 @@ def stream_state(spark, sf_dir):
 )
 def stream_multi_topic(spark, sf_dir):
     wanted = domain.with_topic(domain.change_events(spark, sf_dir).filter(F.col("entity") != "Account")).select("topic")
+    wanted = cut_lineage(feed.topic_set(wanted))  # not scanned again for every micro-batch
     decoded = feed.decode_events(feed.split_envelopes(feed.only_topics(_envelope_stream(spark, sf_dir), wanted)), domain.PAYLOAD)
     good, _ = delta.split_dead_letters(decoded)
     out = work_dir(spark, "topics")

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import is_blank
+from ..functions.text import UNKNOWN
 from ..operators.delta import dead_letter_reason, header_fields
+from ..operators.once import computed_once
 
 EVENT_DDL = "struct<id:string,schema_id:string,payload:string,headers:array<struct<key:string,value:binary>>>"
 ENVELOPE_DDL = f"topic string, latest_replay_id bigint, events array<struct<event:{EVENT_DDL},replay_id:bigint>>"
@@ -62,27 +64,25 @@ def payload_schema(fields: dict[str, str]) -> T.StructType:
     return T._parse_datatype_string(f"ChangeEventHeader {HEADER_DDL}, commit_ts timestamp_ntz, {body}")
 
 
-def decode_payload(payload: Column, schema: T.StructType) -> Column:
-    """The record in a base64 JSON payload, NULL when it cannot be read."""
+def with_record(events: DataFrame, schema: T.StructType, payload: str = "payload", out: str = "record") -> DataFrame:
+    """Adds the record in a base64 JSON payload, NULL when it cannot be read."""
     text = F.try_to_binary(payload, F.lit("base64")).cast("string")
     corrupt = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    record = F.from_json(text, corrupt, {"columnNameOfCorruptRecord": "_corrupt"})
-    return F.when(record["_corrupt"].isNull(), record)
+    parsed = computed_once(events, "_parsed", F.from_json(text, corrupt, {"columnNameOfCorruptRecord": "_corrupt"}))
+    return parsed.withColumn(out, F.when(F.col("_parsed._corrupt").isNull(), F.col("_parsed"))).drop("_parsed")
 
 
 def decode_events(events: DataFrame, schema: T.StructType) -> DataFrame:
     """Header, change type and field columns of split events, with the refusal reason."""
-    fields = [f.name for f in schema.fields if f.name not in ("ChangeEventHeader",)]
-    decoded = events.withColumn("_r", decode_payload(F.col("payload"), schema))
-    flat = decoded.select(
+    data = [f.name for f in schema.fields if f.name not in ("ChangeEventHeader", "commit_ts")]
+    flat = with_record(events, schema, out="_r").select(
         *[c for c in events.columns if c not in ("payload", "reason")],
         F.col("reason").alias("_split_reason"),
         F.col("_r").isNotNull().alias("_decoded"),
         F.col("_r.ChangeEventHeader").alias("ChangeEventHeader"),
-        *[F.col(f"_r.{f}").alias(f) for f in fields],
+        *[F.col(f"_r.{f}").alias(f) for f in ("commit_ts", *data)],
     )
-    named = header_fields(flat).withColumn("change_type", F.coalesce(F.col("ChangeEventHeader.changeType"), F.lit("Unknown")))
-    data = [f for f in fields if f != "commit_ts"]
+    named = header_fields(flat).withColumn("change_type", F.coalesce(F.col("ChangeEventHeader.changeType"), F.lit(UNKNOWN)))
     filled = sum((F.col(f).isNotNull().cast("int") for f in data), F.lit(0))
     touched = F.size(F.array_intersect("changed_fields", F.array(*[F.lit(f) for f in data])))
     reason = dead_letter_reason(F.col("ChangeEventHeader"), F.col("_decoded"), F.col("change_type"), filled + touched)

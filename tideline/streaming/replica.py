@@ -57,11 +57,24 @@ class ReplicaLog:
         return -1 if row["v"] is None else row["v"]
 
     def folded(self) -> DataFrame:
-        """Last change of every record, tombstones included."""
+        """Last change of every record, tombstones included.
+
+        The base holds one row per record already, so only the later changes are
+        aggregated.  While they are few, Spark broadcasts them and the base is
+        neither shuffled nor sorted.
+        """
         version = self._base_version()
+        changes = self._read("changes", "batch").filter(F.col("batch") > version).drop("batch")
+        later = latest_state(changes, self.key, self.values, keep_deleted=True)
+        if version < 0:
+            return later
         base = self._read("base", "version").filter(F.col("version") == version).drop("version")
-        later = self._read("changes", "batch").filter(F.col("batch") > version).drop("batch")
-        return latest_state(base.unionByName(later), self.key, self.values, keep_deleted=True)
+        columns = [*EVENT_ORDER, "change_type", *self.values]
+        new = later.select(*self.key, F.struct(*columns).alias("_new"))
+        kept = base.select(*self.key, F.struct(*columns).alias("_old")).join(new, list(self.key), "left")
+        held = kept.select(*self.key, F.greatest("_old", "_new").alias("_last")).select(*self.key, "_last.*")
+        known = base.join(later.select(*self.key), list(self.key), "left_semi").select(*self.key)
+        return held.unionByName(later.join(known, list(self.key), "left_anti").select(*held.columns))
 
     def current(self) -> DataFrame:
         """The replica: records whose last change is no delete."""
