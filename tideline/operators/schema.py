@@ -130,7 +130,10 @@ def describe_fields(df: DataFrame, text: str) -> DataFrame:
 
 
 def json_token(doc: Column, name: str) -> Column:
-    """The raw JSON text of one property, strings with their quotes; NULL if missing or null."""
+    """The JSON text of one property, strings with their quotes; NULL if missing or null.
+
+    Numbers come in Spark's own text: ``1.50`` reads ``1.5``.
+    """
     value = F.try_variant_get(F.try_parse_json(doc), f"$.{name}", "variant")
     return F.to_json(F.when(~F.is_variant_null(value), value))
 

@@ -89,7 +89,7 @@ def _partner_views(spark, sf_dir):
     "SELECT event_id, 0 AS pos, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 1, 'type', event_type FROM events",
 )
 def json_doc_flatten(spark, sf_dir):
-    return json_docs.flatten_document(_partner_views(spark, sf_dir), "body", PARTNER_DDL, "attributes", ["event_id"])
+    return json_docs.flatten_document(_partner_views(spark, sf_dir), "body", "attributes", "struct<key:string,value:string>", ["event_id"])
 
 
 @query(

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import entity_topic, object_to_event
 from ..operators.ordering import HOT_ROWS
 from ..operators.orders import COMPLETED, DRAFT, IN_PRODUCTION, ITEMS_PER_PART, REVISION, SUBMITTED, order_documents, order_items
 from ..sources.feed import pack_envelopes, payload_schema
 
-DATA_FIELDS = {"Value__c": "double", "K__c": "int"}
+DATA_FIELDS = {"Value__c": T.DoubleType(), "K__c": T.IntegerType()}
 PAYLOAD = payload_schema(DATA_FIELDS)
 
 

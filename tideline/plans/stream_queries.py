@@ -14,8 +14,8 @@ from . import domain
 from .catalog import query
 from .feed_queries import DECODED, EV, LATEST, REASON
 
-EVENTS = T._parse_datatype_string("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
-STATE = T._parse_datatype_string("record_id string, Value__c double, K__c int")
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+STATE = T.StructType().add("record_id", T.StringType()).add("Value__c", T.DoubleType()).add("K__c", T.IntegerType())
 
 
 def _event_stream(spark, sf_dir):
@@ -107,7 +107,7 @@ def stream_multi_topic(spark, sf_dir):
     return streams.run_to_table(good.select(*DECODED), out, out + "-checkpoint")
 
 
-PARTNER = T._parse_datatype_string("as2_id string, name string")
+PARTNER = T.StructType().add("as2_id", T.StringType()).add("name", T.StringType())
 
 
 @query(

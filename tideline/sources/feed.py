@@ -19,7 +19,6 @@ from ..operators.once import computed_once
 
 EVENT_DDL = "struct<id:string,schema_id:string,payload:string,headers:array<struct<key:string,value:binary>>>"
 ENVELOPE_DDL = f"topic string, latest_replay_id bigint, events array<struct<event:{EVENT_DDL},replay_id:bigint>>"
-HEADER_DDL = "struct<entityName:string,changeType:string,recordIds:array<string>,changedFields:array<string>>"
 
 SCHEMA_MISSING = "schema_id_missing"
 PAYLOAD_MISSING = "payload_missing"
@@ -58,10 +57,14 @@ def split_envelopes(envelopes: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason)
 
 
-def payload_schema(fields: dict[str, str]) -> T.StructType:
-    """Payload record: header, commit time and the object's fields (name to DDL type)."""
-    body = ", ".join(f"`{n}` {t}" for n, t in fields.items())
-    return T._parse_datatype_string(f"ChangeEventHeader {HEADER_DDL}, commit_ts timestamp_ntz, {body}")
+def payload_schema(fields: dict[str, T.DataType]) -> T.StructType:
+    """Payload record: header, commit time and the object's fields."""
+    texts = T.ArrayType(T.StringType())
+    header = T.StructType().add("entityName", T.StringType()).add("changeType", T.StringType()).add("recordIds", texts).add("changedFields", texts)
+    record = T.StructType().add("ChangeEventHeader", header).add("commit_ts", T.TimestampNTZType())
+    for name, kind in fields.items():
+        record = record.add(name, kind)
+    return record
 
 
 def with_record(events: DataFrame, schema: T.StructType, payload: str = "payload", out: str = "record") -> DataFrame:

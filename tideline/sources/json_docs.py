@@ -44,13 +44,16 @@ def object_names(catalogs: DataFrame, text: str) -> DataFrame:
     return catalogs.select(F.explode(listed).alias("o")).select(F.col("o.name").alias("name")).filter(F.col("name") != "Name")
 
 
-def flatten_document(df: DataFrame, text: str, schema: str, array: str, keys: Sequence[str]) -> DataFrame:
+def flatten_document(df: DataFrame, text: str, element: str, item: str, keys: Sequence[str]) -> DataFrame:
     """Rows of one repeated element of a JSON document, with their position.
 
-    A single object where a list is expected counts as a list of one.
+    ``item`` is the DDL of one element.  A single object where a list is
+    expected counts as a list of one.
     """
-    parsed = F.from_json(text, schema)
-    return df.select(*keys, F.posexplode(parsed[array]).alias("pos", "item")).select(*keys, "pos", "item.*")
+    many = F.from_json(text, f"struct<`{element}`:array<{item}>>")[element]
+    one = F.from_json(text, f"struct<`{element}`:{item}>")[element]
+    items = F.coalesce(many, F.when(one.isNotNull(), F.array(one)))
+    return df.select(*keys, F.posexplode(items).alias("pos", "item")).select(*keys, "pos", "item.*")
 
 
 def document_to_xml(text: Column, schema: str, root: str = "Root") -> Column:

@@ -14,7 +14,7 @@ from .replica import ReplicaLog
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_table_stream(spark: SparkSession, folder: str, table: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+def read_table_stream(spark: SparkSession, folder: str, table: str, schema: T.StructType | str, max_files: int | None = None) -> DataFrame:
     """Stream over the parquet files of one table in a folder."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
     if max_files:

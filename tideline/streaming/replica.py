@@ -27,14 +27,13 @@ class ReplicaLog:
     path: str
     key: Sequence[str]
     schema: T.StructType
-    order_types: Sequence[str] = ("timestamp_ntz", "bigint")
 
     @property
     def values(self) -> list[str]:
         return [f.name for f in self.schema.fields if f.name not in self.key]
 
     def _stored_schema(self, number: str) -> T.StructType:
-        order = [T.StructField(n, T._parse_datatype_string(t)) for n, t in zip(EVENT_ORDER, self.order_types)]
+        order = [T.StructField(n, t) for n, t in zip(EVENT_ORDER, (T.TimestampNTZType(), T.LongType()))]
         return T.StructType([*self.schema.fields, *order, T.StructField("change_type", T.StringType()), T.StructField(number, T.LongType())])
 
     def append(self, events: DataFrame, batch_id: int) -> None:
