@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .keys import drop_matching
+from .ordering import collect_in_parts
 from .shape import columns_with_values, exclude_columns
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -33,6 +34,15 @@ def rows_to_json(df: DataFrame, excluded: str | Iterable[str] = (), keys: Sequen
     return df.select(*keys, F.to_json(json_ready(df, columns), KEEP_NULLS).alias(out))
 
 
+def rows_to_json_arrays(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], excluded: str | Iterable[str] = (), per_array: int = 1_000, out: str = "json"
+) -> DataFrame:
+    """The rows of each group as JSON arrays of at most ``per_array`` objects, in order."""
+    columns = columns_with_values(exclude_columns(df, excluded))
+    parts = collect_in_parts(df, keys, order, json_ready(df, columns), "rows", per_array)
+    return parts.select(*keys, "part_no", F.to_json("rows", KEEP_NULLS).alias(out))
+
+
 def row_to_json(df: DataFrame, excluded: str | Iterable[str] = (), keys: Sequence[str] = (), out: str = "json") -> DataFrame:
     """Every row as JSON; excluded names must match in case here."""
     columns = exclude_columns(df, excluded, case_sensitive=True).columns

@@ -99,11 +99,16 @@ def unregister(registry: DataFrame, removed: DataFrame, key: str) -> DataFrame:
 def keyed_upsert(table: DataFrame, changes: DataFrame, key: str, deletes: DataFrame | None = None) -> DataFrame:
     """Update where the key exists, insert otherwise, then delete by key.
 
-    ``changes`` holds one row per key.
+    The table and the changes hold one row per key.  One aggregate picks the
+    row that counts, so the table is shuffled once.
     """
-    kept = drop_matching(table, changes, [key])
-    merged = kept.unionByName(changes.select(*table.columns))
-    return drop_matching(merged, deletes, [key]) if deletes is not None else merged
+    row = F.struct(*table.columns)
+    ranked = table.select(key, F.lit(0).alias("_rank"), row.alias("_row")).unionByName(changes.select(key, F.lit(1).alias("_rank"), row.alias("_row")))
+    if deletes is not None:
+        none = F.lit(None).cast(ranked.schema["_row"].dataType)
+        ranked = ranked.unionByName(deletes.select(key, F.lit(2).alias("_rank"), none.alias("_row")))
+    last = ranked.groupBy(key).agg(F.max(F.struct("_rank", "_row")).alias("_last"))
+    return last.filter(F.col("_last._rank") < 2).select("_last._row.*")
 
 
 def apply_edits(table: DataFrame, edits: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

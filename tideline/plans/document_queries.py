@@ -141,6 +141,16 @@ def rows_to_json(spark, sf_dir):
     return export.rows_to_json(e, " PROPS ,", keys=["event_id"])
 
 
+@query(
+    "rows_to_json_array",
+    """SELECT o_custkey, 0 AS part_no, '[' || string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '","o_orderpriority":"' || o_orderpriority || '"}', ',' ORDER BY o_orderkey) || ']' AS json
+    FROM orders GROUP BY o_custkey""",
+)
+def rows_to_json_array(spark, sf_dir):
+    o = domain.table(spark, sf_dir, "orders").withColumn("never", F.lit(None).cast("int"))
+    return export.rows_to_json_arrays(o, ["o_custkey"], [F.col("o_orderkey")], "o_custkey, o_orderstatus, o_totalprice")
+
+
 @query(
     "row_to_json",
     """SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_acctbal":' || CASE WHEN c_acctbal < 0 THEN 'null' ELSE CAST(c_acctbal AS VARCHAR) END || ',"c_mktsegment":"' || c_mktsegment || '"}' AS json FROM customer""",

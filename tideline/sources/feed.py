@@ -106,6 +106,11 @@ def start_after(events: DataFrame, replay_id: int | None, column: str = "replay_
     return events if replay_id is None else events.filter(F.col(column) > replay_id)
 
 
+def tip_of(envelopes: DataFrame) -> int | None:
+    """Latest replay id landed so far: start after it to see only new events."""
+    return envelopes.agg(F.max("latest_replay_id")).first()[0]
+
+
 def pack_envelopes(events: DataFrame, topic: str, order: Sequence[str], batch_of: Column, size: int = 10) -> DataFrame:
     """Envelopes as the bus would send them; ``batch_of`` numbers batches of ``size`` events."""
     entry = F.struct(*order, F.struct("event", "replay_id").alias("entry"))
