@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.casts import INTEGER_TEXT, epoch_ms_to_iso
 from ..functions.text import UNKNOWN, change_type_of
+from .keys import small_side
 
 UPSERTS = ("INSERT", "CREATE", "UPDATE")
 DELETES = ("DELETE",)
@@ -60,10 +61,9 @@ def delta_long(df: DataFrame, fields: Sequence[str], keys: Sequence[str], types:
 def keep_fields(delta: DataFrame, filters: DataFrame, topic: str = "topic", field: str = "field_name") -> DataFrame:
     """Keep the listed fields of a topic; a topic without a list keeps all.
 
-    ``filters`` is ``(topic, fields array)``.  Its rows are configuration, one
-    per topic, so Spark's own size check decides on the broadcast.
+    ``filters`` is ``(topic, fields array)``, one row per topic.
     """
-    lists = filters.select(F.col("topic").alias("_topic"), F.col("fields").alias("_fields"))
+    lists = small_side(filters.select(F.col("topic").alias("_topic"), F.col("fields").alias("_fields")))
     wanted = F.col("_fields").isNull() | (F.size("_fields") == 0) | F.array_contains(F.col("_fields"), F.col(field))
     joined = delta.join(lists, delta[topic] == F.col("_topic"), "left")
     return joined.filter(F.coalesce(wanted, F.lit(True))).select(*delta.columns)

@@ -2,8 +2,8 @@
 
 The looked-up side is reduced to its distinct keys before any shuffle, so a key
 that holds many of its rows costs one row.  The kept side is never grouped; AQE
-splits its hot partitions.  No broadcast is forced: Spark broadcasts the key
-side only where its measured size is under ``autoBroadcastJoinThreshold``.
+splits its hot partitions.  Spark broadcasts the key side by its own measure;
+only ``small_side`` asks for it, after counting the rows.
 """
 
 from __future__ import annotations
@@ -13,6 +13,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+
+SMALL_ROWS = 100_000
+
+
+def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """A lookup table fixed and counted: marked for broadcast if it is small.
+
+    For keys with few values, such as topics and schemas: a shuffle on them would
+    send all events to a few tasks, and a stream has no AQE to split those.  A
+    larger table has many keys and is joined by shuffle.
+    """
+    fixed = cut_lineage(df)
+    return F.broadcast(fixed) if fixed.count() <= max_rows else fixed
+
 
 def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys).distinct()

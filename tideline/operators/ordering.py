@@ -15,10 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .keys import hot_keys
+from .keys import hot_keys, small_side
 
 HOT_ROWS = 5_000_000
-BROADCAST_KEYS = 100_000  # hot keys beyond this count are joined by shuffle
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
 
@@ -53,18 +52,13 @@ def global_row_number(df: DataFrame, order: Sequence[Column], out: str, partitio
     return indexed.withColumn(out, (F.col("_index") + 1).cast("bigint")).drop("_part", "_pos", "_index")
 
 
-def _sized(hot: DataFrame) -> DataFrame:
-    """Marks a frame of one row per hot key for broadcast if its count allows."""
-    return F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
-
-
 def _split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int, count_on: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     found = hot_keys(df if count_on is None else count_on, keys, hot_rows)
-    hot = cut_lineage(found.select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)]))
+    hot = small_side(found.select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)]))
     if hot.isEmpty():
         return df, None
     same = [df[k].eqNullSafe(F.col(f"__h{i}")) for i, k in enumerate(keys)]
-    return df.join(_sized(hot), same, "left_anti"), df.join(_sized(hot), same, "left_semi")
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
 
 
 def row_number_within(
@@ -89,7 +83,7 @@ def row_number_within(
     indexed = _with_index(_range_sorted(hot, sort, partitions))
     starts = indexed.groupBy(*[F.col(k).alias(f"__s{i}") for i, k in enumerate(keys)]).agg(F.min("_index").alias("_start"))
     same = [indexed[k].eqNullSafe(F.col(f"__s{i}")) for i, k in enumerate(keys)]
-    placed = indexed.join(_sized(cut_lineage(starts)), same).withColumn(out, (F.col("_index") - F.col("_start") + 1).cast("bigint"))
+    placed = indexed.join(small_side(starts), same).withColumn(out, (F.col("_index") - F.col("_start") + 1).cast("bigint"))
     return numbered.unionByName(placed.select(*numbered.columns))
 
 

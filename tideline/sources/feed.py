@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.names import is_blank
 from ..functions.text import UNKNOWN
 from ..operators.delta import dead_letter_reason, header_fields
+from ..operators.keys import small_side
 from ..operators.once import computed_once
 
 EVENT_DDL = "struct<id:string,schema_id:string,payload:string,headers:array<struct<key:string,value:binary>>>"
@@ -39,7 +40,7 @@ def read_envelopes(spark: SparkSession, path: str, max_files: int | None = None)
 
 def only_topics(envelopes: DataFrame, topics: DataFrame) -> DataFrame:
     """Envelopes of the subscribed topics."""
-    return envelopes.join(topic_set(topics), "topic", "left_semi")
+    return envelopes.join(small_side(topic_set(topics)), "topic", "left_semi")
 
 
 def split_envelopes(envelopes: DataFrame) -> DataFrame:
@@ -93,12 +94,8 @@ def decode_events(events: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def join_schemas(events: DataFrame, registry: DataFrame) -> DataFrame:
-    """Adds the registered schema text of each event.
-
-    The registry has one row per schema version; Spark broadcasts it while its
-    measured size allows, and shuffles it beyond.
-    """
-    return events.join(registry.select("schema_id", "schema_json"), "schema_id", "left")
+    """Adds the registered schema text of each event; the registry has a row per schema version."""
+    return events.join(small_side(registry.select("schema_id", "schema_json")), "schema_id", "left")
 
 
 def start_after(events: DataFrame, replay_id: int | None, column: str = "replay_id") -> DataFrame:

@@ -24,10 +24,13 @@ def _kind_of(value: object) -> T.DataType:
 def schema_of_first_record(responses: DataFrame, text: str, order: Sequence[Column]) -> T.StructType:
     """Columns and types of the first record of the first response that has one.
 
-    One record comes to the driver, whatever the size of the table.
+    One record comes to the driver, whatever the size of the table.  The first
+    response nearly always has one; only if not are all searched.
     """
-    first = F.get_json_object(text, "$.records[0]")
-    row = responses.filter(first.isNotNull()).orderBy(*order).select(first.alias("r")).limit(1).first()
+    record_text = F.get_json_object(text, "$.records[0]")
+    row = responses.orderBy(*order).limit(1).select(record_text.alias("r")).first()
+    if row is None or row["r"] is None:
+        row = responses.filter(record_text.isNotNull()).orderBy(*order).limit(1).select(record_text.alias("r")).first()
     record = json.loads(row["r"]) if row else {}
     return T.StructType([T.StructField(n, _kind_of(v)) for n, v in record.items() if n != METADATA])
 
