@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .once import computed_once
+
 NOT_NULL = "not_null"
 TOO_LONG = "too_long"
 NEGATIVE = "negative_bigint"
@@ -126,8 +128,8 @@ def cast_as(value: Column, data_type: str) -> Column:
     return value
 
 
-def cast_error(value: Column, meta: ColumnMeta) -> Column:
-    """Why ``value`` may not enter the column, or NULL."""
+def cast_error(value: Column, meta: ColumnMeta, typed: Column | None = None) -> Column:
+    """Why ``value`` may not enter the column, or NULL; ``typed`` is its cast if known."""
     base = meta.data_type.lower().split("(")[0]
     checks = [not_null_error(value, meta.nullable)]
     if base in ("varchar", "nvarchar"):
@@ -136,7 +138,7 @@ def cast_error(value: Column, meta: ColumnMeta) -> Column:
         digits = value.rlike(EPOCH_TEXT)
         checks.append(F.when(digits & (F.trim(value).try_cast("bigint") > LAST_EPOCH_MS), F.lit(OUT_OF_RANGE)))
     elif base in ("int", "bigint", "decimal", "numeric", "float", "bit", "uniqueidentifier"):
-        cast = cast_as(value, meta.data_type)
+        cast = cast_as(value, meta.data_type) if typed is None else typed
         checks.append(F.when(~is_empty(value) & cast.isNull(), F.lit(BAD_VALUE + base)))
         if base == "bigint":
             checks.append(negative_error(cast))
@@ -144,11 +146,16 @@ def cast_error(value: Column, meta: ColumnMeta) -> Column:
 
 
 def cast_columns(df: DataFrame, metas: list[ColumnMeta], keep: list[str] = ()) -> DataFrame:
-    """Cast every described column; ``errors`` names each refused column and why."""
-    typed = [cast_as(empty_to_null(F.col(m.name)), m.data_type).alias(m.name) for m in metas]
+    """Cast every described column; ``errors`` names each refused column and why.
+
+    Each value is cast once: the reasons look at the result of the cast.
+    """
+    typed = [cast_as(empty_to_null(F.col(m.name)), m.data_type).alias(f"_typed_{m.name}") for m in metas]
+    both = df.select(*keep, *[F.col(m.name) for m in metas], *typed)
     # concat() with a NULL is NULL and concat_ws() skips it: only refusals are listed.
-    reasons = [F.concat(F.lit(f"{m.name}: "), cast_error(F.col(m.name), m)) for m in metas]
-    return df.select(*keep, *typed, F.nullif(F.concat_ws("; ", *reasons), F.lit("")).alias("errors"))
+    reasons = [F.concat(F.lit(f"{m.name}: "), cast_error(F.col(m.name), m, F.col(f"_typed_{m.name}"))) for m in metas]
+    checked = computed_once(both, "errors", F.nullif(F.concat_ws("; ", *reasons), F.lit("")))
+    return checked.select(*keep, *[F.col(f"_typed_{m.name}").alias(m.name) for m in metas], "errors")
 
 
 def split_quarantine(cast: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.casts import INTEGER_TEXT
-from .once import computed_once
+from ..functions.once import computed_once
 
 # Transaction sets that have a name.
 SET_NAMES = {"850": "PO", "856": "ASN", "810": "INV", "997": "FA"}

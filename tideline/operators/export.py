@@ -62,7 +62,7 @@ def write_xml(df: DataFrame, path: str, table: str, root: str = "X") -> None:
 
 def element_xml(value: Column, tag: str) -> Column:
     """One element on one line."""
-    return F.rtrim(F.regexp_replace(F.to_xml(value, {"rowTag": tag, "indent": ""}), r"\n$", ""))
+    return F.rtrim(F.to_xml(value, {"rowTag": tag, "indent": ""}), F.lit("\n"))
 
 
 def outbound_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

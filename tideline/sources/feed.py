@@ -16,7 +16,7 @@ from ..functions.names import is_blank
 from ..functions.text import UNKNOWN
 from ..operators.delta import dead_letter_reason, header_fields
 from ..operators.keys import small_side
-from ..operators.once import computed_once
+from ..functions.once import computed_once
 
 EVENT_DDL = "struct<id:string,schema_id:string,payload:string,headers:array<struct<key:string,value:binary>>>"
 ENVELOPE_DDL = f"topic string, latest_replay_id bigint, events array<struct<event:{EVENT_DDL},replay_id:bigint>>"

@@ -61,7 +61,7 @@ def flatten_document(df: DataFrame, text: str, element: str, item: str, keys: Se
 
 def document_to_xml(text: Column, schema: str, root: str = "Root") -> Column:
     """A JSON document as XML text under a root element."""
-    return F.regexp_replace(F.to_xml(F.from_json(text, schema), {"rowTag": root, "indent": ""}), r"\n$", "")
+    return F.rtrim(F.to_xml(F.from_json(text, schema), {"rowTag": root, "indent": ""}), F.lit("\n"))
 
 
 def record_image(df: DataFrame, attributes: Sequence[str] = (METADATA,)) -> DataFrame:
