@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.operators.apply import latest_state
+from tideline.operators.apply import fold_changes, latest_state
 from tideline.operators.delta import fan_out, split_dead_letters
 from tideline.plans import domain
 from tideline.sources import feed
@@ -87,6 +87,27 @@ def test_late_change_does_not_revive(spark, tmp_path):
     assert rows(log.current(), "record_id", "Value__c") == [("a", 4.0), ("b", 1.0), ("c", 3.0)]
 
 
+@pytest.mark.parametrize("max_files", [1, None])
+def test_partial_updates_fold_by_field(spark, landed, tmp_path, max_files):
+    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE, partial=True)
+    streams.apply_feed(decoded(spark, landed, max_files), log, str(tmp_path / "dead"), str(tmp_path / "c"), compact_every=3)
+    good, _ = split_dead_letters(feed.decode_events(feed.split_envelopes(spark.read.parquet(landed)), domain.PAYLOAD))
+    assert rows(log.current()) == rows(fold_changes(fan_out(good), ["record_id"], ["Value__c", "K__c"]), "record_id", "Value__c", "K__c")
+
+
+def test_update_before_its_create_counts_once_both_are_there(spark, tmp_path):
+    ddl = "record_id string, commit_ts timestamp_ntz, replay_id bigint, change_type string, changed_fields array<string>, Value__c double, K__c int"
+    day = dt.datetime(2024, 1, 1)
+    create = ("a", day, 1, "CREATE", [], 1.0, 1)
+    update = ("a", day + dt.timedelta(hours=1), 2, "UPDATE", ["Value__c"], None, None)
+    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE, partial=True)
+    log.append(spark.createDataFrame([update], ddl), 0)
+    assert rows(log.current()) == []
+    log.compact()
+    log.append(spark.createDataFrame([create], ddl), 1)
+    assert rows(log.current()) == [("a", None, 1)]
+
+
 def test_dead_letters_are_whole(spark, landed, tmp_path):
     log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE)
     streams.apply_feed(decoded(spark, landed, 2), log, str(tmp_path / "dead"), str(tmp_path / "c"))

@@ -19,6 +19,66 @@ EVENT_ORDER = ("commit_ts", "replay_id")
 RESETS = ("INSERT", "CREATE", "DELETE")
 
 
+# A state frame has one row per key and columns that merge by max(): each holds a
+# struct led by the order of the change that set it.  Merging is associative and
+# idempotent, so states of batches can be merged in any order, and repeatedly.
+
+
+def image_state(events: DataFrame, key: Sequence[str], values: Sequence[str], order: Sequence[str] = EVENT_ORDER) -> DataFrame:
+    """State of whole images: the last event of each record."""
+    # The order leads the struct, so max() is "last by order".  Structs are not
+    # hash-aggregated, but the sort aggregate combines before the shuffle too.
+    return events.groupBy(*key).agg(F.max(F.struct(*order, "change_type", *values)).alias("_last"))
+
+
+def finish_images(state: DataFrame, key: Sequence[str], values: Sequence[str], order: Sequence[str] = EVENT_ORDER, keep_deleted: bool = False) -> DataFrame:
+    rows = state.select(*key, *[F.col(f"_last.{c}").alias(c) for c in (*order, "change_type", *values)])
+    return rows if keep_deleted else rows.filter(~F.upper("change_type").isin(*DELETES))
+
+
+def field_state(changes: DataFrame, key: Sequence[str], fields: Sequence[str], order: Sequence[str] = EVENT_ORDER) -> DataFrame:
+    """State of partial updates: the last reset, and the last setting of each field."""
+    at = F.struct(*order)
+    kind = F.upper("change_type")
+    resets = kind.isin(*RESETS)
+    deletes = kind.isin(*DELETES)
+
+    def touched(field: str) -> Column:
+        return ~deletes & (resets | F.array_contains("changed_fields", field))
+
+    return changes.groupBy(*key).agg(
+        F.max(at).alias("_at"),
+        F.max(F.when(resets, F.struct(at.alias("at"), kind.alias("kind")))).alias("_reset"),
+        *[F.max(F.when(touched(f), F.struct(at.alias("at"), F.col(f).alias("v")))).alias(f"_f_{f}") for f in fields],
+    )
+
+
+def finish_fields(state: DataFrame, key: Sequence[str], fields: Sequence[str], order: Sequence[str] = EVENT_ORDER, keep_deleted: bool = False) -> DataFrame:
+    """A field counts when it was set at or after the last reset."""
+    gone = F.col("_reset").isNull() | F.col("_reset.kind").isin(*DELETES)
+    valid = [F.when(~gone & (F.col(f"_f_{f}.at") >= F.col("_reset.at")), F.col(f"_f_{f}.v")).alias(f) for f in fields]
+    result = state.select(*key, *[F.col(f"_at.{o}").alias(o) for o in order], gone.alias("is_deleted"), *valid)
+    return result if keep_deleted else result.filter(~F.col("is_deleted")).drop("is_deleted")
+
+
+def merge_states(states: DataFrame, key: Sequence[str]) -> DataFrame:
+    """States of several batches as one."""
+    return states.groupBy(*key).agg(*[F.max(c).alias(c) for c in states.columns if c not in key])
+
+
+def merge_into(base: DataFrame, later: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Merges few later states into a large base that has one row per key.
+
+    The base is neither shuffled nor sorted while Spark can broadcast the later
+    states; keys new to the base are found through the few that are not.
+    """
+    columns = [c for c in base.columns if c not in key]
+    new = later.select(*key, *[F.col(c).alias(f"_new{c}") for c in columns])
+    kept = base.join(new, list(key), "left").select(*key, *[F.greatest(c, f"_new{c}").alias(c) for c in columns])
+    known = base.join(later.select(*key), list(key), "left_semi").select(*key)
+    return kept.unionByName(later.join(known, list(key), "left_anti"))
+
+
 def latest_state(
     events: DataFrame,
     key: Sequence[str],
@@ -27,12 +87,7 @@ def latest_state(
     keep_deleted: bool = False,
 ) -> DataFrame:
     """The last event of each record; records whose last event deletes are gone."""
-    # The order leads the struct, so max() is "last by order".  Structs are not
-    # hash-aggregated, but the sort aggregate combines before the shuffle too.
-    entry = F.struct(*order, "change_type", *values)
-    last = events.groupBy(*key).agg(F.max(entry).alias("_last"))
-    state = last.select(*key, *[F.col(f"_last.{c}").alias(c) for c in (*order, "change_type", *values)])
-    return state if keep_deleted else state.filter(~F.upper("change_type").isin(*DELETES))
+    return finish_images(image_state(events, key, values, order), key, values, order, keep_deleted)
 
 
 def fold_changes(
@@ -45,28 +100,11 @@ def fold_changes(
     """Net effect of partial updates, column by column.
 
     Create and delete reset a record; an update sets only its changed fields,
-    an explicit NULL among them too.  A field counts when it was set at or after
-    the last reset.  Updates to a record that does not exist have no effect.
-    ``changes`` has ``change_type``, ``changed_fields`` and the field columns.
+    an explicit NULL among them too.  Updates to a record that does not exist
+    have no effect.  ``changes`` has ``change_type``, ``changed_fields`` and the
+    field columns.
     """
-    at = F.struct(*order)
-    kind = F.upper("change_type")
-    resets = kind.isin(*RESETS)
-    creates = resets & ~kind.isin(*DELETES)
-
-    def touched(field: str) -> Column:
-        return creates | (~kind.isin(*DELETES) & F.array_contains("changed_fields", field))
-
-    aggregates = [
-        F.max(F.when(resets, F.struct(at.alias("at"), kind.alias("kind")))).alias("_reset"),
-        F.max(at).alias("_at"),
-        *[F.max(F.when(touched(f), F.struct(at.alias("at"), F.col(f).alias("v")))).alias(f"_f_{f}") for f in fields],
-    ]
-    folded = changes.groupBy(*key).agg(*aggregates)
-    gone = F.col("_reset").isNull() | F.col("_reset.kind").isin(*DELETES)
-    valid = [F.when(~gone & (F.col(f"_f_{f}.at") >= F.col("_reset.at")), F.col(f"_f_{f}.v")).alias(f) for f in fields]
-    result = folded.select(*key, *[F.col(f"_at.{o}").alias(o) for o in order], gone.alias("is_deleted"), *valid)
-    return result if keep_deleted else result.filter(~F.col("is_deleted")).drop("is_deleted")
+    return finish_fields(field_state(changes, key, fields, order), key, fields, order, keep_deleted)
 
 
 def base_as_changes(base: DataFrame, order: dict[str, Column]) -> DataFrame:

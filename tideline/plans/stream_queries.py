@@ -35,10 +35,18 @@ LATEST_APPLIED = f"""WITH {EV}, ok AS (SELECT *, CASE WHEN raw_value NOT BETWEEN
     AND NOT EXISTS (SELECT 1 FROM ok b WHERE b.record_id = a.record_id AND (b.commit_ts > a.commit_ts OR (b.commit_ts = a.commit_ts AND b.replay_id > a.replay_id)))"""
 
 
-def _applied(spark, sf_dir):
+FIELDS_APPLIED = f"""WITH {EV}, ok AS (SELECT * FROM ev WHERE ({REASON}) IS NULL),
+    r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY commit_ts DESC, replay_id DESC) AS n FROM ok WHERE event_type IN ('signup', 'error')) WHERE n = 1),
+    v AS (SELECT r.record_id, e.Value__c, row_number() OVER (PARTITION BY r.record_id ORDER BY e.commit_ts DESC, e.replay_id DESC) AS n FROM r JOIN ok e ON e.record_id = r.record_id AND (e.commit_ts, e.replay_id) >= (r.commit_ts, r.replay_id) AND e.event_type IN ('click', 'purchase', 'signup')),
+    k AS (SELECT r.record_id, e.K__c, row_number() OVER (PARTITION BY r.record_id ORDER BY e.commit_ts DESC, e.replay_id DESC) AS n FROM r JOIN ok e ON e.record_id = r.record_id AND (e.commit_ts, e.replay_id) >= (r.commit_ts, r.replay_id) AND e.event_type IN ('view', 'purchase', 'signup'))
+    SELECT r.entity, r.record_id, v.Value__c, k.K__c FROM r JOIN v ON v.record_id = r.record_id AND v.n = 1 JOIN k ON k.record_id = r.record_id AND k.n = 1 WHERE r.event_type = 'signup'"""
+
+
+def _applied(spark, sf_dir, partial=False):
     decoded = feed.decode_events(feed.split_envelopes(_envelope_stream(spark, sf_dir)), domain.PAYLOAD)
     path = work_dir(spark, "replica")
-    log = ReplicaLog(spark, path, ["entity", "record_id"], T.StructType([T.StructField("entity", T.StringType()), *STATE.fields]))
+    schema = T.StructType([T.StructField("entity", T.StringType()), *STATE.fields])
+    log = ReplicaLog(spark, path, ["entity", "record_id"], schema, partial=partial, partition_by=["entity"])
     streams.apply_feed(decoded, log, path + "/dead", path + "/checkpoint")
     return log, path
 
@@ -49,9 +57,15 @@ def stream_apply(spark, sf_dir):
     return log.current()
 
 
-@query("stream_compact", LATEST_APPLIED)
+@query("stream_apply_fields", FIELDS_APPLIED)
+def stream_apply_fields(spark, sf_dir):
+    log, _ = _applied(spark, sf_dir, partial=True)
+    return log.current()
+
+
+@query("stream_compact", FIELDS_APPLIED)
 def stream_compact(spark, sf_dir):
-    log, _ = _applied(spark, sf_dir)
+    log, _ = _applied(spark, sf_dir, partial=True)
     log.compact()
     return log.current()
 

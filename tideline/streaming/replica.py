@@ -1,10 +1,10 @@
-"""A replica kept as a log of net changes and a folded base.
+"""A replica kept as a log of batch states and a merged base.
 
-Each micro-batch writes its net change per record under its own batch number,
-so a batch that runs twice writes the same files.  The current image folds the
-base and the batches after it; ``compact`` writes the next base.  Deletes stay
-as tombstones, so a late older change cannot bring a record back.  All state is
-in files of the shared folder; nothing depends on one executor.
+Each micro-batch writes its state per record under its own batch number, so a
+batch that runs twice writes the same files.  The current image merges the base
+and the batches after it; ``compact`` writes the next base.  Deletes stay in the
+state, so a late older change cannot bring a record back.  All of it is in files
+of the shared folder; nothing depends on one executor.
 """
 
 from __future__ import annotations
@@ -16,30 +16,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.apply import EVENT_ORDER, latest_state
+from ..operators.apply import EVENT_ORDER, field_state, finish_fields, finish_images, image_state, merge_into, merge_states
 
 
 @dataclass(frozen=True)
 class ReplicaLog:
-    """``schema`` holds the key and value columns of the replica."""
+    """``schema`` holds the key and value columns of the replica.
+
+    Events carry whole images by default.  With ``partial`` they carry changed
+    fields only, and each field keeps its own last value.  ``partition_by`` names
+    key columns the files are laid out by, as the entity of a feed of many.
+    """
 
     spark: SparkSession
     path: str
     key: Sequence[str]
     schema: T.StructType
+    partial: bool = False
+    partition_by: Sequence[str] = ()
 
     @property
     def values(self) -> list[str]:
         return [f.name for f in self.schema.fields if f.name not in self.key]
 
+    def _state_of(self, events: DataFrame) -> DataFrame:
+        build = field_state if self.partial else image_state
+        return build(events, self.key, self.values)
+
     def _stored_schema(self, number: str) -> T.StructType:
         order = [T.StructField(n, t) for n, t in zip(EVENT_ORDER, (T.TimestampNTZType(), T.LongType()))]
-        return T.StructType([*self.schema.fields, *order, T.StructField("change_type", T.StringType()), T.StructField(number, T.LongType())])
-
-    def append(self, events: DataFrame, batch_id: int) -> None:
-        """Net change per record of one batch; an empty batch writes nothing that counts."""
-        net = latest_state(events, self.key, self.values, keep_deleted=True)
-        net.write.mode("overwrite").parquet(f"{self.path}/changes/batch={batch_id}")
+        kind = [T.StructField("change_type", T.StringType()), T.StructField("changed_fields", T.ArrayType(T.StringType()))]
+        events = self.spark.createDataFrame([], T.StructType([*self.schema.fields, *order, *kind]))
+        return self._state_of(events).schema.add(number, T.LongType())
 
     def _read(self, part: str, number: str) -> DataFrame:
         schema = self._stored_schema(number)
@@ -50,37 +58,33 @@ class ReplicaLog:
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def _write(self, state: DataFrame, folder: str) -> None:
+        state.write.mode("overwrite").partitionBy(*self.partition_by).parquet(f"{self.path}/{folder}")
+
+    def append(self, events: DataFrame, batch_id: int) -> None:
+        """State of one batch; an empty batch writes nothing that counts."""
+        self._write(self._state_of(events), f"changes/batch={batch_id}")
+
     def _base_version(self) -> int:
         """Last batch in the newest base; only partition values are read."""
         row = self._read("base", "version").agg(F.max("version").alias("v")).first()
         return -1 if row["v"] is None else row["v"]
 
     def folded(self) -> DataFrame:
-        """Last change of every record, tombstones included.
-
-        The base holds one row per record already, so only the later changes are
-        aggregated.  While they are few, Spark broadcasts them and the base is
-        neither shuffled nor sorted.
-        """
+        """State of every record, deleted ones included."""
         version = self._base_version()
-        changes = self._read("changes", "batch").filter(F.col("batch") > version).drop("batch")
-        later = latest_state(changes, self.key, self.values, keep_deleted=True)
+        later = merge_states(self._read("changes", "batch").filter(F.col("batch") > version).drop("batch"), self.key)
         if version < 0:
             return later
-        base = self._read("base", "version").filter(F.col("version") == version).drop("version")
-        columns = [*EVENT_ORDER, "change_type", *self.values]
-        new = later.select(*self.key, F.struct(*columns).alias("_new"))
-        kept = base.select(*self.key, F.struct(*columns).alias("_old")).join(new, list(self.key), "left")
-        held = kept.select(*self.key, F.greatest("_old", "_new").alias("_last")).select(*self.key, "_last.*")
-        known = base.join(later.select(*self.key), list(self.key), "left_semi").select(*self.key)
-        return held.unionByName(later.join(known, list(self.key), "left_anti").select(*held.columns))
+        return merge_into(self._read("base", "version").filter(F.col("version") == version).drop("version"), later, self.key)
 
     def current(self) -> DataFrame:
-        """The replica: records whose last change is no delete."""
-        return self.folded().filter(F.upper("change_type") != "DELETE").select(*[f.name for f in self.schema.fields])
+        """The replica: the records that exist, in the columns of the schema."""
+        finish = finish_fields if self.partial else finish_images
+        return finish(self.folded(), self.key, self.values).select(*[f.name for f in self.schema.fields])
 
     def compact(self) -> None:
-        """Folds everything written so far into a new base."""
+        """Merges everything written so far into a new base."""
         row = self._read("changes", "batch").agg(F.max("batch").alias("b")).first()
         if row["b"] is not None and row["b"] > self._base_version():
-            self.folded().write.mode("overwrite").parquet(f"{self.path}/base/version={row['b']}")
+            self._write(self.folded(), f"base/version={row['b']}")
