@@ -136,6 +136,18 @@ def test_envelope_edges(spark):
     assert rows(delta.fan_out(decoded.filter("reason is null")), "record_id") == [("x",), ("y",)]
 
 
+def test_wire_json(spark):
+    text = '{"events":[{"event":{"id":"e","schemaId":"S","payload":"cA=="},"replayId":"AAAAAAAAAQI="},{"event":{"id":"f"}}],"latestReplayId":"AAAAAAAAAQM="}'
+    df = spark.createDataFrame([("t", text), ("t", '{"latestReplayId":"AAAAAAAAAQQ="}'), ("t", "broken")], "topic string, value string")
+    envelopes = feed.parse_wire(df)
+    assert rows(envelopes, "latest_replay_id") == [(259,), (260,), (None,)]
+    assert feed.tip_of(envelopes) == 260
+    assert rows(feed.split_envelopes(envelopes)) == [
+        ("t", 258, "S", "cA==", None),
+        ("t", None, None, None, "schema_id_missing"),
+    ]
+
+
 def test_topic_set(spark):
     df = spark.createDataFrame([("a",), ("a",), ("",), ("  ",), (None,)], "topic string")
     assert rows(feed.topic_set(df)) == [("a",)]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import casts, names
 from ..functions.text import error_message, html_encode, pairs_text
-from ..operators import keys, registry, schema, shape
+from ..operators import keys, ordering, registry, schema, shape
 from . import domain
 from .catalog import query
 
@@ -61,7 +61,7 @@ def topic_paths(spark, sf_dir):
     name = F.when(F.col("s_acctbal") < -500, F.lit("")).when(F.col("s_acctbal") >= 0, F.col("s_name"))
     object_name = F.concat(F.lit("Object"), F.col("s_suppkey").cast("string"), F.lit("__c"))
     topics = s.select("s_suppkey", names.topic_path(name, object_name).alias("topic"))
-    return shape.global_row_number(topics, [F.col("topic"), F.col("s_suppkey")], "position").select("topic", "position")
+    return ordering.global_row_number(topics, [F.col("topic"), F.col("s_suppkey")], "position").select("topic", "position")
 
 
 @query(

@@ -38,6 +38,36 @@ def read_envelopes(spark: SparkSession, path: str, max_files: int | None = None)
     return reader.parquet(path)
 
 
+def parse_wire(rows: DataFrame, text: str = "value", topic: str = "topic") -> DataFrame:
+    """Envelopes out of responses in the bus's JSON form, as Kafka rows or text files hold them.
+
+    Replay ids are opaque bytes; as numbers they serve only to order events of one time.
+    """
+    event = "struct<id:string,schemaId:string,payload:string>"
+    body = F.from_json(F.col(text).cast("string"), f"struct<events:array<struct<event:{event},replayId:string>>,latestReplayId:string>")
+
+    def number(replay_id: Column) -> Column:
+        return F.conv(F.hex(F.try_to_binary(replay_id, F.lit("base64"))), 16, 10).try_cast("bigint")
+
+    none = F.array().cast("array<struct<key:string,value:binary>>")
+    return rows.select(F.col(topic).alias("topic"), body.alias("b")).select(
+        "topic",
+        number(F.col("b.latestReplayId")).alias("latest_replay_id"),
+        F.transform(
+            "b.events",
+            lambda e: F.struct(
+                F.struct(
+                    e["event"]["id"].alias("id"),
+                    e["event"]["schemaId"].alias("schema_id"),
+                    e["event"]["payload"].alias("payload"),
+                    none.alias("headers"),
+                ).alias("event"),
+                number(e["replayId"]).alias("replay_id"),
+            ),
+        ).alias("events"),
+    )
+
+
 def only_topics(envelopes: DataFrame, topics: DataFrame) -> DataFrame:
     """Envelopes of the subscribed topics."""
     return envelopes.join(small_side(topic_set(topics)), "topic", "left_semi")
@@ -76,6 +106,14 @@ def with_record(events: DataFrame, schema: T.StructType, payload: str = "payload
     return parsed.withColumn(out, F.when(F.col("_parsed._corrupt").isNull(), F.col("_parsed"))).drop("_parsed")
 
 
+def with_avro_record(events: DataFrame, avro_schema: str, payload: str = "payload", out: str = "record") -> DataFrame:
+    """The same for Avro payloads of one schema; needs Spark's Avro module on the class path."""
+    from pyspark.sql.avro.functions import from_avro
+
+    binary = F.try_to_binary(payload, F.lit("base64"))
+    return computed_once(events, out, from_avro(binary, avro_schema, {"mode": "PERMISSIVE"}))
+
+
 def decode_events(events: DataFrame, schema: T.StructType) -> DataFrame:
     """Header, change type and field columns of split events, with the refusal reason."""
     data = [f.name for f in schema.fields if f.name not in ("ChangeEventHeader", "commit_ts")]
