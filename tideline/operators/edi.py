@@ -15,6 +15,7 @@ from ..functions.once import computed_once
 SET_NAMES = {"850": "PO", "856": "ASN", "810": "INV", "997": "FA"}
 
 ITEM_DDL = "struct<_Id:string,_SeqNo:int,Price:decimal(19,4),Quantity:int,Product_Id:string,Product_Name:string>"
+ITEMS_DDL = f"struct<OrderItem:array<{ITEM_DDL}>>"
 ACCOUNT_DDL = (
     "struct<_Id:string,AccountNumber:string,AccountName:string,AccountType:string,"
     "BillingStreet:string,BillingCity:string,BillingState:string,BillingPostalCode:string,BillingCountry:string,"
@@ -96,8 +97,9 @@ def interchange_headers(documents: DataFrame, sender: Column, receiver: Column,
 
 
 def document_items(df: DataFrame, xml: str, keys: list[str]) -> DataFrame:
-    """Items of each document in document order."""
-    return df.select(*keys, F.posexplode(parse_order(F.col(xml))["OrderItem"]).alias("pos", "item")).select(
+    """Items of each document in document order; only the items are parsed."""
+    items = F.from_xml(xml, ITEMS_DDL, {"rowTag": "Order"})["OrderItem"]
+    return df.select(*keys, F.posexplode(items).alias("pos", "item")).select(
         *keys,
         (F.col("pos") + 1).alias("pos"),
         F.col("item._Id").alias("item_id"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.names import event_to_object
+from ..functions.once import computed_once
 from ..operators import edi, export, orders
 from ..session import work_dir
 from ..sources import json_docs, snapshot, xml_docs
@@ -108,10 +109,25 @@ def json_doc_xml(spark, sf_dir):
 )
 def xml_to_rows(spark, sf_dir):
     docs = domain.documents_of_orders(spark, sf_dir)
-    parsed = xml_docs.parse_documents(docs, "xml", "Order", edi.ORDER_DDL, keep=["order_id"])
+    parsed = xml_docs.parse_documents(docs, "xml", "Order", edi.ITEMS_DDL, keep=["order_id"])
     return xml_docs.element_table(parsed, "OrderItem", ["order_id"])
 
 
+@query(
+    "xml_to_accounts",
+    f"""SELECT o_orderkey AS order_id, 'O-' || o_orderkey AS name, o_orderdate AS created, {STATUS} AS status, CAST(c_custkey AS VARCHAR) AS account_id, c_name AS account_name, 'C-' || c_custkey AS contact_id, CAST(NULL AS VARCHAR) AS email, CAST(coalesce(n, 0) AS INTEGER) AS n_items
+    FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
+)
+def xml_to_accounts(spark, sf_dir):
+    docs = computed_once(domain.documents_of_orders(spark, sf_dir), "o", edi.parse_order(F.col("xml")))
+    return docs.select(
+        "order_id", F.col("o._Name").alias("name"), F.col("o.CreatedDate").alias("created"), F.col("o.Status__c").alias("status"),
+        F.col("o.Account._Id").alias("account_id"), F.col("o.Account.AccountName").alias("account_name"),
+        F.col("o.Account.Contact._Id").alias("contact_id"), F.col("o.Account.Contact.Email").alias("email"),
+        F.coalesce(F.size("o.OrderItem"), F.lit(0)).alias("n_items"),
+    )
+
+
 @query("snapshot_load", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def snapshot_load(spark, sf_dir):
     c = domain.table(spark, sf_dir, "customer")
