@@ -98,7 +98,7 @@ def mix_plan(docs: DataFrame, source: str = "source", text: str = "text", doc_id
 def mix_documents(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", **options: object) -> DataFrame:
     """The mixed corpus: each document ``copies`` times, all its columns, and ``copy_no`` from 1.
 
-    Only the source's rate is joined to the documents, never a list of documents,
+    A column ``copy_no`` of the documents is replaced.  Only the source's rate is joined to the documents, never a list of documents,
     so texts are not shuffled by id.
     """
     plan = mix_plan(docs, source, text, doc_id, **options)
@@ -109,4 +109,4 @@ def mix_documents(docs: DataFrame, source: str = "source", text: str = "text", d
     copies = F.floor(rate) + (chance(F.col(doc_id).cast("bigint"), text_hash) < rate - F.floor(rate)).cast("bigint")
     joined = docs.join(rates, docs[source].cast("string").eqNullSafe(rates["__source"])).withColumn("__copies", copies).filter("__copies > 0")
     numbers = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))).alias("copy_no")
-    return joined.select(*[docs[c] for c in docs.columns], numbers)
+    return joined.select(*[docs[c] for c in docs.columns if c != "copy_no"], numbers)

@@ -5,27 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, licenses, lm_score, mixing, neardup, pii, quality, substrings, url_filter
+from . import checks, decontaminate, fingerprints, licenses, lm_score, mixing, neardup, pii, quality, substrings, url_filter
 from .base import register, table
 
 
-@register("op1_license_scan")
+@register("op1_license_scan", checks.LICENSES)
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-@register("op2_mix_sources")
+@register("op2_mix_sources", checks.MIX)
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-@register("op3_near_duplicates")
+@register("op3_near_duplicates", checks.NEAR_DUPLICATES)
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-@register("op4_repeated_passages")
+@register("op4_repeated_passages", checks.REPEATS)
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeat_digest(table(spark, sf_dir, "documents"))
 
@@ -52,7 +52,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
-@register("op8_benchmark_leaks")
+@register("op8_benchmark_leaks", checks.LEAKS)
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
