@@ -82,12 +82,16 @@ def test_set_names(spark):
     assert column(spark, ["850", "856", "810", "997", "855", None], edi.set_name(F.col("v"))) == ["PO", "ASN", "INV", "FA", None, None]
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 2])
-def test_large_orders_go_on_in_parts(spark, sf_dir, hot_rows):
-    whole = domain.documents_of_orders(spark, sf_dir)
-    parts = domain.documents_of_orders(spark, sf_dir, items_per_part=2, hot_rows=hot_rows)
-    assert parts.agg(F.max("n_items")).first()[0] == 2
-    assert rows(edi.document_items(parts, "xml", ["order_id"]).drop("pos")) == rows(edi.document_items(whole, "xml", ["order_id"]).drop("pos"))
+def test_an_order_of_any_size_is_one_document(spark):
+    n = 50_000
+    headers = spark.createDataFrame([(1, 77), (2, 78)], "order_id int, seed int")
+    lines = spark.range(n).select(F.lit(1).alias("order_id"), (n - F.col("id")).alias("line"))
+    header, item = [F.col("seed").alias("EDI_Seed")], [F.concat(F.lit("i"), F.col("line")).alias("_Id"), F.lit(2).alias("Quantity")]
+    document = orders.order_documents(headers, lines, "order_id", header, [F.col("line")], item)
+    assert rows(document.filter("xml like '%EDI_Seed%'"), "order_id", "seq_no") == [(1, 0), (2, 0)]
+    found = edi.document_items(document, "xml", ["order_id"])
+    same = (F.col("pos") == F.col("seq_no")) & (F.col("item_id") == F.concat(F.lit("i"), F.col("pos")))
+    assert found.agg(F.count(F.lit(1)), F.min("pos"), F.max("pos"), F.count_distinct("pos"), F.every(same)).first() == (n, 1, n, n, True)
 
 
 def test_transitions(spark):

@@ -46,19 +46,6 @@ def test_global_row_number(skewed):
     assert rows(ordering.global_row_number(skewed, down, "n", partitions=6)) == rows(plain)
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 100])
-def test_parts_keep_every_item(skewed, hot_rows):
-    parts = ordering.collect_in_parts(skewed, ["k"], order(), F.col("b"), "items", 64, hot_rows)
-    collected = {}
-    for r in sorted(parts.collect(), key=lambda r: (str(r["k"]), r["part_no"])):
-        assert len(r["items"]) <= 64
-        collected.setdefault(r["k"], []).extend(r["items"])
-    plain = {}
-    for r in skewed.orderBy("k", *order()).collect():
-        plain.setdefault(r["k"], []).append(r["b"])
-    assert collected == plain
-
-
 def test_identity_column(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",)], "name string")
     assert rows(shape.add_identity(df, [F.col("name")], "Id", seed=10, step=-2)) == [("a", 10), ("b", 8), ("c", 6)]

@@ -97,11 +97,11 @@ def interchange_headers(documents: DataFrame, sender: Column, receiver: Column,
 
 
 def document_items(df: DataFrame, xml: str, keys: list[str]) -> DataFrame:
-    """Items of each document in document order; only the items are parsed."""
-    items = F.from_xml(xml, ITEMS_DDL, {"rowTag": "Order"})["OrderItem"]
-    return df.select(*keys, F.posexplode(items).alias("pos", "item")).select(
+    """Items of documents in rows, parsed once each; ``pos`` is the place in the whole order."""
+    items = computed_once(df.filter("seq_no > 0"), "item", F.from_xml(xml, ITEM_DDL, {"rowTag": "OrderItem"}))
+    return items.select(
         *keys,
-        (F.col("pos") + 1).alias("pos"),
+        F.col("seq_no").alias("pos"),
         F.col("item._Id").alias("item_id"),
         F.col("item._SeqNo").alias("seq_no"),
         F.col("item.Price").alias("price"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .keys import drop_matching
-from .ordering import collect_in_parts
+from .ordering import row_number_within
 from .shape import columns_with_values, exclude_columns
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -35,12 +35,15 @@ def rows_to_json(df: DataFrame, excluded: str | Iterable[str] = (), keys: Sequen
 
 
 def rows_to_json_arrays(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], excluded: str | Iterable[str] = (), per_array: int = 1_000, out: str = "json"
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], excluded: str | Iterable[str] = (), out: str = "json"
 ) -> DataFrame:
-    """The rows of each group as JSON arrays of at most ``per_array`` objects, in order."""
+    """The elements of each group's JSON array: one object per row, with its place from 1.
+
+    An array of any size stays rows; written in order they are the array.
+    """
     columns = columns_with_values(exclude_columns(df, excluded))
-    parts = collect_in_parts(df, keys, order, json_ready(df, columns), "rows", per_array)
-    return parts.select(*keys, "part_no", F.to_json("rows", KEEP_NULLS).alias(out))
+    placed = row_number_within(df, keys, order, "_place")
+    return placed.select(*keys, F.col("_place").alias("position"), F.to_json(json_ready(df, columns), KEEP_NULLS).alias(out))
 
 
 def row_to_json(df: DataFrame, excluded: str | Iterable[str] = (), keys: Sequence[str] = (), out: str = "json") -> DataFrame:

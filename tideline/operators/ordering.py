@@ -52,8 +52,8 @@ def global_row_number(df: DataFrame, order: Sequence[Column], out: str, partitio
     return indexed.withColumn(out, (F.col("_index") + 1).cast("bigint")).drop("_part", "_pos", "_index")
 
 
-def _split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int, count_on: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    found = hot_keys(df if count_on is None else count_on, keys, hot_rows)
+def _split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    found = hot_keys(df, keys, hot_rows)
     hot = small_side(found.select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)]))
     if hot.isEmpty():
         return df, None
@@ -66,16 +66,15 @@ def row_number_within(
     keys: Sequence[str],
     order: Sequence[Column],
     out: str,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     partitions: int | None = None,
-    count_on: DataFrame | None = None,
 ) -> DataFrame:
     """1-based place of every row inside its group.
 
-    ``count_on`` is a cheaper frame with the same groups to find hot ones in,
-    as when ``df`` is a join that adds no rows.
+    With ``hot_rows`` None no hot group is looked for: right where a group is
+    small by its nature, as the lines of one order, and spares a count.
     """
-    cold, hot = _split_hot(df, keys, hot_rows, count_on)
+    cold, hot = (df, None) if hot_rows is None else _split_hot(df, keys, hot_rows)
     numbered = cold.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     if hot is None:
         return numbered
@@ -112,31 +111,3 @@ def lag_within(
     same_group = F.col("_prev.k").eqNullSafe(F.struct(*keys))
     result = found.select(*df.columns, *[F.when(same_group, F.col(f"_prev.v.{v}")).alias(o) for v, o in values.items()])
     return lagged.unionByName(result)
-
-
-def collect_in_parts(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    item: Column,
-    out: str,
-    max_items: int,
-    hot_rows: int = HOT_ROWS,
-    count_on: DataFrame | None = None,
-) -> DataFrame:
-    """Items of each group in order, as arrays of at most ``max_items``.
-
-    One row per (group, ``part_no``): a group of any size stays whole, and no
-    task ever holds more than one part of it.
-    """
-    numbered = row_number_within(df, keys, order, "_seq", hot_rows, count_on=count_on)
-    return (
-        numbered.select(
-            *keys,
-            F.floor((F.col("_seq") - 1) / max_items).cast("int").alias("part_no"),
-            F.struct(F.col("_seq"), item.alias("item")).alias("_entry"),
-        )
-        .groupBy(*keys, "part_no")
-        .agg(F.sort_array(F.collect_list("_entry")).alias("_entries"))
-        .select(*keys, "part_no", F.transform("_entries", lambda e: e["item"]).alias(out))
-    )

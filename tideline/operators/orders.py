@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .export import element_xml
-from .ordering import HOT_ROWS, collect_in_parts, lag_within
+from .ordering import HOT_ROWS, lag_within, row_number_within
 
 # The order statuses and the moves between them.
 DRAFT = "Draft"
@@ -27,7 +27,6 @@ ORDER_TABLE = "Order__c"
 # What a document from the manufacturer does to the order.
 STATUS_OF_DOCUMENT = {"855": IN_PRODUCTION, "810": COMPLETED}
 SHIPPING_DOCUMENT = "856"
-ITEMS_PER_PART = 10_000
 
 
 def submitted_orders(changes: DataFrame, status: str = "status", table: str = "table_name") -> DataFrame:
@@ -70,45 +69,19 @@ def status_after_documents(documents: DataFrame, key: str, order: Sequence[str],
     )
 
 
-def order_items(
-    lines: DataFrame,
-    key: str,
-    order: Sequence[Column],
-    item: Column,
-    items_per_part: int = ITEMS_PER_PART,
-    hot_rows: int = HOT_ROWS,
-    count_on: DataFrame | None = None,
-) -> DataFrame:
-    """Items of each order in SeqNo order, in parts of a bounded size."""
-    return collect_in_parts(lines, [key], order, item, "items", items_per_part, hot_rows, count_on)
-
-
-def order_documents(headers: DataFrame, parts: DataFrame, key: str, header: Sequence[Column], items_per_part: int = ITEMS_PER_PART) -> DataFrame:
-    """One XML ``Order`` element per order part.
+def order_documents(headers: DataFrame, lines: DataFrame, key: str, header: Sequence[Column], order: Sequence[Column], item: Sequence[Column]) -> DataFrame:
+    """The XML document of every order as rows (key, seq_no, xml).
 
-    An order of ordinary size is one document, ``part_no`` 0.  A larger one goes
-    on in further parts, each a whole element with the same header, so no item
-    is lost and no task holds an unbounded order.  An order without lines has a
-    document without items.
+    Row 0 is the ``Order`` element with the header, so the control number stands
+    once; rows 1 to n are its ``OrderItem`` elements in order.  The form is the
+    same for orders of every size, and no row holds more than one item.  An
+    order without lines has row 0 only.
     """
-    joined = headers.join(parts, key, "left")
-    numbered = F.transform(
-        F.col("items"),
-        lambda item, i: F.struct(
-            item["_Id"].alias("_Id"),
-            (F.col("part_no") * items_per_part + i + 1).cast("int").alias("_SeqNo"),
-            item["Price"].alias("Price"),
-            item["Quantity"].alias("Quantity"),
-            item["Product_Id"].alias("Product_Id"),
-            item["Product_Name"].alias("Product_Name"),
-        ),
-    )
-    return joined.select(
-        key,
-        F.coalesce("part_no", F.lit(0)).alias("part_no"),
-        F.coalesce(F.size("items"), F.lit(0)).alias("n_items"),
-        element_xml(F.struct(*header, numbered.alias("OrderItem")), "Order").alias("xml"),
-    )
+    heads = headers.select(key, F.lit(0).alias("seq_no"), element_xml(F.struct(*header), "Order").alias("xml"))
+    placed = row_number_within(lines, [key], order, "_seq", hot_rows=None).withColumn("seq_no", F.col("_seq").cast("int"))
+    first, *rest = item
+    element = F.struct(first, F.col("seq_no").alias("_SeqNo"), *rest)
+    return heads.unionByName(placed.select(key, "seq_no", element_xml(element, "OrderItem").alias("xml")))
 
 
 def wrap_in_orders(xml: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import global_row_number, collect_in_parts
+from .ordering import global_row_number, row_number_within
 
 
 def derive_column(df: DataFrame, source: str, new: str, rule) -> DataFrame:
@@ -55,14 +55,17 @@ def distinct_projection(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns).distinct()
 
 
-def included_fields(fields: DataFrame, keys: Sequence[str], name: str, excluded: str, max_items: int = 10_000) -> DataFrame:
-    """Names not excluded (NULL counts as included), as a JSON array and a count.
+def _listed(df: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
+    """A list as rows: the values of each group in order, their places from 1, and how many there are."""
+    placed = row_number_within(df, keys, [F.col(value)], "position")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count))
+    return placed.join(sizes, list(keys)).select(*keys, "position", value, count)
 
-    Beyond ``max_items`` names the list goes on in the next ``part_no``.
-    """
+
+def included_fields(fields: DataFrame, keys: Sequence[str], name: str, excluded: str) -> DataFrame:
+    """Names not excluded (NULL counts as included): one row per name with its place, and the count of its group."""
     kept = fields.filter(~F.coalesce(F.col(excluded), F.lit(False)) & (F.coalesce(F.col(name), F.lit("")) != ""))
-    parts = collect_in_parts(kept, keys, [F.col(name)], F.col(name), "names", max_items)
-    return parts.select(*keys, "part_no", F.to_json("names").alias("fields_json"), F.size("names").cast("bigint").alias("n_fields"))
+    return _listed(kept.select(*keys, name), keys, name, "n_fields")
 
 
 def platform_events(objects: DataFrame, name: str = "name", triggerable: str = "triggerable") -> DataFrame:
@@ -91,16 +94,11 @@ def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def joined_list(df: DataFrame, keys: Sequence[str], label: str, value: str, out: str = "pairs", max_items: int = 10_000) -> DataFrame:
-    """Sorted ``label=value, ...`` over the distinct pairs of each group.
-
-    Distinct pairs come first, so repeats never reach the list; a list above
-    ``max_items`` pairs goes on in the next ``part_no``.
-    """
+def joined_list(df: DataFrame, keys: Sequence[str], label: str, value: str, out: str = "pair") -> DataFrame:
+    """The distinct ``label=value`` pairs of each group in order: one row per pair with its place, and their count."""
     pair = F.concat(F.col(label).cast("string"), F.lit("="), F.col(value).cast("string"))
-    pairs = df.select(*keys, pair.alias("_pair")).distinct()
-    parts = collect_in_parts(pairs, keys, [F.col("_pair")], F.col("_pair"), "_pairs", max_items)
-    return parts.select(*keys, "part_no", F.array_join("_pairs", ", ").alias(out))
+    pairs = df.select(*keys, pair.alias(out)).distinct()
+    return _listed(pairs, keys, out, "n_pairs")
 
 
 def scalars_or_default(df: DataFrame, **wanted: tuple[Column, object]) -> DataFrame:

@@ -16,12 +16,12 @@ STATUS = "CASE o_orderstatus WHEN 'O' THEN 'Draft' WHEN 'P' THEN 'Submitted to M
 LINES = """ln AS (SELECT l.*, p_name, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS seq
    FROM lineitem l LEFT JOIN part ON p_partkey = l_partkey)"""
 PRICE = "CAST(CAST(l_extendedprice AS DECIMAL(19,4)) AS VARCHAR)"
-DOC = f"""{LINES}, it AS (SELECT l_orderkey, count(*) AS n, string_agg('<OrderItem Id="' || l_partkey || '-' || l_suppkey || '" SeqNo="' || seq || '"><Price>' || {PRICE} || '</Price><Quantity>' || CAST(l_quantity AS INTEGER)
-     || '</Quantity><Product_Id>' || l_partkey || '</Product_Id><Product_Name>' || p_name || '</Product_Name></OrderItem>', '' ORDER BY seq) AS items FROM ln GROUP BY l_orderkey),
-   doc AS (SELECT o_orderkey AS order_id, 0 AS part_no, CAST(coalesce(n, 0) AS INTEGER) AS n_items, '<Order Id="' || o_orderkey || '" Name="O-' || o_orderkey || '"><CreatedDate>' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '</CreatedDate><Status__c>' || {STATUS}
+DOC = f"""{LINES}, it AS (SELECT l_orderkey AS order_id, CAST(seq AS INTEGER) AS seq_no, '<OrderItem Id="' || l_partkey || '-' || l_suppkey || '" SeqNo="' || seq || '"><Price>' || {PRICE} || '</Price><Quantity>' || CAST(l_quantity AS INTEGER)
+     || '</Quantity><Product_Id>' || l_partkey || '</Product_Id><Product_Name>' || p_name || '</Product_Name></OrderItem>' AS xml FROM ln),
+   doc AS (SELECT o_orderkey AS order_id, 0 AS seq_no, '<Order Id="' || o_orderkey || '" Name="O-' || o_orderkey || '"><CreatedDate>' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '</CreatedDate><Status__c>' || {STATUS}
      || '</Status__c><EdiStatus>Pending</EdiStatus><EDI_Seed>' || o_orderkey || '</EDI_Seed><Account Id="' || c_custkey || '"><AccountNumber>EDI-' || c_custkey || '</AccountNumber><AccountName>' || c_name
-     || '</AccountName><AccountType>' || c_mktsegment || '</AccountType><Contact Id="C-' || c_custkey || '"><AccountId>' || c_custkey || '</AccountId><Title>EDI</Title></Contact></Account>' || coalesce(items, '') || '</Order>' AS xml
-     FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN it ON l_orderkey = o_orderkey)"""
+     || '</AccountName><AccountType>' || c_mktsegment || '</AccountType><Contact Id="C-' || c_custkey || '"><AccountId>' || c_custkey || '</AccountId><Title>EDI</Title></Contact></Account></Order>' AS xml
+     FROM orders JOIN customer ON c_custkey = o_custkey)"""
 
 # JSON and XML in ------------------------------------------------------------------------
 
@@ -108,9 +108,9 @@ def json_doc_xml(spark, sf_dir):
     CAST(l_partkey AS VARCHAR) AS Product_Id, p_name AS Product_Name FROM ln""",
 )
 def xml_to_rows(spark, sf_dir):
-    docs = domain.documents_of_orders(spark, sf_dir)
-    parsed = xml_docs.parse_documents(docs, "xml", "Order", edi.ITEMS_DDL, keep=["order_id"])
-    return xml_docs.element_table(parsed, "OrderItem", ["order_id"])
+    items = domain.documents_of_orders(spark, sf_dir).filter("seq_no > 0")
+    parsed = xml_docs.parse_documents(items, "xml", "OrderItem", edi.ITEM_DDL, keep=["order_id", "seq_no"])
+    return parsed.select("order_id", (F.col("seq_no") - 1).alias("pos"), "doc.*")
 
 
 @query(
@@ -119,12 +119,14 @@ def xml_to_rows(spark, sf_dir):
     FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
 )
 def xml_to_accounts(spark, sf_dir):
-    docs = computed_once(domain.documents_of_orders(spark, sf_dir), "o", edi.parse_order(F.col("xml")))
+    rows = domain.documents_of_orders(spark, sf_dir)
+    items = rows.filter("seq_no > 0").groupBy("order_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    docs = computed_once(rows.filter("seq_no = 0"), "o", edi.parse_order(F.col("xml"))).join(items, "order_id", "left")
     return docs.select(
         "order_id", F.col("o._Name").alias("name"), F.col("o.CreatedDate").alias("created"), F.col("o.Status__c").alias("status"),
         F.col("o.Account._Id").alias("account_id"), F.col("o.Account.AccountName").alias("account_name"),
         F.col("o.Account.Contact._Id").alias("contact_id"), F.col("o.Account.Contact.Email").alias("email"),
-        F.coalesce(F.size("o.OrderItem"), F.lit(0)).alias("n_items"),
+        F.coalesce("n", F.lit(0)).alias("n_items"),
     )
 
 
@@ -159,8 +161,8 @@ def rows_to_json(spark, sf_dir):
 
 @query(
     "rows_to_json_array",
-    """SELECT o_custkey, 0 AS part_no, '[' || string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '","o_orderpriority":"' || o_orderpriority || '"}', ',' ORDER BY o_orderkey) || ']' AS json
-    FROM orders GROUP BY o_custkey""",
+    """SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position, '{"o_orderkey":' || o_orderkey || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '","o_orderpriority":"' || o_orderpriority || '"}' AS json
+    FROM orders""",
 )
 def rows_to_json_array(spark, sf_dir):
     o = domain.table(spark, sf_dir, "orders").withColumn("never", F.lit(None).cast("int"))
@@ -275,7 +277,7 @@ def edi_status_update(spark, sf_dir):
     return orders.status_after_documents(documents, "order_id", ["ts", "event_id"])
 
 
-@query("order_document", f"WITH {DOC} SELECT order_id, part_no, n_items, xml FROM doc")
+@query("order_document", f"WITH {DOC} SELECT * FROM doc UNION ALL SELECT * FROM it")
 def order_document(spark, sf_dir):
     return domain.documents_of_orders(spark, sf_dir)
 

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import entity_topic, object_to_event
-from ..operators.ordering import HOT_ROWS
-from ..operators.orders import COMPLETED, DRAFT, IN_PRODUCTION, ITEMS_PER_PART, REVISION, SUBMITTED, order_documents, order_items
+from ..operators.orders import COMPLETED, DRAFT, IN_PRODUCTION, REVISION, SUBMITTED, order_documents
 from ..sources.feed import pack_envelopes, payload_schema
 
 DATA_FIELDS = {"Value__c": T.DoubleType(), "K__c": T.IntegerType()}
@@ -207,22 +206,21 @@ def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def documents_of_orders(spark: SparkSession, sf_dir: str, items_per_part: int = ITEMS_PER_PART, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """XML document of every order: account, items in order, price with four decimals."""
+def documents_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XML document of every order as rows: account, then items in order, price with four decimals."""
     lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "order_id")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     described = lines.join(part, lines.l_partkey == part.p_partkey, "left")
-    item = F.struct(
+    item = [
         F.concat(F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string")).alias("_Id"),
         F.col("l_extendedprice").cast("decimal(19,4)").alias("Price"),
         F.col("l_quantity").cast("int").alias("Quantity"),
         F.col("l_partkey").cast("string").alias("Product_Id"),
         F.col("p_name").alias("Product_Name"),
-    )
+    ]
     # Line numbers repeat inside an order, so the order of items uses all line columns.
     lead = ["l_linenumber", "l_partkey", "l_suppkey"]
     order = [F.col(c) for c in lead + [c for c in lines.columns if c not in ("order_id", *lead)]]
-    parts = order_items(described, "order_id", order, item, items_per_part, hot_rows, count_on=lines)
     accounts = table(spark, sf_dir, "customer").withColumn("_id", F.col("c_custkey").cast("string"))
     headers = order_rows(spark, sf_dir).join(accounts, F.col("account_id") == F.col("c_custkey"), "left")
     contact = F.struct(F.concat(F.lit("C-"), "_id").alias("_Id"), F.col("_id").alias("AccountId"), F.lit("EDI").alias("Title"))
@@ -242,4 +240,4 @@ def documents_of_orders(spark: SparkSession, sf_dir: str, items_per_part: int =
         F.col("order_id").alias("EDI_Seed"),
         account.alias("Account"),
     ]
-    return order_documents(headers, parts, "order_id", header, items_per_part)
+    return order_documents(headers, described, "order_id", header, order, item)

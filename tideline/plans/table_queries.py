@@ -119,8 +119,8 @@ def distinct_projection(spark, sf_dir):
 
 @query(
     "included_fields",
-    """SELECT p_brand AS object_name, 0 AS part_no, '[' || string_agg('"' || p_name || '"', ',' ORDER BY p_name) || ']' AS fields_json, count(*) AS n_fields
-    FROM (SELECT p_brand, p_name, min(p_size) AS s FROM part GROUP BY ALL) WHERE s <> 1 AND s <> 2 GROUP BY p_brand""",
+    """SELECT p_brand AS object_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_name) AS position, p_name AS field_name, count(*) OVER (PARTITION BY p_brand) AS n_fields
+    FROM (SELECT p_brand, p_name, min(p_size) AS s FROM part GROUP BY ALL) WHERE s <> 1 AND s <> 2""",
 )
 def included_fields(spark, sf_dir):
     p = domain.table(spark, sf_dir, "part")
@@ -545,7 +545,8 @@ def null_profile(spark, sf_dir):
 
 @query(
     "joined_list",
-    "SELECT o_orderstatus, 0 AS part_no, string_agg(pair, ', ' ORDER BY pair) AS pairs FROM (SELECT DISTINCT o_orderstatus, o_orderpriority || '=' || o_orderstatus AS pair FROM orders) GROUP BY 1",
+    """SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY pair) AS position, pair, count(*) OVER (PARTITION BY o_orderstatus) AS n_pairs
+    FROM (SELECT DISTINCT o_orderstatus, o_orderpriority || '=' || o_orderstatus AS pair FROM orders)""",
 )
 def joined_list(spark, sf_dir):
     return shape.joined_list(domain.table(spark, sf_dir, "orders"), ["o_orderstatus"], "o_orderpriority", "o_orderstatus")
