@@ -1,12 +1,16 @@
 """Near-duplicate documents: MinHash bands, odd sketches, exact verification.
 
 Documents with one shingle set are a class; classes are compared, not copies.
-Each class has 128 MinHash samples: 100 make 20 band keys of 5, and all of them
+Each class has 256 MinHash samples: 100 make 20 band keys of 5, and all of them
 are folded into a parity bitmap (odd sketch).  Classes that share a band are
 candidates; the population count of the XOR of two odd sketches estimates a high
 similarity precisely, and only pairs near enough go on to be confirmed on their
 full shingle sets, read from the texts.  A pair at 0.85 shares no band with
-probability 8e-6, and falls below the sketch bound with less.
+probability 8e-6, and falls below the sketch bound (0.74) with about 1e-5.
+
+Large families are joined by a star first: each member of a bucket against the
+bucket's smallest id.  Then only pairs in different components are compared, at
+the first band they share, and their sketches inside the join.
 """
 
 from __future__ import annotations
@@ -24,10 +28,10 @@ from . import words as W
 from .base import keyed, stored
 
 WIDTH = 5
-BANDS, ROWS, SAMPLES = 20, 5, 128
-SKETCH_WORDS = 8  # of 64 bits
+BANDS, ROWS, SAMPLES = 20, 5, 256
+SKETCH_WORDS = 16  # of 64 bits
 LINK = (85, 100)  # 100 * intersection >= 85 * union
-MARGIN = 0.2  # how far below the link similarity an estimate may lie
+MARGIN = 0.11  # how far below the link similarity an estimate may lie
 
 _MULTIPLY = W.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = W.mix(np.arange(1001, SAMPLES + 1001, dtype=np.uint64))
@@ -86,6 +90,9 @@ def largest_difference(similarity: float) -> int:
     return math.floor(bits / 2 * (1 - math.exp(-2 * 2 * SAMPLES * (1 - similarity) / bits)))
 
 
+_BOUND = largest_difference(LINK[0] / LINK[1] - MARGIN)
+
+
 def _difference(a: Column, b: Column) -> Column:
     total = F.lit(0)
     for i in range(SKETCH_WORDS):
@@ -125,9 +132,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def sketched_near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Candidate pairs whose odd sketches do not rule a link out."""
     of = lambda side: classes.select(F.col("set_key").alias(side), F.col("sketch").alias(f"sketch_{side}"))
-    bound = largest_difference(LINK[0] / LINK[1] - MARGIN)
     both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return stored(both.filter(_difference(F.col("sketch_a"), F.col("sketch_b")) <= bound).select("a", "b"), "pairs")
+    return stored(both.filter(_difference(F.col("sketch_a"), F.col("sketch_b")) <= _BOUND).select("a", "b"), "pairs")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -173,11 +179,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         ),
         "classes",
     )
-    banded = classes.select("set_key", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("set_key").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = stored(banded.join(shared.drop("size"), "band"), "members")
+    banded = classes.select("set_key", F.coalesce("lowest", F.lit(2**63 - 1)).alias("id"), F.posexplode("bands").alias("no", "band"))
+    shared = banded.groupBy("band").agg(F.min(F.struct("id", "set_key")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = stored(banded.join(shared, "band").select("band", "no", "set_key", F.col("first.set_key").alias("leader")), "members")
 
-    # Each member against the first of its bucket: this alone joins most of a large group.
+    # Each member against the smallest id of its bucket: this alone joins most of a large family.
     first = members.filter("set_key != leader").select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct()
     first = sketched_near(first, classes)
     wanted = members.select("set_key").distinct().join(classes, "set_key").select("set_key", "rep.kd", "rep.kh")
@@ -188,12 +194,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     # Then every pair of a bucket that is not yet in one component.
     roots = connected(links)
-    placed = members.join(roots, members["set_key"] == roots["node"], "left").select("band", "set_key", F.coalesce("root", "set_key").alias("root"))
+    placed = members.join(roots, members["set_key"] == roots["node"], "left").select("band", "no", "set_key", F.coalesce("root", "set_key").alias("root"))
     split = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("band")
-    open_ = stored(placed.join(split, "band"), "open")
-    other = open_.select("band", F.col("set_key").alias("b"), F.col("root").alias("root_b"))
-    second = open_.join(other, "band").filter((F.col("set_key") < F.col("b")) & (F.col("root") != F.col("root_b"))).select(F.col("set_key").alias("a"), "b").distinct()
-    more = confirmed(sketched_near(second.join(first, ["a", "b"], "left_anti"), classes), texts)
+    open_ = stored(placed.join(split, "band").join(classes.select("set_key", "sketch", "bands"), "set_key"), "open")
+    other = open_.select("band", *[F.col(c).alias(f"{c}_b") for c in ("set_key", "root", "sketch", "bands")])
+    near = _difference(F.col("sketch"), F.col("sketch_b")) <= _BOUND
+    # A pair is met at the first band it shares, once.
+    here = F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True) == F.col("no") + 1
+    met = open_.join(other, (open_["band"] == other["band"]) & (F.col("set_key") < F.col("set_key_b")) & (F.col("root") != F.col("root_b")) & near & here)
+    second = met.select(F.col("set_key").alias("a"), F.col("set_key_b").alias("b"))
+    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = confirmed(second.join(known, ["a", "b"], "left_anti"), texts)
 
     stars = connected(links.union(more))
     rooted = classes.select("set_key", "lowest").join(stars, classes["set_key"] == stars["node"], "left").select("set_key", "lowest", F.coalesce("root", "set_key").alias("root"))
