@@ -151,3 +151,17 @@ def test_wire_json(spark):
 def test_topic_set(spark):
     df = spark.createDataFrame([("a",), ("a",), ("",), ("  ",), (None,)], "topic string")
     assert rows(feed.topic_set(df)) == [("a",)]
+
+
+def test_untouched_fields_keep_their_value(spark):
+    """CREATE(a=5, b=3), then UPDATE of a only; and an event that names no record."""
+    from tideline.operators import delta
+
+    ddl = "record_id string, commit_ts timestamp, replay_id bigint, change_type string, changed_fields array<string>, a int, b int"
+    day = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("r", day, 1, "CREATE", [], 5, 3), ("r", day, 2, "UPDATE", ["a"], 7, None)], ddl)
+    assert rows(apply.fold_changes(df, ["record_id"], ["a", "b"]), "a", "b", "replay_id") == [(7, 3, 2)]
+    ids = spark.createDataFrame([([],), (None,), ([None],), (["x", None],)], "record_ids array<string>")
+    reason = delta.dead_letter_reason(F.lit("header"), F.lit(True), F.lit("UPDATE"), F.lit(1), F.col("record_ids"))
+    assert [r["reason"] for r in ids.select(reason.alias("reason")).collect()] == [delta.NO_RECORD] * 3 + [None]
+    assert rows(delta.fan_out(ids.filter("size(record_ids) = 2")), "record_id") == [("x",)]

@@ -37,13 +37,13 @@ def decoded(spark, path, max_files):
 
 @pytest.mark.parametrize("max_files", [1, 4, None])
 def test_stream_equals_batch(spark, landed, batch_result, tmp_path, max_files):
-    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE)
+    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE, partial=False)
     streams.apply_feed(decoded(spark, landed, max_files), log, str(tmp_path / "dead"), str(tmp_path / "c"), compact_every=2)
     assert rows(log.current()) == batch_result
 
 
 def test_restart_resumes_and_repeats_are_harmless(spark, sf_dir, batch_result, tmp_path):
-    path, log = str(tmp_path / "in"), ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE)
+    path, log = str(tmp_path / "in"), ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE, partial=False)
     envelopes = domain.envelopes(spark, sf_dir)
     args = (log, str(tmp_path / "dead"), str(tmp_path / "c"))
     envelopes.filter("latest_replay_id >= 500").coalesce(2).write.parquet(path)  # the later half lands first
@@ -60,7 +60,7 @@ def test_restart_resumes_and_repeats_are_harmless(spark, sf_dir, batch_result, t
 
 
 def test_empty_batch_is_a_keepalive(spark, tmp_path):
-    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE)
+    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE, partial=False)
     assert rows(log.current()) == []
     path = str(tmp_path / "in")
     spark.createDataFrame([("t", None, [])], feed.ENVELOPE_DDL).write.parquet(path)
@@ -69,7 +69,7 @@ def test_empty_batch_is_a_keepalive(spark, tmp_path):
 
 
 def test_late_change_does_not_revive(spark, tmp_path):
-    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE)
+    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE, partial=False)
     ddl = "record_id string, commit_ts timestamp_ntz, replay_id bigint, change_type string, Value__c double, K__c int"
     day = dt.datetime(2024, 1, 1)
 
@@ -89,7 +89,7 @@ def test_late_change_does_not_revive(spark, tmp_path):
 
 @pytest.mark.parametrize("max_files", [1, None])
 def test_partial_updates_fold_by_field(spark, landed, tmp_path, max_files):
-    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE, partial=True)
+    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE)
     streams.apply_feed(decoded(spark, landed, max_files), log, str(tmp_path / "dead"), str(tmp_path / "c"), compact_every=3)
     good, _ = split_dead_letters(feed.decode_events(feed.split_envelopes(spark.read.parquet(landed)), domain.PAYLOAD))
     assert rows(log.current()) == rows(fold_changes(fan_out(good), ["record_id"], ["Value__c", "K__c"]), "record_id", "Value__c", "K__c")
@@ -100,7 +100,7 @@ def test_update_before_its_create_counts_once_both_are_there(spark, tmp_path):
     day = dt.datetime(2024, 1, 1)
     create = ("a", day, 1, "CREATE", [], 1.0, 1)
     update = ("a", day + dt.timedelta(hours=1), 2, "UPDATE", ["Value__c"], None, None)
-    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE, partial=True)
+    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE)
     log.append(spark.createDataFrame([update], ddl), 0)
     assert rows(log.current()) == []
     log.compact()
@@ -109,8 +109,24 @@ def test_update_before_its_create_counts_once_both_are_there(spark, tmp_path):
 
 
 def test_dead_letters_are_whole(spark, landed, tmp_path):
-    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE)
+    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE, partial=False)
     streams.apply_feed(decoded(spark, landed, 2), log, str(tmp_path / "dead"), str(tmp_path / "c"))
     batch = feed.decode_events(feed.split_envelopes(spark.read.parquet(landed)), domain.PAYLOAD)
     want = rows(batch.filter(F.col("reason").isNotNull()), "replay_id", "reason")
     assert rows(spark.read.parquet(str(tmp_path / "dead")), "replay_id", "reason") == want
+
+
+def test_torn_compaction_loses_nothing(spark, tmp_path):
+    """A base without its manifest entry, the state a crash in the middle leaves, does not count."""
+    import os
+
+    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE)
+    ddl = "record_id string, commit_ts timestamp_ntz, replay_id bigint, change_type string, changed_fields array<string>, Value__c double, K__c int"
+    events = [(f"r{i}", dt.datetime(2024, 1, 1), i, "CREATE", [], float(i), i) for i in range(1000)]
+    log.append(spark.createDataFrame(events, ddl), 0)
+    whole = log.folded().repartition(4)
+    whole.limit(250).write.parquet(f"{log.path}/base/version=0")
+    assert log.current().count() == 1000
+    log.append(spark.createDataFrame(events, ddl), 0)
+    log.compact()
+    assert log.current().count() == 1000 and os.path.exists(f"{log.path}/manifest")

@@ -86,7 +86,11 @@ def latest_state(
     order: Sequence[str] = EVENT_ORDER,
     keep_deleted: bool = False,
 ) -> DataFrame:
-    """The last event of each record; records whose last event deletes are gone."""
+    """The last event of each record as its image; records whose last event deletes are gone.
+
+    Only for events that carry whole images, as after a lookup by id.  Events
+    with changed fields are folded by field: ``fold_changes``.
+    """
     return finish_images(image_state(events, key, values, order), key, values, order, keep_deleted)
 
 

@@ -20,6 +20,7 @@ DELETES = ("DELETE",)
 ID_FIELD = "Id"
 
 NO_HEADER = "no_header"
+NO_RECORD = "no_record_id"
 DECODE_FAILED = "decode_failed"
 UNKNOWN_CHANGE = "unknown_change_type"
 NO_COLUMN = "no_matching_column"
@@ -41,10 +42,13 @@ def with_change_type(df: DataFrame, header_text: str, out: str = "change_type")
 
 
 def fan_out(df: DataFrame, first_only: bool = False) -> DataFrame:
-    """One row per record id of an event, or only the first id for parity."""
+    """One row per record id of an event, or only the first id for parity.
+
+    An event without any id is a dead letter (``no_record_id``) before this step.
+    """
     if first_only:
         return df.withColumn("record_id", F.try_element_at("record_ids", F.lit(1))).filter(F.col("record_id").isNotNull())
-    return df.withColumn("record_id", F.explode("record_ids"))
+    return df.withColumn("record_id", F.explode(F.array_compact("record_ids")))
 
 
 def delta_long(df: DataFrame, fields: Sequence[str], keys: Sequence[str], types: Mapping[str, str] | None = None) -> DataFrame:
@@ -111,13 +115,14 @@ def route(df: DataFrame) -> DataFrame:
     return df.withColumn("route", F.when(kind.isin(*UPSERTS), F.lit("upsert")).when(kind.isin(*DELETES), F.lit("delete")))
 
 
-def dead_letter_reason(header: Column, decoded: Column, change_type: Column, matching_fields: Column) -> Column:
+def dead_letter_reason(header: Column, decoded: Column, change_type: Column, matching_fields: Column, record_ids: Column) -> Column:
     """Why an event cannot be applied, or NULL."""
     known = F.upper(change_type).isin(*UPSERTS, *DELETES)
     is_delete = F.upper(change_type).isin(*DELETES)
     return (
         F.when(~F.coalesce(decoded, F.lit(False)), F.lit(DECODE_FAILED))
         .when(header.isNull(), F.lit(NO_HEADER))
+        .when(F.coalesce(F.size(F.array_compact(record_ids)), F.lit(0)) == 0, F.lit(NO_RECORD))
         .when(~F.coalesce(known, F.lit(False)), F.lit(UNKNOWN_CHANGE))
         .when(~is_delete & (matching_fields == 0), F.lit(NO_COLUMN))
     )

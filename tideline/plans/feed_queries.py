@@ -233,13 +233,13 @@ def _field_updates(spark, sf_dir):
     return e.select("c_custkey", "commit_ts", "replay_id", "change_type", renamed.alias("changed_fields"), F.col("Value__c").alias("c_acctbal"), F.col("K__c").alias("c_nationkey"))
 
 
-@query(
-    "cdc_fold_changes",
-    """WITH r AS (SELECT user_id, event_type, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type IN ('signup','error')) WHERE n = 1),
+FOLDED = """WITH r AS (SELECT user_id, event_type, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type IN ('signup','error')) WHERE n = 1),
     v AS (SELECT r.user_id, e.value, row_number() OVER (PARTITION BY r.user_id ORDER BY e.ts DESC, e.event_id DESC) AS n FROM r JOIN events e ON e.user_id = r.user_id AND (e.ts, e.event_id) >= (r.ts, r.event_id) AND e.event_type IN ('click','purchase','signup')),
     k AS (SELECT r.user_id, CAST(json_extract_string(e.props, '$.k') AS INTEGER) AS k, row_number() OVER (PARTITION BY r.user_id ORDER BY e.ts DESC, e.event_id DESC) AS n FROM r JOIN events e ON e.user_id = r.user_id AND (e.ts, e.event_id) >= (r.ts, r.event_id) AND e.event_type IN ('view','purchase','signup'))
-    SELECT CAST(r.user_id AS VARCHAR) AS record_id, v.value AS Value__c, k.k AS K__c FROM r JOIN v ON v.user_id = r.user_id AND v.n = 1 JOIN k ON k.user_id = r.user_id AND k.n = 1 WHERE r.event_type = 'signup'""",
-)
+    SELECT CAST(r.user_id AS VARCHAR) AS record_id, v.value AS Value__c, k.k AS K__c FROM r JOIN v ON v.user_id = r.user_id AND v.n = 1 JOIN k ON k.user_id = r.user_id AND k.n = 1 WHERE r.event_type = 'signup'"""
+
+
+@query("cdc_fold_changes", FOLDED)
 def cdc_fold_changes(spark, sf_dir):
     folded = apply.fold_changes(domain.change_events(spark, sf_dir), ["record_id"], ["Value__c", "K__c"])
     return folded.select("record_id", "Value__c", "K__c")
@@ -291,13 +291,13 @@ def cdc_dead_letter(spark, sf_dir):
     return bad.select("topic", "replay_id", "reason")
 
 
-LATEST = f"""WITH {EV} SELECT record_id, commit_ts, replay_id, change_type, Value__c, K__c FROM ev a WHERE change_type <> 'DELETE'
-    AND NOT EXISTS (SELECT 1 FROM ev b WHERE b.record_id = a.record_id AND (b.commit_ts > a.commit_ts OR (b.commit_ts = a.commit_ts AND b.replay_id > a.replay_id)))"""
-
-
-@query("cdc_latest_state", LATEST)
+@query(
+    "cdc_latest_state",
+    f"""SELECT f.*, e.ts AS commit_ts, e.event_id AS replay_id FROM ({FOLDED}) f
+    JOIN (SELECT CAST(user_id AS VARCHAR) AS record_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) e ON e.record_id = f.record_id AND e.n = 1""",
+)
 def cdc_latest_state(spark, sf_dir):
-    return apply.latest_state(domain.change_events(spark, sf_dir), ["record_id"], ["Value__c", "K__c"])
+    return apply.fold_changes(domain.change_events(spark, sf_dir), ["record_id"], ["Value__c", "K__c"])
 
 
 @query(

@@ -12,7 +12,7 @@ from ..streaming import apply as streams
 from ..streaming.replica import ReplicaLog
 from . import domain
 from .catalog import query
-from .feed_queries import DECODED, EV, LATEST, REASON
+from .feed_queries import DECODED, EV, FOLDED, REASON
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 STATE = T.StructType().add("record_id", T.StringType()).add("Value__c", T.DoubleType()).add("K__c", T.IntegerType())
@@ -30,11 +30,6 @@ def _envelope_stream(spark, sf_dir, max_files=4):
     return feed.read_envelopes(spark, path, max_files)
 
 
-LATEST_APPLIED = f"""WITH {EV}, ok AS (SELECT *, CASE WHEN raw_value NOT BETWEEN 10 AND 12 THEN Value__c END AS v, CASE WHEN raw_value NOT BETWEEN 10 AND 12 THEN K__c END AS k FROM ev WHERE ({REASON}) IS NULL)
-    SELECT entity, record_id, v AS Value__c, k AS K__c FROM ok a WHERE change_type <> 'DELETE'
-    AND NOT EXISTS (SELECT 1 FROM ok b WHERE b.record_id = a.record_id AND (b.commit_ts > a.commit_ts OR (b.commit_ts = a.commit_ts AND b.replay_id > a.replay_id)))"""
-
-
 FIELDS_APPLIED = f"""WITH {EV}, ok AS (SELECT * FROM ev WHERE ({REASON}) IS NULL),
     r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY commit_ts DESC, replay_id DESC) AS n FROM ok WHERE event_type IN ('signup', 'error')) WHERE n = 1),
     v AS (SELECT r.record_id, e.Value__c, row_number() OVER (PARTITION BY r.record_id ORDER BY e.commit_ts DESC, e.replay_id DESC) AS n FROM r JOIN ok e ON e.record_id = r.record_id AND (e.commit_ts, e.replay_id) >= (r.commit_ts, r.replay_id) AND e.event_type IN ('click', 'purchase', 'signup')),
@@ -42,16 +37,16 @@ FIELDS_APPLIED = f"""WITH {EV}, ok AS (SELECT * FROM ev WHERE ({REASON}) IS NULL
     SELECT r.entity, r.record_id, v.Value__c, k.K__c FROM r JOIN v ON v.record_id = r.record_id AND v.n = 1 JOIN k ON k.record_id = r.record_id AND k.n = 1 WHERE r.event_type = 'signup'"""
 
 
-def _applied(spark, sf_dir, partial=False):
+def _applied(spark, sf_dir):
     decoded = feed.decode_events(feed.split_envelopes(_envelope_stream(spark, sf_dir)), domain.PAYLOAD)
     path = work_dir(spark, "replica")
     schema = T.StructType([T.StructField("entity", T.StringType()), *STATE.fields])
-    log = ReplicaLog(spark, path, ["entity", "record_id"], schema, partial=partial, partition_by=["entity"])
+    log = ReplicaLog(spark, path, ["entity", "record_id"], schema, partition_by=["entity"])
     streams.apply_feed(decoded, log, path + "/dead", path + "/checkpoint")
     return log, path
 
 
-@query("stream_apply", LATEST_APPLIED)
+@query("stream_apply", FIELDS_APPLIED)
 def stream_apply(spark, sf_dir):
     log, _ = _applied(spark, sf_dir)
     return log.current()
@@ -59,13 +54,13 @@ def stream_apply(spark, sf_dir):
 
 @query("stream_apply_fields", FIELDS_APPLIED)
 def stream_apply_fields(spark, sf_dir):
-    log, _ = _applied(spark, sf_dir, partial=True)
+    log, _ = _applied(spark, sf_dir)
     return log.current()
 
 
 @query("stream_compact", FIELDS_APPLIED)
 def stream_compact(spark, sf_dir):
-    log, _ = _applied(spark, sf_dir, partial=True)
+    log, _ = _applied(spark, sf_dir)
     log.compact()
     return log.current()
 
@@ -98,7 +93,7 @@ def stream_schema_join(spark, sf_dir):
     return streams.run_to_table(joined, out, out + "-checkpoint")
 
 
-@query("stream_state", LATEST.replace("SELECT record_id, commit_ts, replay_id, change_type, Value__c, K__c", "SELECT record_id, Value__c, K__c"))
+@query("stream_state", FOLDED)
 def stream_state(spark, sf_dir):
     path = work_dir(spark, "state")
     log = ReplicaLog(spark, path, ["record_id"], STATE)

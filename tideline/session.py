@@ -28,11 +28,14 @@ def build_session(app: str = "tideline", master: str | None = None, **conf: obje
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which every executor can reach.
 
-    A temporary folder is used only where the cluster names none, as in tests.
+    A temporary folder is used only by a local master that names none; a cluster
+    must name one, as its machines do not see each other's folders.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not configured:
+        if not context.getCheckpointDir() and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors can reach")
         configured = context.getCheckpointDir() or tempfile.mkdtemp(prefix="tideline-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)

@@ -127,7 +127,7 @@ def decode_events(events: DataFrame, schema: T.StructType) -> DataFrame:
     named = header_fields(flat).withColumn("change_type", F.coalesce(F.col("ChangeEventHeader.changeType"), F.lit(UNKNOWN)))
     filled = sum((F.col(f).isNotNull().cast("int") for f in data), F.lit(0))
     touched = F.size(F.array_intersect("changed_fields", F.array(*[F.lit(f) for f in data])))
-    reason = dead_letter_reason(F.col("ChangeEventHeader"), F.col("_decoded"), F.col("change_type"), filled + touched)
+    reason = dead_letter_reason(F.col("ChangeEventHeader"), F.col("_decoded"), F.col("change_type"), filled + touched, F.col("record_ids"))
     return named.withColumn("reason", F.coalesce("_split_reason", reason)).drop("_split_reason", "_decoded", "ChangeEventHeader")
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.apply import field_state
 from ..operators.delta import fan_out, split_dead_letters
 from .replica import ReplicaLog
 
@@ -54,16 +54,23 @@ def apply_feed(decoded: DataFrame, replica: ReplicaLog, dead_letters: str, check
 
 
 def keyed_state(stream: DataFrame, key: Sequence[str], values: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Last write per key as a streaming aggregate; run it in update mode.
+    """State per key and field as a streaming aggregate; run it in update mode.
 
     The state is one row per key in the state store; the partial aggregate
     keeps a hot key at one row per task.
     """
-    last = stream.groupBy(*key).agg(F.max(F.struct(*order, "change_type", *values)).alias("_last"))
-    return last.select(*key, *[F.col(f"_last.{c}").alias(c) for c in (*order, "change_type", *values)])
+    return field_state(stream, key, values, order)
 
 
 def run_keyed_state(state: DataFrame, replica: ReplicaLog, checkpoint: str) -> None:
-    """Writes the changed keys of every trigger to the replica's log."""
-    state.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    run_batches(state, lambda batch, batch_id: replica.append(batch, batch_id), checkpoint, mode="update")
+    """Writes the changed keys of every trigger to the replica's log.
+
+    The state store provider is set while the query starts, and put back.
+    """
+    conf, name = state.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, ROCKSDB)
+    try:
+        run_batches(state, lambda batch, batch_id: replica.append_state(batch, batch_id), checkpoint, mode="update")
+    finally:
+        conf.set(name, before)

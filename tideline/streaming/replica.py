@@ -23,8 +23,8 @@ from ..operators.apply import EVENT_ORDER, field_state, finish_fields, finish_im
 class ReplicaLog:
     """``schema`` holds the key and value columns of the replica.
 
-    Events carry whole images by default.  With ``partial`` they carry changed
-    fields only, and each field keeps its own last value.  ``partition_by`` names
+    Events carry changed fields, and each field keeps its own last value.  With
+    ``partial`` False each event carries its whole image.  ``partition_by`` names
     key columns the files are laid out by, as the entity of a feed of many.
     """
 
@@ -32,7 +32,7 @@ class ReplicaLog:
     path: str
     key: Sequence[str]
     schema: T.StructType
-    partial: bool = False
+    partial: bool = True
     partition_by: Sequence[str] = ()
 
     @property
@@ -63,11 +63,20 @@ class ReplicaLog:
 
     def append(self, events: DataFrame, batch_id: int) -> None:
         """State of one batch; an empty batch writes nothing that counts."""
-        self._write(self._state_of(events), f"changes/batch={batch_id}")
+        self.append_state(self._state_of(events), batch_id)
+
+    def append_state(self, state: DataFrame, batch_id: int) -> None:
+        """A batch that is a state already, as from a streaming aggregate."""
+        self._write(state, f"changes/batch={batch_id}")
 
     def _base_version(self) -> int:
-        """Last batch in the newest base; only partition values are read."""
-        row = self._read("base", "version").agg(F.max("version").alias("v")).first()
+        """Last batch in the newest base that was written whole: the manifest names it afterwards."""
+        try:
+            row = self.spark.read.schema("version bigint").parquet(f"{self.path}/manifest").agg(F.max("version").alias("v")).first()
+        except Exception as missing:  # no base so far
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            return -1
         return -1 if row["v"] is None else row["v"]
 
     def folded(self) -> DataFrame:
@@ -88,3 +97,5 @@ class ReplicaLog:
         row = self._read("changes", "batch").agg(F.max("batch").alias("b")).first()
         if row["b"] is not None and row["b"] > self._base_version():
             self._write(self.folded(), f"base/version={row['b']}")
+            # Readers use the base from here on; what a crash before left behind is written over next time.
+            self.spark.range(1).select(F.lit(row["b"]).cast("bigint").alias("version")).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
