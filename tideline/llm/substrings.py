@@ -35,7 +35,7 @@ COVER = (3, 6, 7, 12, 14)  # every difference modulo 21 occurs
 ANCHOR = LENGTH - PERIOD + 1
 
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
-_PLACES = "key bigint, key2 int, kd bigint, k32 int, place int, weight int"
+_PLACES = "key bigint, key2 int, kd bigint, k32 int, place int"  # place holds its weight - 1 in the lowest bit: short rows
 _GIVES_ONLY = -1  # a place that is compared but needs no answer
 
 
@@ -54,10 +54,9 @@ def _sent(hashes: np.ndarray, second: np.ndarray, kd: np.ndarray, k32: np.ndarra
     # First of its hash: an answer goes to its own row too, under a key of its own if it is already decided.
     key = np.where(others, salt, hashes)
     keep = ~others | answer
-    weight = np.where(many, 2, 1).astype(np.int32)
-    place = np.where(answer, place, _GIVES_ONLY).astype(np.int32)
-    columns = [W.signed(key), second, kd, k32, place, weight]
-    return pa.record_batch([pa.array(c[keep]) for c in columns], ["key", "key2", "kd", "k32", "place", "weight"])
+    packed = (np.where(answer, place, _GIVES_ONLY) * 2 + many).astype(np.int32)
+    columns = [W.signed(key), second, kd, k32, packed]
+    return pa.record_batch([pa.array(c[keep]) for c in columns], ["key", "key2", "kd", "k32", "place"])
 
 
 def _gather(batches: Iterator[pa.RecordBatch], places: Callable[[W.Words, pa.RecordBatch, int], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -146,9 +145,9 @@ def _repeating(places: DataFrame) -> DataFrame:
 
     A document's places are at most its words; a hash has one row per batch.
     """
-    weight = F.sum("weight").over(Window.partitionBy("key", "key2"))
+    weight = F.sum(F.col("place").bitwiseAND(F.lit(1)) + 1).over(Window.partitionBy("key", "key2"))
     again = places.withColumn("total", weight).filter((F.col("total") > 1) & (F.col("place") >= 0))
-    return again.groupBy("kd", "k32").agg(F.collect_list("place").alias("places"))
+    return again.groupBy("kd", "k32").agg(F.collect_list(F.shiftright("place", 1)).alias("places"))
 
 
 def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
