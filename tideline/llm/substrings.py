@@ -56,7 +56,9 @@ def _sent(hashes: np.ndarray, second: np.ndarray, kd: np.ndarray, k32: np.ndarra
     keep = ~others | answer
     packed = (np.where(answer, place, _GIVES_ONLY) * 2 + many).astype(np.int32)
     columns = [W.signed(key), second, kd, k32, packed]
-    return pa.record_batch([pa.array(c[keep]) for c in columns], ["key", "key2", "kd", "k32", "place"])
+    # Sent in text order again: neighbours share their row key, which the shuffle then compresses.
+    back = np.flatnonzero(keep)[np.argsort(order[keep])]
+    return pa.record_batch([pa.array(c[back]) for c in columns], ["key", "key2", "kd", "k32", "place"])
 
 
 def _gather(batches: Iterator[pa.RecordBatch], places: Callable[[W.Words, pa.RecordBatch, int], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
