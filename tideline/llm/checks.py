@@ -101,3 +101,105 @@ bs AS (SELECT DISTINCT id, array_to_string(w[i : i + 4], ' ') AS x FROM (SELECT
 n AS (SELECT id, count(*) AS n FROM bs GROUP BY id),
 k AS (SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS k FROM ds JOIN bs USING (x) GROUP BY ALL)
 SELECT doc_id, item_id, n AS n_item, k AS n_shared, k::DOUBLE / n AS containment FROM k JOIN n ON n.id = item_id WHERE k >= ceil(0.8 * n - 1e-9)"""
+
+# CRC-32 of a string: the remainders of all bytes, then one step per byte.
+_CRC_TABLE = "crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crcs FROM range(256) r(i))"
+
+
+def _crc(text: str) -> str:
+    """SQL for the CRC-32 of a string expression, where the column ``crcs`` is at hand."""
+    octets = f"[('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT FOR k IN range(0, strlen({text}))]"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _turns() -> str:
+    none = "struct_pack(c := 1000000::BIGINT, a := '', t := []::VARCHAR[])"
+    end = "struct_pack(c := 0::BIGINT, a := '', t := []::VARCHAR[])"
+    due = {"s": ("u", "user"), "y": ("u", "user"), "u": ("a", "assistant"), "a": ("u", "user")}  # where each state goes on: state, role
+    keeps = {"s": {"s": "y", "u": "u"}, "y": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+
+    def edit(letter: str, to: str, cost: str, line: str | None) -> str:
+        text = f"{to}.t" if line is None else f"list_prepend({line}, {to}.t)"
+        return f"struct_pack(c := {to}.c + {cost}, a := '{letter}' || {to}.a, t := {text})"
+
+    def row(q: str) -> str:
+        options = [edit("D", f"dp.{q}", "2", None)]
+        for initial, to in keeps[q].items():
+            options.append(f"CASE WHEN NOT forced AND initial = '{initial}' THEN {edit('K', f'dp.{to}', 'more', chr(39).join(['role || ', ':', ' || text']))} END")
+        to, role = due[q]
+        options.append(f"CASE WHEN NOT forced THEN {edit('R', f'dp.{to}', '1 + more', chr(39) + role + ':' + chr(39) + ' || text')} END")
+        return f"list_min([{', '.join(options)}]) AS {q}"
+
+    def inserted(q: str, of: str) -> str:
+        to, role = due[q]
+        return f"list_min([{of}.{q}, {edit('I', f'{of}.{to}', '5', chr(39) + role + ':' + chr(39))}])"
+
+    # At most two inserts follow each other: the first pair of states settles u and a, the second s and y.
+    ua = lambda of: f"{inserted('u', of)} AS u, {inserted('a', of)} AS a"
+    sy = lambda of: f"list_min([{of}.s, {edit('I', f'{of}.u', '5', chr(39) + 'user:' + chr(39))}]) AS s, list_min([{of}.y, {edit('I', f'{of}.u', '5', chr(39) + 'user:' + chr(39))}]) AS y"
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+read_ AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+hit AS (SELECT read_.*, {_crc('place')} % 20 AS what FROM read_, crc),
+dmg AS (
+  SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+         CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN what = 3 THEN 2 ELSE 1 END)) AS copy FROM hit WHERE what <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 128), md5(text)) AS n,
+         regexp_extract(text, '[^\\x20\\x09-\\x0D]?[\\x20\\x09-\\x0D]*$')[1] AS last, left(role, 1) AS initial FROM dmg),
+f AS (
+  SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM o),
+g AS (
+  SELECT *, NOT blank AND again AS dup, NOT blank AND NOT again AND last NOT IN ('.', '!', '?') AS cut, blank OR again AS forced FROM f),
+h AS (SELECT *, CASE WHEN cut THEN 5 ELSE 0 END AS more FROM g),
+total AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, sum(blank::INT)::BIGINT AS blank,
+         sum(dup::INT)::BIGINT AS duplicate, sum(cut::INT)::BIGINT AS truncated, sum((before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au'))::INT)::BIGINT AS illegal
+  FROM h GROUP BY conv_id),
+dp AS (
+  SELECT conv_id, n + 1 AS i, {end} AS s, struct_pack(c := 10::BIGINT, a := 'II', t := ['user:', 'assistant:']) AS y,
+         struct_pack(c := 5::BIGINT, a := 'I', t := ['assistant:']) AS u, {end} AS a FROM total
+  UNION ALL
+  SELECT conv_id, i, {sy('z')}, z.u, z.a FROM (
+    SELECT conv_id, i, b.s, b.y, {ua('b')} FROM (
+      SELECT dp.conv_id, h.n AS i, {', '.join(row(q) for q in 'syua')} FROM dp JOIN h ON h.conv_id IS NOT DISTINCT FROM dp.conv_id AND h.n = dp.i - 1) b) z),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(dp.s.c, 0)::BIGINT AS cost, coalesce(dp.s.a, '') AS audit, sha256(coalesce(array_to_string(dp.s.t, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN total ON total.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN dp ON dp.conv_id IS NOT DISTINCT FROM ids.conv_id AND dp.i = 1""".replace(none, "NULL")
+
+
+TURNS = _turns()
+
+TOP_K = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v, embedding FROM embeddings),
+ok AS (SELECT * FROM v WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.r, q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score
+  FROM ok q JOIN ok d ON q.r <> d.r AND q.vec_id % 50 = 0),
+k AS (SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5"""
+
+RESAMPLE = f"""
+WITH {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '{ALNUM}') AS w FROM documents),
+b AS (SELECT regexp_extract_all({LOWER}, '{ALNUM}') AS w FROM benchmark),
+dw AS (SELECT r, x, count(*) AS n FROM (SELECT r, unnest(w) AS x FROM d) GROUP BY ALL),
+bw AS (SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x FROM b) GROUP BY ALL),
+words AS (SELECT x, {_crc('x')} % 10000 AS bucket FROM (SELECT x FROM dw UNION SELECT x FROM bw), crc),
+s AS (SELECT bucket, sum(n) AS n FROM dw JOIN words USING (x) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS n FROM bw JOIN words USING (x) GROUP BY bucket),
+z AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t),
+g AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * (z.s + 10000) / ((coalesce(s.n, 0)::DOUBLE + 1) * (z.t + 10000))))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket), z),
+m AS (SELECT r, sum(dw.n * gain)::BIGINT AS weight FROM dw JOIN words USING (x) JOIN g USING (bucket) GROUP BY r),
+h AS (SELECT *, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d),
+o AS (
+  SELECT h.r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM h LEFT JOIN m USING (r)),
+p AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, r) AS rank FROM o WHERE n_features >= 20),
+q AS (SELECT (10 * count(*)) // 100 AS n FROM p)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= q.n THEN rank END::BIGINT AS rank FROM o LEFT JOIN p USING (r), q"""

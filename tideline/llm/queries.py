@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import checks, decontaminate, fingerprints, licenses, lm_score, mixing, neardup, pii, quality, substrings, url_filter
+from . import checks, decontaminate, fingerprints, licenses, lm_score, mixing, neardup, pii, quality, resample, substrings, topk, turns, url_filter
 from .base import register, table
 
 
@@ -65,3 +65,20 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_url_filter")
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@register("op11_repair_turns", checks.TURNS)
+def op11_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return turns.digest(turns.repair_conversations(turns.damage(rows), rows))
+
+
+@register("op12_top_k", checks.TOP_K)
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@register("op13_resample", checks.RESAMPLE)
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = resample.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
