@@ -130,3 +130,100 @@ def test_torn_compaction_loses_nothing(spark, tmp_path):
     log.append(spark.createDataFrame(events, ddl), 0)
     log.compact()
     assert log.current().count() == 1000 and os.path.exists(f"{log.path}/manifest")
+
+
+CHANGES = "record_id string, commit_ts timestamp_ntz, replay_id bigint, change_type string, changed_fields array<string>, Value__c double, K__c int"
+
+
+def files_below(path):
+    import os
+
+    return sorted(os.path.relpath(os.path.join(d, f), path) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+
+
+def test_three_hundred_batches_leave_a_bounded_number_of_files(spark, tmp_path):
+    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE, buckets=4)
+    day = dt.datetime(2024, 1, 1)
+    seen = []
+    for batch in range(300):
+        kind, fields = ("CREATE", []) if batch < 20 else ("UPDATE", ["Value__c"])
+        event = (f"r{batch % 20}", day + dt.timedelta(minutes=batch), batch, kind, fields, float(batch), batch)
+        log.append(spark.createDataFrame([event], CHANGES).coalesce(1), batch)
+        if batch % 20 == 19:
+            log.compact()
+            seen.append(len(files_below(log.path)))
+    assert max(seen) < 100 and seen[-1] <= seen[2] + 4
+    assert rows(log.current()) == sorted((f"r{i}", float(280 + i), i) for i in range(20))
+
+
+def test_one_changed_record_rewrites_one_bucket(spark, tmp_path):
+    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE, buckets=8)
+    image = spark.createDataFrame([(f"r{i}", float(i), i) for i in range(200)], "record_id string, Value__c double, K__c int")
+    log.bootstrap(image)
+    before = files_below(f"{log.path}/base")
+    assert len(before) == 8 and log.current().count() == 200
+    log.append(spark.createDataFrame([("r7", dt.datetime(2024, 1, 1), 1, "UPDATE", ["Value__c"], 0.5, None)], CHANGES), 0)
+    log.compact()
+    new = [f for f in files_below(f"{log.path}/base") if f not in before]
+    assert len(new) == 1 and new[0].startswith("version=0/bucket=")
+    assert rows(log.current().filter("record_id in ('r7', 'r8')")) == [("r7", 0.5, 7), ("r8", 8.0, 8)]
+
+
+def test_bootstrap_holds_records_from_before_the_feed(spark, tmp_path):
+    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE, buckets=2)
+    as_of = dt.datetime(2024, 1, 2)
+    late, early = dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 1)
+    events = [
+        ("a", late, 1, "UPDATE", ["Value__c"], 9.0, None),  # of an older record
+        ("b", late, 2, "DELETE", [], None, None),
+        ("c", early, 3, "UPDATE", ["Value__c"], 7.0, None),  # the snapshot holds it already
+        ("d", early, 4, "DELETE", [], None, None),  # before it was created again
+        ("e", late, 5, "CREATE", [], 5.0, 5),
+    ]
+    log.append(spark.createDataFrame(events, CHANGES), 0)  # the feed may have begun
+    (tmp_path / "r" / "base" / "version=-1" / "bucket=0").mkdir(parents=True)  # a bootstrap that broke off
+    log.bootstrap(spark.createDataFrame([(k, 1.0, 1) for k in "abcd"], "record_id string, Value__c double, K__c int"), as_of)
+    want = [("a", 9.0, 1), ("c", 1.0, 1), ("d", 1.0, 1), ("e", 5.0, 5)]
+    assert rows(log.current()) == want
+    log.compact()
+    assert rows(log.current()) == want
+    with pytest.raises(ValueError, match="has a base"):
+        log.bootstrap(spark.createDataFrame([], STATE))
+
+
+def test_a_reader_of_the_manifest_before_can_finish(spark, tmp_path):
+    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE, buckets=2)
+    event = lambda i: spark.createDataFrame([("a", dt.datetime(2024, 1, 1), i, "CREATE", [], float(i), i)], CHANGES)
+    log.append(event(1), 0)
+    log.compact()
+    begun = log.current()
+    log.append(event(2), 1)
+    log.compact()
+    assert rows(begun) == [("a", 1.0, 1)] and rows(log.current()) == [("a", 2.0, 2)]
+
+
+def test_a_manifest_that_was_not_committed_does_not_count(spark, tmp_path):
+    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE, buckets=2)
+    log.bootstrap(spark.createDataFrame([("a", 1.0, 1)], STATE))
+    (tmp_path / "r" / "manifest" / "at=5").mkdir()
+    assert rows(log.current()) == [("a", 1.0, 1)]
+
+
+def test_events_without_changed_fields_need_whole_images(spark, tmp_path):
+    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE)
+    with pytest.raises(ValueError, match="partial=False"):
+        log.append(spark.createDataFrame([], CHANGES).drop("changed_fields"), 0)
+
+
+def test_every_webhook_body_is_applied_or_refused(spark):
+    from tideline.sources import snapshot
+
+    schema = "change_type string, as2_id string, commit_ts timestamp_ntz, replay_id bigint"
+    bodies = ['{"change_type":"update","as2_id":"P1","commit_ts":"2024-01-01 00:00:00","replay_id":1}', "{", "", "[]", "7", "null", None,
+              '{"as2_id":"P2"}', '{"change_type":"update","as2_id":"P1","replay_id":"x"}', '{"change_type":"delete","as2_id":"P1"}']
+    got = snapshot.parse_bodies(spark.createDataFrame([(b,) for b in bodies], "value string"), schema, ["as2_id"])
+    reasons = {r["body"]: r["reason"] for r in got.collect()}
+    assert len(reasons) == len(bodies) == got.count()
+    assert reasons[bodies[0]] is None and reasons["{"] == reasons[bodies[8]] == reasons[None] == "body_unreadable"
+    assert reasons['{"as2_id":"P2"}'] == "unknown_change_type" and reasons[bodies[9]] == "no_commit_time_or_replay_id"
+    assert all(reasons[b] for b in bodies[1:])

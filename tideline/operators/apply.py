@@ -38,6 +38,8 @@ def finish_images(state: DataFrame, key: Sequence[str], values: Sequence[str], o
 
 def field_state(changes: DataFrame, key: Sequence[str], fields: Sequence[str], order: Sequence[str] = EVENT_ORDER) -> DataFrame:
     """State of partial updates: the last reset, and the last setting of each field."""
+    if "changed_fields" not in changes.columns:
+        raise ValueError("changes without changed_fields carry whole images: image_state, ReplicaLog(partial=False)")
     at = F.struct(*order)
     kind = F.upper("change_type")
     resets = kind.isin(*RESETS)

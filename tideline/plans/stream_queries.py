@@ -131,10 +131,58 @@ def webhook_feed(spark, sf_dir):
         F.col("ts").cast("string").alias("commit_ts"),
         F.col("event_id").alias("replay_id"),
     )
+    return _apply_bodies(spark, e.select(F.to_json(body).alias("value")))[0].current()
+
+
+def _apply_bodies(spark, bodies):
+    """Bodies landed and applied; each carries the whole image of its partner."""
     path = work_dir(spark, "webhook")
-    e.select(F.to_json(body)).write.text(path + "/bodies")
+    bodies.write.text(path + "/bodies")
     schema = "change_type string, as2_id string, name string, commit_ts timestamp_ntz, replay_id bigint"
-    bodies = snapshot.read_webhook_bodies(spark, path + "/bodies", schema, max_files=8)
-    log = ReplicaLog(spark, path + "/partners", ["as2_id"], PARTNER)
-    streams.run_batches(bodies, lambda batch, batch_id: log.append(batch, batch_id), path + "/checkpoint")
+    events = snapshot.read_webhook_bodies(spark, path + "/bodies", schema, ["as2_id"], max_files=8)
+    log = ReplicaLog(spark, path + "/partners", ["as2_id"], PARTNER, partial=False)
+    streams.apply_feed(events, log, path + "/dead", path + "/checkpoint", rows_of=lambda good: good.drop("body"))
+    return log, path
+
+
+@query(
+    "webhook_dead_letter",
+    """SELECT CASE WHEN value < 2 THEN 'not json ' || event_id WHEN value < 4 THEN '{"change_type":"update","event":' || event_id || '}'
+      WHEN value < 6 THEN '{"change_type":"merge","as2_id":"P' || user_id || '"}' ELSE '{"change_type":"delete","as2_id":"P' || user_id || '"}' END AS body,
+    CASE WHEN value < 2 THEN 'body_unreadable' WHEN value < 4 THEN 'no_record_id' WHEN value < 6 THEN 'unknown_change_type' ELSE 'no_commit_time_or_replay_id' END AS reason
+    FROM events WHERE value < 8""",
+)
+def webhook_dead_letter(spark, sf_dir):
+    """Bodies damaged by the event's value, one way for each reason; the others are applied."""
+    e = domain.table(spark, sf_dir, "events")
+    v, partner = F.col("value"), F.concat(F.lit("P"), F.col("user_id").cast("string"))
+    whole = F.to_json(F.struct(F.lit("update").alias("change_type"), partner.alias("as2_id"), F.lit("Partner").alias("name"), F.col("ts").cast("string").alias("commit_ts"), F.col("event_id").alias("replay_id")))
+    body = (
+        F.when(v < 2, F.concat(F.lit("not json "), F.col("event_id").cast("string")))
+        .when(v < 4, F.to_json(F.struct(F.lit("update").alias("change_type"), F.col("event_id").alias("event"))))
+        .when(v < 6, F.to_json(F.struct(F.lit("merge").alias("change_type"), partner.alias("as2_id"))))
+        .when(v < 8, F.to_json(F.struct(F.lit("delete").alias("change_type"), partner.alias("as2_id"))))
+        .otherwise(whole)
+    )
+    _, path = _apply_bodies(spark, e.select(body.alias("value")))
+    return spark.read.parquet(path + "/dead").select("body", "reason")
+
+
+BASED = f"""WITH {EV}, ok AS (SELECT record_id, commit_ts, replay_id, event_type, Value__c, K__c FROM ev WHERE ({REASON}) IS NULL
+      UNION ALL SELECT CAST(c_custkey AS VARCHAR), TIMESTAMP '1900-01-01', -1, 'signup', c_acctbal, CAST(c_nationkey AS INTEGER) FROM customer),
+    r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY commit_ts DESC, replay_id DESC) AS n FROM ok WHERE event_type IN ('signup', 'error')) WHERE n = 1),
+    v AS (SELECT r.record_id, e.Value__c, row_number() OVER (PARTITION BY r.record_id ORDER BY e.commit_ts DESC, e.replay_id DESC) AS n FROM r JOIN ok e ON e.record_id = r.record_id AND (e.commit_ts, e.replay_id) >= (r.commit_ts, r.replay_id) AND e.event_type IN ('click', 'purchase', 'signup')),
+    k AS (SELECT r.record_id, e.K__c, row_number() OVER (PARTITION BY r.record_id ORDER BY e.commit_ts DESC, e.replay_id DESC) AS n FROM r JOIN ok e ON e.record_id = r.record_id AND (e.commit_ts, e.replay_id) >= (r.commit_ts, r.replay_id) AND e.event_type IN ('view', 'purchase', 'signup'))
+    SELECT r.record_id, v.Value__c, k.K__c FROM r JOIN v ON v.record_id = r.record_id AND v.n = 1 JOIN k ON k.record_id = r.record_id AND k.n = 1 WHERE r.event_type = 'signup'"""
+
+
+@query("stream_bootstrap", BASED)
+def stream_bootstrap(spark, sf_dir):
+    """Customers as the records before the feed, then the feed on top, compacted as it runs."""
+    path = work_dir(spark, "replica")
+    log = ReplicaLog(spark, path, ["record_id"], STATE, buckets=8)
+    customers = domain.table(spark, sf_dir, "customer")
+    log.bootstrap(customers.select(F.col("c_custkey").cast("string").alias("record_id"), F.col("c_acctbal").alias("Value__c"), F.col("c_nationkey").alias("K__c")))
+    decoded = feed.decode_events(feed.split_envelopes(_envelope_stream(spark, sf_dir)), domain.PAYLOAD)
+    streams.apply_feed(decoded, log, path + "/dead", path + "/checkpoint", compact_every=2)
     return log.current()

@@ -35,17 +35,25 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
     query.awaitTermination()
 
 
-def apply_feed(decoded: DataFrame, replica: ReplicaLog, dead_letters: str, checkpoint: str, compact_every: int = 100) -> None:
+def apply_feed(
+    decoded: DataFrame,
+    replica: ReplicaLog,
+    dead_letters: str,
+    checkpoint: str,
+    compact_every: int = 100,
+    rows_of: Callable[[DataFrame], DataFrame] = fan_out,
+) -> None:
     """Applies decoded events batch by batch; refused ones go to the dead letters.
 
-    All topics run through the one stream; ``entity`` tells them apart.
+    All topics run through the one stream; ``entity`` tells them apart.  ``rows_of``
+    makes one row per record out of the good events.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # decoded once for both outputs
         good, bad = split_dead_letters(batch)
         bad.write.mode("overwrite").parquet(f"{dead_letters}/batch={batch_id}")
-        replica.append(fan_out(good), batch_id)
+        replica.append(rows_of(good), batch_id)
         batch.unpersist()
         if compact_every and batch_id and batch_id % compact_every == 0:
             replica.compact()
