@@ -165,3 +165,32 @@ def test_untouched_fields_keep_their_value(spark):
     reason = delta.dead_letter_reason(F.lit("header"), F.lit(True), F.lit("UPDATE"), F.lit(1), F.col("record_ids"))
     assert [r["reason"] for r in ids.select(reason.alias("reason")).collect()] == [delta.NO_RECORD] * 3 + [None]
     assert rows(delta.fan_out(ids.filter("size(record_ids) = 2")), "record_id") == [("x",)]
+
+
+def test_replay_ids_sort_as_numbers_and_never_overflow(spark):
+    import random
+
+    chance = random.Random(2)
+    given = [b"", b"\x00", b"\x01", b"\xff" * 8, b"\x00" * 4 + b"\xff" * 8, b"\x01" + b"\x00" * 11, b"\xff" * 300]
+    given += [chance.randbytes(chance.randint(1, 14)) for _ in range(200)] + [None]
+    df = spark.createDataFrame([(i, g) for i, g in enumerate(given)], "i int, b binary")
+    order = feed.replay_order(F.col("b"))
+    found = {r["i"]: (r["o"], r["n"]) for r in df.select("i", order.alias("o"), feed.replay_number(order).alias("n")).collect()}
+    value = lambda b: int.from_bytes(b, "big")
+    whole = [i for i, g in enumerate(given) if g is not None]
+    assert sorted(whole, key=lambda i: (found[i][0], i)) == sorted(whole, key=lambda i: (value(given[i]), i))
+    assert all(found[i][1] == (value(given[i]) if value(given[i]) < 2**63 else None) for i in whole)
+    assert found[len(given) - 1] == (None, None)
+
+
+def test_no_event_of_a_wire_response_is_lost(spark):
+    """Rows in are applied or refused: events of good responses, and each response that cannot be read."""
+    good = '{"events":[{"event":{"id":"e","schemaId":"S","payload":"cA=="},"replayId":"//////////8="},{"event":{"id":"f","schemaId":"S","payload":"cA=="}},{"event":null,"replayId":"AQ=="}],"latestReplayId":"AQ=="}'
+    texts = [good, '{"latestReplayId":"AQ=="}', '{"events":[]}', "broken", "", None, '{"events":7}', "[1]"]
+    df = spark.createDataFrame([("t", t) for t in texts], "topic string, value string")
+    split = feed.split_envelopes(feed.wire_envelopes(df))
+    reasons = [r["reason"] for r in split.orderBy(F.col("reason").asc_nulls_first()).collect()]
+    assert reasons == [None, "replay_id_missing"] + ["response_unreadable"] * 5 + ["schema_id_missing"]
+    assert rows(split.filter("reason is null"), "replay_id") == [("0008FFFFFFFFFFFFFFFF",)]
+    assert {r["response"] for r in split.filter("reason = 'response_unreadable'").collect()} == {"broken", "", None, '{"events":7}', "[1]"}
+    assert feed.parse_wire(df).filter("latest_replay_id = 1").count() == 2

@@ -141,19 +141,19 @@ def files_below(path):
     return sorted(os.path.relpath(os.path.join(d, f), path) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
 
 
-def test_three_hundred_batches_leave_a_bounded_number_of_files(spark, tmp_path):
-    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE, buckets=4)
+def test_many_batches_leave_a_bounded_number_of_files(spark, tmp_path):
+    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE, buckets=2)
     day = dt.datetime(2024, 1, 1)
     seen = []
-    for batch in range(300):
-        kind, fields = ("CREATE", []) if batch < 20 else ("UPDATE", ["Value__c"])
-        event = (f"r{batch % 20}", day + dt.timedelta(minutes=batch), batch, kind, fields, float(batch), batch)
+    for batch in range(45):
+        kind, fields = ("CREATE", []) if batch < 10 else ("UPDATE", ["Value__c"])
+        event = (f"r{batch % 10}", day + dt.timedelta(minutes=batch), batch, kind, fields, float(batch), batch)
         log.append(spark.createDataFrame([event], CHANGES).coalesce(1), batch)
-        if batch % 20 == 19:
+        if batch % 5 == 4:
             log.compact()
             seen.append(len(files_below(log.path)))
-    assert max(seen) < 100 and seen[-1] <= seen[2] + 4
-    assert rows(log.current()) == sorted((f"r{i}", float(280 + i), i) for i in range(20))
+    assert max(seen) <= 2 * 5 + 2 * 2 * 2 + 2 and seen[-1] <= seen[3] + 2  # two generations of batches, buckets and manifests
+    assert rows(log.current()) == sorted((f"r{i}", float(40 + i if i < 5 else 30 + i), i) for i in range(10))
 
 
 def test_one_changed_record_rewrites_one_bucket(spark, tmp_path):

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.names import entity_topic, object_to_event
 from ..operators.orders import COMPLETED, DRAFT, IN_PRODUCTION, REVISION, SUBMITTED, order_documents
 from ..sources.feed import pack_envelopes, payload_schema
+from ..sources.schemas import WantedField
 
 DATA_FIELDS = {"Value__c": T.DoubleType(), "K__c": T.IntegerType()}
 PAYLOAD = payload_schema(DATA_FIELDS)
@@ -108,6 +109,51 @@ def schema_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Schema versions ------------------------------------------------------------------
+
+# What a reader of all versions wants: a field that was renamed and widened, one with a default, one every writer has.
+WANTED = (
+    WantedField("Value__c", "double", aliases=("Amount__c",)),
+    WantedField("K__c", "double"),
+    WantedField("Grade__c", "string", default="none"),
+)
+_HEADER_FIELD = '{"name":"ChangeEventHeader","type":{"type":"record","name":"H","fields":[{"name":"entityName","type":"string"}]}},{"name":"commit_ts","type":"string"}'
+# Version 2 renames Value__c, types K__c differently and drops Grade__c; 3 makes K__c a text, which a number cannot be read from.
+_VERSION_FIELDS = {
+    "1": '{"name":"Value__c","type":["null","double"]},{"name":"K__c","type":["null","int"]},{"name":"Grade__c","type":"string"}',
+    "2": '{"name":"K__c","type":["null",{"type":"double"}]},{"name":"Amount__c","type":["null","float"]}',
+    "3": '{"name":"Value__c","type":"double"},{"name":"K__c","type":"string"}',
+}
+
+
+def version_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schemas of all versions of every entity of the feed, and one that is no JSON."""
+    entities = change_events(spark, sf_dir).select("entity").distinct()
+    texts = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(f'{{"type":"record","name":"E","fields":[{_HEADER_FIELD},{f}]}}').alias("t")) for v, f in _VERSION_FIELDS.items()], F.struct(F.lit("4").alias("v"), F.lit("no schema").alias("t")))
+    rows = entities.select("entity", F.explode(texts).alias("s"))
+    return rows.select(F.concat_ws("-", F.lit("S"), F.col("s.v"), "entity").alias("schema_id"), F.col("s.t").alias("schema_json"))
+
+
+def versioned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change events written with five schema versions, by turns; the changed fields are bitmaps over the writer's order."""
+    c = with_topic(change_events(spark, sf_dir))
+    version = F.col("replay_id") % 5 + 1
+    value, k = F.array_contains("changed_fields", "Value__c"), F.array_contains("changed_fields", "K__c")
+    # Bits 2, 3 and 4 of versions 1 and 3 are Value__c, K__c and Grade__c; of version 2 bit 2 is K__c, bit 3 Amount__c.
+    weight = lambda v, b: F.when(v, F.lit(b)).otherwise(F.lit(0))
+    bits = F.when(version == 2, weight(value, 8) + weight(k, 4)).otherwise(weight(value, 4) + weight(k, 8))
+    bitmap = F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(bits), 4, "0")))
+    header = F.struct(F.col("entity").alias("entityName"), F.col("change_type").alias("changeType"), F.col("record_ids").alias("recordIds"), F.array(bitmap).alias("changedFields"))
+    both = [header.alias("ChangeEventHeader"), F.col("commit_ts").cast("string").alias("commit_ts")]
+    payload = (
+        F.when(version == 2, F.to_json(F.struct(*both, F.col("K__c").cast("double").alias("K__c"), F.col("Value__c").alias("Amount__c"))))
+        .when(version == 3, F.to_json(F.struct(*both, "Value__c", F.col("K__c").cast("string").alias("K__c"))))
+        .otherwise(F.to_json(F.struct(*both, "Value__c", "K__c", F.lit("A").alias("Grade__c"))))
+    )
+    schema_id = F.concat_ws("-", F.lit("S"), version.cast("string"), "entity")
+    return c.select("topic", "replay_id", schema_id.alias("schema_id"), F.base64(F.encode(payload, "utf-8")).alias("payload"), F.lit(None).cast("string").alias("reason"))
+
+
 # Names -------------------------------------------------------------------------
 
 

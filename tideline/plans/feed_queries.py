@@ -8,7 +8,7 @@ from ..functions.names import entity_topic, object_to_event
 from ..functions.text import type_tag
 from ..operators import apply, delta
 from ..session import work_dir
-from ..sources import feed
+from ..sources import feed, schemas
 from ..streaming import apply as streams
 from . import domain
 from .catalog import query
@@ -340,3 +340,70 @@ def topics_of_objects(spark, sf_dir):
     p = domain.table(spark, sf_dir, "part")
     name = F.when(F.col("p_brand") == "Brand#1", F.concat("p_brand", F.lit("__c"))).otherwise(F.col("p_brand"))
     return feed.topic_set(p.select(entity_topic(object_to_event(name)).alias("topic")))
+
+
+# Schema versions and bitmaps ---------------------------------------------------------------
+
+VERSION_REASON = "CASE replay_id % 5 WHEN 2 THEN 'type_not_promotable:K__c' WHEN 3 THEN 'schema_unreadable' WHEN 4 THEN 'schema_unknown' END"
+
+
+@query(
+    "payload_by_schema",
+    f"""WITH {EV} SELECT replay_id, CASE replay_id % 5 WHEN 0 THEN 'S-1-' WHEN 1 THEN 'S-2-' WHEN 2 THEN 'S-3-' WHEN 3 THEN 'S-4-' ELSE 'S-5-' END || entity AS schema_id,
+    {VERSION_REASON} AS reason, change_type, CASE WHEN replay_id % 5 < 2 THEN array_to_string(list_sort(string_split({CHANGED}, ',')), ',') ELSE '' END AS changed,
+    CASE WHEN replay_id % 5 < 2 THEN Value__c END AS Value__c, CASE WHEN replay_id % 5 < 2 THEN CAST(K__c AS DOUBLE) END AS K__c,
+    CASE replay_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'none' END AS Grade__c FROM ev""",
+)
+def payload_by_schema(spark, sf_dir):
+    """Five versions, read as one: a rename, a widening, a default, and three that cannot be read."""
+    decoded = schemas.decode_by_schema(domain.versioned_events(spark, sf_dir), domain.version_registry(spark, sf_dir), domain.WANTED)
+    changed = F.array_join(F.array_sort("changed_fields"), ",").alias("changed")
+    return decoded.select("replay_id", "schema_id", "reason", "change_type", changed, "Value__c", "K__c", "Grade__c")
+
+
+@query("cdc_changed_bitmap", FOLDED)
+def cdc_changed_bitmap(spark, sf_dir):
+    """Changed fields as bitmaps over (Id, Name with two parts, Value__c, K__c), folded as the names would be."""
+    events = domain.change_events(spark, sf_dir)
+    value, k = F.array_contains("changed_fields", "Value__c"), F.array_contains("changed_fields", "K__c")
+    bits = F.when(value, F.lit(4)).otherwise(F.lit(0)) + F.when(k, F.lit(8)).otherwise(F.lit(0))
+    coded = events.withColumn("changed_fields", F.array(F.concat(F.lit("0x"), F.lpad(F.hex(bits), 2, "0")), F.lit("1-0x02")))
+    names = F.array(*[F.lit(n) for n in ("Id", "Name", "Value__c", "K__c")])
+    none = F.array().cast("array<string>")
+    parts = F.array(none, F.array(F.lit("FirstName"), F.lit("LastName")), none, none)
+    named = coded.withColumn("changed_fields", schemas.changed_names(F.col("changed_fields"), names, parts))
+    return apply.fold_changes(named, ["record_id"], ["Value__c", "K__c"]).select("record_id", "Value__c", "K__c")
+
+
+# Wire responses ----------------------------------------------------------------------------
+
+
+def _wire_responses(spark, sf_dir):
+    """The envelopes as JSON responses: replay ids of 8 or 12 bytes, one response in seven cut off."""
+    sent = domain.wire_events(spark, sf_dir)
+    digits = F.lpad(F.hex("replay_id"), 16, "0")
+    octets = F.unhex(F.when(F.col("replay_id") % 2 == 0, digits).otherwise(F.concat(F.lit("00000000"), digits)))
+    event = F.struct(F.col("event.id").alias("id"), F.col("event.schema_id").alias("schemaId"), F.col("event.payload").alias("payload"))
+    entry = F.struct("replay_id", F.struct(event.alias("event"), F.base64(octets).alias("replayId")).alias("e"))
+    page = F.floor(F.col("replay_id") / 10)
+    pages = sent.groupBy("topic", page.alias("page")).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    events = F.transform("e", lambda x: x["e"])
+    text = F.to_json(F.struct(events.alias("events"), F.element_at(events, -1)["replayId"].alias("latestReplayId")))
+    return pages.select("topic", F.when(F.col("page") % 7 == 3, F.concat(F.lit("{"), F.col("page").cast("string"))).otherwise(text).alias("value"))
+
+
+@query(
+    "wire_decode",
+    f"""WITH {EV}, h AS (SELECT *, hex(replay_id) AS x FROM ev), w AS (SELECT *, replay_id // 10 AS page, CASE WHEN replay_id = 0 THEN '' WHEN length(x) % 2 = 1 THEN '0' || x ELSE x END AS d FROM h),
+    bad AS (SELECT DISTINCT topic, page FROM w WHERE page % 7 = 3)
+    SELECT topic, printf('%04X', length(d) // 2) || d AS replay_id, entity, change_type, CASE WHEN raw_value NOT BETWEEN 10 AND 12 THEN Value__c END AS Value__c, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS response
+    FROM w WHERE page % 7 <> 3 AND ({REASON}) IS NULL
+    UNION ALL SELECT topic, printf('%04X', length(d) // 2) || d, CASE WHEN raw_value >= 2 AND raw_value < 8 THEN 'Unknown' ELSE entity END,
+      CASE WHEN raw_value >= 2 AND raw_value < 8 THEN 'Unknown' WHEN raw_value >= 8 AND raw_value < 10 THEN 'GAP_CREATE' ELSE change_type END,
+      CASE WHEN raw_value < 2 OR raw_value >= 6 AND raw_value NOT BETWEEN 10 AND 12 THEN Value__c END, {REASON}, NULL FROM w WHERE page % 7 <> 3 AND ({REASON}) IS NOT NULL
+    UNION ALL SELECT topic, NULL, 'Unknown', 'Unknown', NULL, 'response_unreadable', '{{' || page FROM bad""",
+)
+def wire_decode(spark, sf_dir):
+    """Every event of every response, and every response that cannot be read: applied or refused, none lost."""
+    decoded = feed.decode_events(feed.split_envelopes(feed.wire_envelopes(_wire_responses(spark, sf_dir))), domain.PAYLOAD)
+    return decoded.select("topic", "replay_id", "entity", "change_type", "Value__c", "reason", "response")

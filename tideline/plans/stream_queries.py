@@ -186,3 +186,27 @@ def stream_bootstrap(spark, sf_dir):
     decoded = feed.decode_events(feed.split_envelopes(_envelope_stream(spark, sf_dir)), domain.PAYLOAD)
     streams.apply_feed(decoded, log, path + "/dead", path + "/checkpoint", compact_every=2)
     return log.current()
+
+
+@query(
+    "stream_late_schema",
+    f"""WITH {EV} SELECT replay_id, CASE WHEN raw_value >= 2 THEN 'S-' || entity END AS schema_id, CASE WHEN raw_value >= 2 THEN '{{"type":"record","name":"' || entity || '"}}' END AS schema_json, raw_value < 2 AS waiting FROM ev""",
+)
+def stream_late_schema(spark, sf_dir):
+    """One schema is registered after the first batch; its events wait for it, those that name none stay waiting."""
+    path = work_dir(spark, "late")
+    known = domain.schema_registry(spark, sf_dir)
+    known.filter("schema_id <> 'S-Product__c'").write.parquet(path + "/registry/first")
+    batches = []
+
+    def registry():
+        batches.append(None)
+        if len(batches) == 2:
+            known.filter("schema_id = 'S-Product__c'").write.mode("overwrite").parquet(path + "/registry/second")
+        return spark.read.option("recursiveFileLookup", "true").schema(known.schema).parquet(path + "/registry")
+
+    domain.envelopes(spark, sf_dir).repartition(4).write.parquet(path + "/landed")
+    events = feed.split_envelopes(feed.read_envelopes(spark, path + "/landed", max_files=1)).select("replay_id", "schema_id")
+    joined, waiting = streams.run_with_lookup(events, registry, lambda rows, table: rows.join(table, "schema_id", "left"), F.col("schema_json").isNotNull(), path, path + "/checkpoint")
+    late = waiting.withColumn("schema_json", F.lit(None).cast("string")).withColumn("waiting", F.lit(True))
+    return joined.withColumn("waiting", F.lit(False)).unionByName(late)

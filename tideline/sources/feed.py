@@ -23,6 +23,9 @@ ENVELOPE_DDL = f"topic string, latest_replay_id bigint, events array<struct<even
 
 SCHEMA_MISSING = "schema_id_missing"
 PAYLOAD_MISSING = "payload_missing"
+REPLAY_ID_MISSING = "replay_id_missing"
+RESPONSE_UNREADABLE = "response_unreadable"
+WIRE_EVENTS = f"array<struct<event:{EVENT_DDL},replay_id:string>>"
 
 
 def topic_set(topics: DataFrame, topic: str = "topic") -> DataFrame:
@@ -38,54 +41,93 @@ def read_envelopes(spark: SparkSession, path: str, max_files: int | None = None)
     return reader.parquet(path)
 
 
-def parse_wire(rows: DataFrame, text: str = "value", topic: str = "topic") -> DataFrame:
-    """Envelopes out of responses in the bus's JSON form, as Kafka rows or text files hold them.
+def replay_order(replay_id: Column) -> Column:
+    """Opaque replay bytes as text that sorts as the number they write, whatever their length.
 
-    Replay ids are opaque bytes; as numbers they serve only to order events of one time.
+    The text is the count of significant bytes in four hexadecimal digits, then
+    those bytes: leading zero bytes make no difference, nothing can overflow.
     """
-    event = "struct<id:string,schemaId:string,payload:string>"
-    body = F.from_json(F.col(text).cast("string"), f"struct<events:array<struct<event:{event},replayId:string>>,latestReplayId:string>")
+    digits = F.regexp_replace(F.hex(replay_id), "^(00)+", "")
+    return F.concat(F.lpad(F.hex((F.length(digits) / 2).cast("bigint")), 4, "0"), digits)
+
 
-    def number(replay_id: Column) -> Column:
-        return F.conv(F.hex(F.try_to_binary(replay_id, F.lit("base64"))), 16, 10).try_cast("bigint")
+def replay_number(order: Column) -> Column:
+    """The number behind an ordered replay text; NULL where it is no long."""
+    digits = F.substring(order, 5, 1 << 20)
+    fits = (F.length(digits) < 16) | ((F.length(digits) == 16) & (digits < "8"))
+    return F.when(fits, F.conv(F.concat(F.lit("0"), digits), 16, 10).try_cast("bigint"))
+
+
+def wire_envelopes(rows: DataFrame, text: str = "value", topic: str = "topic") -> DataFrame:
+    """Envelopes out of responses in the bus's JSON form, as Kafka rows or text files hold them.
 
+    Replay ids become ordered text (``replay_order``).  A response that cannot be
+    read is an envelope with a ``reason`` and its text in ``response``; splitting
+    makes it a row of its own, so that it ends among the dead letters.
+    """
+    event = "struct<id:string,schemaId:string,payload:string>"
+    shape = f"struct<events:array<struct<event:{event},replayId:string>>,latestReplayId:string,_unread:string>"
+    body = F.from_json("response", shape, {"columnNameOfCorruptRecord": "_unread"})
+    number = lambda replay_id: replay_order(F.try_to_binary(replay_id, F.lit("base64")))
     none = F.array().cast("array<struct<key:string,value:binary>>")
-    return rows.select(F.col(topic).alias("topic"), body.alias("b")).select(
+    unread = F.col("b").isNull() | F.col("b._unread").isNotNull()
+    return computed_once(rows.select(F.col(topic).alias("topic"), F.col(text).cast("string").alias("response")), "b", body).select(
         "topic",
         number(F.col("b.latestReplayId")).alias("latest_replay_id"),
-        F.transform(
-            "b.events",
-            lambda e: F.struct(
-                F.struct(
-                    e["event"]["id"].alias("id"),
-                    e["event"]["schemaId"].alias("schema_id"),
-                    e["event"]["payload"].alias("payload"),
-                    none.alias("headers"),
-                ).alias("event"),
-                number(e["replayId"]).alias("replay_id"),
-            ),
+        F.when(unread, F.array().cast(WIRE_EVENTS)).otherwise(
+            F.transform(
+                "b.events",
+                lambda e: F.struct(
+                    F.struct(
+                        e["event"]["id"].alias("id"),
+                        e["event"]["schemaId"].alias("schema_id"),
+                        e["event"]["payload"].alias("payload"),
+                        none.alias("headers"),
+                    ).alias("event"),
+                    number(e["replayId"]).alias("replay_id"),
+                ),
+            )
         ).alias("events"),
+        F.when(unread, F.lit(RESPONSE_UNREADABLE)).alias("reason"),
+        F.when(unread, F.col("response")).alias("response"),
     )
 
 
+def parse_wire(rows: DataFrame, text: str = "value", topic: str = "topic") -> DataFrame:
+    """``wire_envelopes`` with replay ids as numbers, for buses whose ids are longs; another id is NULL."""
+    found = wire_envelopes(rows, text, topic)
+    events = F.transform("events", lambda e: F.struct(e["event"].alias("event"), replay_number(e["replay_id"]).alias("replay_id")))
+    return found.select("topic", replay_number(F.col("latest_replay_id")).alias("latest_replay_id"), events.alias("events"))
+
+
 def only_topics(envelopes: DataFrame, topics: DataFrame) -> DataFrame:
     """Envelopes of the subscribed topics."""
     return envelopes.join(small_side(topic_set(topics)), "topic", "left_semi")
 
 
 def split_envelopes(envelopes: DataFrame) -> DataFrame:
-    """One row per event; ``reason`` is set where the event lacks schema or payload.
+    """One row per event; ``reason`` is set where the event lacks schema, payload or place.
 
-    An empty envelope is a keepalive and gives no row.
+    An empty envelope is a keepalive and gives no row.  An envelope refused as a
+    whole (``reason`` is set, as by ``parse_wire``) is one row with its ``response``.
     """
-    rows = envelopes.select("topic", F.explode("events").alias("e")).select(
+    refused = "reason" in envelopes.columns
+    kind = envelopes.schema["events"].dataType
+    events = F.when(F.col("reason").isNotNull(), F.array(F.lit(None).cast(kind.elementType))).otherwise(F.col("events")) if refused else F.col("events")
+    more = ["response", F.col("reason").alias("_refused")] if refused else []
+    rows = envelopes.select("topic", F.explode(events).alias("e"), *more).select(
         "topic",
         F.col("e.replay_id").alias("replay_id"),
         F.col("e.event.schema_id").alias("schema_id"),
         F.col("e.event.payload").alias("payload"),
+        *(["response", "_refused"] if refused else []),
+    )
+    reason = (
+        F.when(F.col("schema_id").isNull(), F.lit(SCHEMA_MISSING))
+        .when(F.col("payload").isNull(), F.lit(PAYLOAD_MISSING))
+        .when(F.col("replay_id").isNull(), F.lit(REPLAY_ID_MISSING))
     )
-    reason = F.when(F.col("schema_id").isNull(), F.lit(SCHEMA_MISSING)).when(F.col("payload").isNull(), F.lit(PAYLOAD_MISSING))
-    return rows.withColumn("reason", reason)
+    return rows.withColumn("reason", F.coalesce("_refused", reason) if refused else reason).drop("_refused")
 
 
 def payload_schema(fields: dict[str, T.DataType]) -> T.StructType:

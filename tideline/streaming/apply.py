@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..operators.apply import field_state
 from ..operators.delta import fan_out, split_dead_letters
+from .files import remove, subfolders
 from .replica import ReplicaLog
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -61,6 +62,41 @@ def apply_feed(
     run_batches(decoded, handle, checkpoint)
 
 
+def run_with_lookup(
+    stream: DataFrame,
+    lookup: Callable[[], DataFrame],
+    join: Callable[[DataFrame, DataFrame], DataFrame],
+    found: Column,
+    path: str,
+    checkpoint: str,
+) -> tuple[DataFrame, DataFrame]:
+    """Joins each micro-batch to a table as it stands then; what finds no row waits for a later batch.
+
+    ``lookup`` is called once per batch, so rows registered while the stream runs
+    count from the next batch on, for waiting events too.  Each batch writes its
+    own folders and reads those of the one before, so one that runs again gives the
+    same.  Returns (joined, still waiting).
+    """
+    spark, kept = stream.sparkSession, stream.schema
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        waited = f"{path}/waiting/batch={batch_id - 1}"
+        rows = batch.unionByName(spark.read.schema(kept).parquet(waited)) if batch_id else batch
+        joined = join(rows, lookup()).withColumn("_found", found).persist()
+        joined.filter("_found").drop("_found").write.mode("overwrite").parquet(f"{path}/joined/batch={batch_id}")
+        joined.filter("not _found").select(*kept.names).write.mode("overwrite").parquet(f"{path}/waiting/batch={batch_id}")
+        joined.unpersist()
+        if batch_id > 1:
+            remove(spark, f"{path}/waiting/batch={batch_id - 2}")
+
+    run_batches(stream, handle, checkpoint)
+    batches = subfolders(spark, f"{path}/waiting", "batch")
+    if not batches:
+        empty = spark.createDataFrame([], kept)
+        return join(empty, lookup()), empty
+    return spark.read.parquet(f"{path}/joined").drop("batch"), spark.read.schema(kept).parquet(f"{path}/waiting/batch={max(batches)}")
+
+
 def keyed_state(stream: DataFrame, key: Sequence[str], values: Sequence[str], order: Sequence[str]) -> DataFrame:
     """State per key and field as a streaming aggregate; run it in update mode.
 
