@@ -5,11 +5,17 @@ The work stops at the header table; no segment text is written.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..files import subfolders
 from ..functions.casts import INTEGER_TEXT
 from ..functions.once import computed_once
+from .keys import drop_matching
+from .ordering import HOT_ROWS, row_number_within
 
 # Transaction sets that have a name.
 SET_NAMES = {"850": "PO", "856": "ASN", "810": "INV", "997": "FA"}
@@ -96,6 +102,33 @@ def interchange_headers(documents: DataFrame, sender: Column, receiver: Column,
     )
 
 
+def allot_control_numbers(documents: DataFrame, pair: Sequence[str], key: Sequence[str], order: Sequence[Column], ledger: str, run: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds ``sequence`` and ``control_number``: gapless for every pair of partners, across runs.
+
+    ``ledger`` is a folder with a part per run, (pair, key, sequence) of what it
+    allotted.  A run goes on from the highest number of the runs before it, so one
+    that is run again allots the same numbers; documents an earlier run has
+    numbered keep theirs and take none.  Numbers of a crowded pair are its rows'
+    places in a range-partitioned order, not a sort in one task.  The nine digits
+    start again after 999,999,999.
+    """
+    spark = documents.sparkSession
+    names = [*pair, *key]
+    schema = T.StructType([*[documents.schema[n] for n in names], T.StructField("sequence", T.LongType())])
+    earlier = [f"{ledger}/run={r}" for r in subfolders(spark, ledger, "run", committed=True) if r < run]
+    used = spark.read.schema(schema).parquet(*earlier) if earlier else spark.createDataFrame([], schema)
+    new = drop_matching(documents, used, names, null_safe=True)
+    highest = used.groupBy(*[F.col(p).alias(f"_h_{p}") for p in pair]).agg(F.max("sequence").alias("_highest"))
+    placed = row_number_within(new, pair, [*order, *[F.col(k) for k in key]], "_place", hot_rows)
+    same = [placed[p].eqNullSafe(F.col(f"_h_{p}")) for p in pair]
+    numbered = placed.join(highest, same, "left").withColumn("sequence", F.col("_place") + F.coalesce("_highest", F.lit(0)))
+    numbered.select(*names, "sequence").write.mode("overwrite").parquet(f"{ledger}/run={run}")
+    every = spark.read.schema(schema).parquet(*earlier, f"{ledger}/run={run}").select(*[F.col(n).alias(f"_l_{n}") for n in names], "sequence")
+    match = [documents[n].eqNullSafe(F.col(f"_l_{n}")) for n in names]
+    text = F.lpad(((F.col("sequence") - 1) % 999_999_999 + 1).cast("string"), 9, "0")
+    return documents.join(every, match).select(*documents.columns, "sequence", text.alias("control_number"))
+
+
 def document_items(df: DataFrame, xml: str, keys: list[str]) -> DataFrame:
     """Items of documents in rows, parsed once each; ``pos`` is the place in the whole order."""
     items = computed_once(df.filter("seq_no > 0"), "item", F.from_xml(xml, ITEM_DDL, {"rowTag": "OrderItem"}))

@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import topic_path
+from ..functions.once import computed_once
 from .keys import distinct_keys, drop_matching, keep_matching
 
 PARTNER_TYPE = "EDI Partner"
+LIST_UNREADABLE = "list_unreadable"
+LIST_WITHOUT_OBJECT = "list_without_object"
+LIST_WITHOUT_FIELDS = "list_without_fields"
 FIELD_LIST_DDL = "struct<_name:string,Field:array<string>>"
 
 
@@ -82,6 +86,18 @@ def parse_field_lists(df: DataFrame, xml: str) -> DataFrame:
     return parsed.select(F.col("_p._name").alias("object_name"), F.explode("_p.Field").alias("field_name")).distinct()
 
 
+def refused_field_lists(df: DataFrame, xml: str, keys: Sequence[str]) -> DataFrame:
+    """Lists that register nothing, with the reason: no XML, no object name, or no field."""
+    shape = f"{FIELD_LIST_DDL[:-1]},_unread:string>"
+    parsed = computed_once(df, "_p", F.from_xml(xml, shape, {"rowTag": "Object", "columnNameOfCorruptRecord": "_unread"}))
+    reason = (
+        F.when(F.col("_p").isNull() | F.col("_p._unread").isNotNull(), F.lit(LIST_UNREADABLE))
+        .when(F.col("_p._name").isNull(), F.lit(LIST_WITHOUT_OBJECT))
+        .when(F.coalesce(F.size("_p.Field"), F.lit(0)) <= 0, F.lit(LIST_WITHOUT_FIELDS))
+    )
+    return parsed.select(*keys, reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def register_fields(lists: DataFrame, registered: DataFrame, xml: str) -> DataFrame:
     """Listed fields that are not registered yet: the rows to append."""
     return drop_matching(parse_field_lists(lists, xml), registered, ["object_name", "field_name"])

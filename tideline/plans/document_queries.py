@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import event_to_object
 from ..functions.once import computed_once
-from ..operators import edi, export, orders
+from ..operators import edi, export, orders, registry
 from ..session import work_dir
 from ..sources import json_docs, snapshot, xml_docs
 from . import domain
@@ -110,7 +110,7 @@ def json_doc_xml(spark, sf_dir):
 def xml_to_rows(spark, sf_dir):
     items = domain.documents_of_orders(spark, sf_dir).filter("seq_no > 0")
     parsed = xml_docs.parse_documents(items, "xml", "OrderItem", edi.ITEM_DDL, keep=["order_id", "seq_no"])
-    return parsed.select("order_id", (F.col("seq_no") - 1).alias("pos"), "doc.*")
+    return parsed.filter("reason is null").select("order_id", (F.col("seq_no") - 1).alias("pos"), "doc.*")
 
 
 @query(
@@ -339,3 +339,46 @@ def edi_set_name(spark, sf_dir):
 )
 def edi_items(spark, sf_dir):
     return edi.document_items(domain.documents_of_orders(spark, sf_dir), "xml", ["order_id"])
+
+
+@query(
+    "edi_control_numbers",
+    """WITH n AS (SELECT o_orderkey AS order_id, 'HUB-' || o_custkey % 3 AS sender_id, o_orderpriority AS receiver_id, o_orderdate, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS run FROM orders),
+    s AS (SELECT *, row_number() OVER (PARTITION BY sender_id, receiver_id ORDER BY run, o_orderdate, order_id) AS sequence FROM n)
+    SELECT order_id, sender_id, receiver_id, sequence, lpad(CAST(sequence AS VARCHAR), 9, '0') AS control_number FROM s""",
+)
+def edi_control_numbers(spark, sf_dir):
+    """Two runs over growing documents, the second one twice: it goes on from the first, and allots the same again."""
+    o = domain.table(spark, sf_dir, "orders")
+    sender = F.concat(F.lit("HUB-"), (F.col("o_custkey") % 3).cast("string"))
+    documents = o.select(F.col("o_orderkey").alias("order_id"), sender.alias("sender_id"), F.col("o_orderpriority").alias("receiver_id"), "o_orderdate", "o_orderstatus")
+    ledger = work_dir(spark, "control-numbers")
+    allot = lambda rows, run: edi.allot_control_numbers(rows, ["sender_id", "receiver_id"], ["order_id"], [F.col("o_orderdate")], ledger, run)
+    allot(documents.filter("o_orderstatus = 'F'"), 0)
+    allot(documents, 1)
+    return allot(documents, 1).drop("o_orderdate", "o_orderstatus")
+
+
+@query(
+    "document_dead_letters",
+    """SELECT 'xml' AS source, event_id, 'document_unreadable' AS reason FROM events WHERE event_id % 4 = 1
+    UNION ALL SELECT 'json', event_id, 'document_unreadable' FROM events WHERE event_id % 5 IN (1, 2)
+    UNION ALL SELECT 'list', event_id, CASE event_id % 6 WHEN 1 THEN 'list_unreadable' WHEN 2 THEN 'list_without_object' ELSE 'list_without_fields' END FROM events WHERE event_id % 6 IN (1, 2, 3)""",
+)
+def document_dead_letters(spark, sf_dir):
+    """Documents of three kinds, some damaged: each that gives no row is refused with a reason."""
+    e = domain.table(spark, sf_dir, "events")
+    name = F.concat(F.lit("O"), F.col("event_id").cast("string"))
+    item = F.concat(F.lit("<Item><Id>"), name, F.when(F.col("event_id") % 4 == 1, F.lit("</Id>")).otherwise(F.lit("</Id></Item>")))
+    parsed = xml_docs.parse_documents(e.select("event_id", item.alias("xml")), "xml", "Item", "struct<Id:string>", keep=["event_id"])
+    body = F.when(F.col("event_id") % 5 == 1, F.lit('{"attributes":[')).when(F.col("event_id") % 5 == 2, F.lit("7")).otherwise(F.to_json(F.struct(name.alias("name"))))
+    listed = (
+        F.when(F.col("event_id") % 6 == 1, F.lit("<Object"))
+        .when(F.col("event_id") % 6 == 2, F.lit("<Object><Field>A</Field></Object>"))
+        .when(F.col("event_id") % 6 == 3, F.concat(F.lit('<Object name="'), name, F.lit('"/>')))
+        .otherwise(F.concat(F.lit('<Object name="'), name, F.lit('"><Field>A</Field></Object>')))
+    )
+    bad_xml = xml_docs.unreadable_documents(parsed, ["event_id"]).withColumn("source", F.lit("xml"))
+    bad_json = json_docs.unreadable_documents(e.select("event_id", body.alias("body")), "body", ["event_id"]).withColumn("source", F.lit("json"))
+    bad_list = registry.refused_field_lists(e.select("event_id", listed.alias("xml")), "xml", ["event_id"]).withColumn("source", F.lit("list"))
+    return bad_xml.unionByName(bad_json).unionByName(bad_list)

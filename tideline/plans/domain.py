@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import entity_topic, object_to_event
+from ..operators.keys import keep_matching
 from ..operators.orders import COMPLETED, DRAFT, IN_PRODUCTION, REVISION, SUBMITTED, order_documents
 from ..sources.feed import pack_envelopes, payload_schema
 from ..sources.schemas import WantedField
@@ -252,9 +253,11 @@ def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def documents_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """XML document of every order as rows: account, then items in order, price with four decimals."""
+def documents_of_orders(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """XML document of every order (of those in ``only``) as rows: account, then items in order, price with four decimals."""
     lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "order_id")
+    if only is not None:
+        lines = keep_matching(lines, only, ["order_id"])
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     described = lines.join(part, lines.l_partkey == part.p_partkey, "left")
     item = [
@@ -268,7 +271,8 @@ def documents_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = ["l_linenumber", "l_partkey", "l_suppkey"]
     order = [F.col(c) for c in lead + [c for c in lines.columns if c not in ("order_id", *lead)]]
     accounts = table(spark, sf_dir, "customer").withColumn("_id", F.col("c_custkey").cast("string"))
-    headers = order_rows(spark, sf_dir).join(accounts, F.col("account_id") == F.col("c_custkey"), "left")
+    wanted = order_rows(spark, sf_dir) if only is None else keep_matching(order_rows(spark, sf_dir), only, ["order_id"])
+    headers = wanted.join(accounts, F.col("account_id") == F.col("c_custkey"), "left")
     contact = F.struct(F.concat(F.lit("C-"), "_id").alias("_Id"), F.col("_id").alias("AccountId"), F.lit("EDI").alias("Title"))
     account = F.struct(
         F.col("_id").alias("_Id"),

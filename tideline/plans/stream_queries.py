@@ -9,9 +9,11 @@ from ..operators import delta
 from ..session import work_dir
 from ..sources import feed, snapshot
 from ..streaming import apply as streams
+from ..streaming import orders as order_trigger
 from ..streaming.replica import ReplicaLog
 from . import domain
 from .catalog import query
+from .document_queries import DOC
 from .feed_queries import DECODED, EV, FOLDED, REASON
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -210,3 +212,33 @@ def stream_late_schema(spark, sf_dir):
     joined, waiting = streams.run_with_lookup(events, registry, lambda rows, table: rows.join(table, "schema_id", "left"), F.col("schema_json").isNotNull(), path, path + "/checkpoint")
     late = waiting.withColumn("schema_json", F.lit(None).cast("string")).withColumn("waiting", F.lit(True))
     return joined.withColumn("waiting", F.lit(False)).unionByName(late)
+
+
+# Orders ------------------------------------------------------------------------------------
+
+STATUSES = T.StructType().add("order_id", T.LongType()).add("status", T.StringType())
+
+
+@query(
+    "stream_order_documents",
+    f"""WITH {DOC}, e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events),
+    s AS (SELECT user_id AS order_id, event_id FROM e WHERE event_type = 'view' AND b IS DISTINCT FROM 'view'),
+    d AS (SELECT * FROM doc UNION ALL SELECT * FROM it)
+    SELECT s.order_id, s.event_id, d.seq_no, d.xml FROM s JOIN d ON d.order_id = s.order_id""",
+)
+def stream_order_documents(spark, sf_dir):
+    """Status changes in three parts, one after the other: each move to "submitted" leads to the order's document."""
+    path = work_dir(spark, "trigger")
+    e = domain.table(spark, sf_dir, "events")
+    status = domain.choose(F.col("event_type"), domain.EVENT_STATUS)
+    changes = e.select(F.col("user_id").cast("bigint").alias("order_id"), F.col("ts").alias("commit_ts"), F.col("event_id").alias("replay_id"), status.alias("status"))
+    span = e.agg(F.min("event_id").alias("low"), F.max("event_id").alias("high")).first()
+    step = ((span["high"] or 0) - (span["low"] or 0)) // 3 + 1
+    ordered = changes.withColumn("_part", F.floor((F.col("replay_id") - F.lit(span["low"] or 0)) / step))
+    for part in range(3):  # in their order, as a feed brings them
+        ordered.filter(F.col("_part") == part).drop("_part").write.mode("append").parquet(path + "/landed")
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(path + "/landed")
+    log = ReplicaLog(spark, path + "/statuses", ["order_id"], STATUSES, partial=False, buckets=4)
+    entered, _ = order_trigger.run_trigger(stream, log, path, path + "/checkpoint", "order_id", compact_every=2)
+    documents = domain.documents_of_orders(spark, sf_dir, only=entered)
+    return entered.select("order_id", F.col("replay_id").alias("event_id")).join(documents, "order_id")

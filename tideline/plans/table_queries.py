@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import casts, names
 from ..functions.text import error_message, html_encode, pairs_text
-from ..operators import keys, ordering, registry, schema, shape
+from ..operators import cascade, keys, ordering, registry, schema, shape
 from . import domain
 from .catalog import query
 
@@ -629,3 +629,44 @@ def error_messages(spark, sf_dir):
 )
 def html_encoded(spark, sf_dir):
     return domain.table(spark, sf_dir, "pages").select("page_id", html_encode(F.col("html")).alias("encoded"))
+
+
+@query(
+    "cascade_delete",
+    """WITH c AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
+    SELECT 'Customer' AS entity, CAST(c_custkey AS VARCHAR) AS record_id FROM c UNION ALL SELECT 'Order', CAST(o_orderkey AS VARCHAR) FROM o
+    UNION ALL SELECT DISTINCT 'Line', l_orderkey || '-' || l_partkey || '-' || l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)""",
+)
+def cascade_delete(spark, sf_dir):
+    """Customers in the red go, their orders with them, and the orders' lines; parts only lose a pointer."""
+    tables, ids = _cascade_tables(spark, sf_dir)
+    deletes = tables["Customer"].filter("c_acctbal < 0").select(F.lit("Customer").alias("entity"), F.col("c_custkey").alias("record_id"))
+    return cascade.cascaded(deletes, cascade.relation_links(tables, ids, CASCADE))
+
+
+CASCADE = (
+    cascade.Relation("Customer", "Order", "o_custkey"),
+    cascade.Relation("Order", "Line", "l_orderkey"),
+    cascade.Relation("Customer", "Note", "about", cascade=False),
+)
+
+
+def _cascade_tables(spark, sf_dir):
+    line = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey")
+    tables = {
+        "Customer": domain.table(spark, sf_dir, "customer"),
+        "Order": domain.table(spark, sf_dir, "orders"),
+        "Line": domain.table(spark, sf_dir, "lineitem").withColumn("line_id", line),
+        "Note": domain.table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("about")),
+    }
+    return tables, {"Customer": "c_custkey", "Order": "o_orderkey", "Line": "line_id", "Note": "p_partkey"}
+
+
+@query(
+    "cascade_cleared",
+    "SELECT p_partkey, CASE WHEN p_partkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN p_partkey END AS about FROM part",
+)
+def cascade_cleared(spark, sf_dir):
+    tables, ids = _cascade_tables(spark, sf_dir)
+    deletes = tables["Customer"].filter("c_acctbal < 0").select(F.lit("Customer").alias("entity"), F.col("c_custkey").alias("record_id"))
+    return cascade.delete_cascading(tables, ids, CASCADE, deletes)["Note"]

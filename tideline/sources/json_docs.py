@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.once import computed_once
+from .xml_docs import DOCUMENT_UNREADABLE
+
 METADATA = "attributes"
 
 
@@ -53,10 +56,18 @@ def flatten_document(df: DataFrame, text: str, element: str, item: str, keys: Se
     ``item`` is the DDL of one element.  A single object where a list is
     expected counts as a list of one.
     """
-    many = F.from_json(text, f"struct<`{element}`:array<{item}>>")[element]
-    one = F.from_json(text, f"struct<`{element}`:{item}>")[element]
-    items = F.coalesce(many, F.when(one.isNotNull(), F.array(one)))
-    return df.select(*keys, F.posexplode(items).alias("pos", "item")).select(*keys, "pos", "item.*")
+    many = F.from_json("_text", f"struct<`{element}`:array<{item}>>")[element]
+    # A second parse only of the documents without a list there.
+    one = F.when(F.col("_many").isNull(), F.from_json("_text", f"struct<`{element}`:{item}>")[element])
+    rows = computed_once(computed_once(df.select(*keys, F.col(text).alias("_text")), "_many", many), "_one", one)
+    items = F.coalesce("_many", F.when(F.col("_one").isNotNull(), F.array("_one")))
+    return rows.select(*keys, F.posexplode(items).alias("pos", "item")).select(*keys, "pos", "item.*")
+
+
+def unreadable_documents(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
+    """The texts that are no JSON object, with the reason: they have no rows in ``flatten_document``."""
+    read = F.schema_of_variant(F.try_parse_json(text))
+    return df.filter(~F.coalesce(read.startswith("OBJECT"), F.lit(False))).select(*keys, F.lit(DOCUMENT_UNREADABLE).alias("reason"))
 
 
 def document_to_xml(text: Column, schema: str, root: str = "Root") -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..operators.apply import field_state
 from ..operators.delta import fan_out, split_dead_letters
-from .files import remove, subfolders
+from ..files import remove, subfolders
 from .replica import ReplicaLog
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

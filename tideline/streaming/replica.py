@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.apply import EVENT_ORDER, base_as_changes, field_state, finish_fields, finish_images, image_state, merge_into, merge_states
-from .files import remove, subfolders
+from ..files import remove, subfolders
 
 BUCKETS = 32
 SNAPSHOT = -1  # version and manifest number of a bootstrap: before every batch
@@ -91,20 +91,24 @@ class ReplicaLog:
         parts = T.StructType([*schema.fields, T.StructField("version", T.LongType())])
         return self.spark.read.schema(parts).option("basePath", f"{self.path}/base").parquet(*paths).drop("version")
 
-    def _later(self, after: int | None) -> DataFrame:
+    def _batches(self, after: int | None, before: int | None) -> list[int]:
+        found = subfolders(self.spark, f"{self.path}/changes", "batch")
+        return sorted(b for b in found if (after is None or b > after) and (before is None or b < before))
+
+    def _later(self, after: int | None, before: int | None = None) -> DataFrame:
         """State of the batches after a manifest."""
-        found = [b for b in subfolders(self.spark, f"{self.path}/changes", "batch") if after is None or b > after]
+        found = self._batches(after, before)
         schema = self._state_schema()
         if not found:
             return self.spark.createDataFrame([], schema)
-        paths = [f"{self.path}/changes/batch={b}" for b in sorted(found)]
+        paths = [f"{self.path}/changes/batch={b}" for b in found]
         batches = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).option("basePath", f"{self.path}/changes")
         return merge_states(batches.parquet(*paths).drop("batch"), self.key)
 
-    def folded(self) -> DataFrame:
-        """State of every record, deleted ones included."""
+    def folded(self, before: int | None = None) -> DataFrame:
+        """State of every record, deleted ones included; with ``before`` as it was before that batch."""
         number, live = self._manifest()
-        later = self._later(number)
+        later = self._later(number, before)
         if not live:
             return later
         return merge_into(self._base(live).drop("bucket"), later, self.key)
@@ -148,13 +152,13 @@ class ReplicaLog:
         state = self._state_of(base_as_changes(image.select(*columns), order))
         self._publish(self._write_base(self._with_bucket(state).repartition("bucket"), SNAPSHOT), SNAPSHOT)
 
-    def compact(self) -> None:
-        """Merges the batches since the last compaction into the buckets they touch."""
+    def compact(self, before: int | None = None) -> None:
+        """Merges the batches since the last compaction (only those before a batch) into the buckets they touch."""
         number, live = self._manifest()
-        batches = [b for b in subfolders(self.spark, f"{self.path}/changes", "batch") if number is None or b > number]
+        batches = self._batches(number, before)
         if not batches:
             return
-        later = self._with_bucket(self._later(number))
+        later = self._with_bucket(self._later(number, before))
         # Bounded by the number of buckets.
         touched = later.agg(F.collect_set("bucket").alias("b")).first()["b"]
         if touched:
