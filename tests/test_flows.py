@@ -111,3 +111,73 @@ def test_every_document_gives_rows_or_a_reason(spark):
     assert [r[0] for r in rows(xml_docs.unreadable_documents(parsed, ["n"]))] == [1, 2, 3, 4]
     bodies = spark.createDataFrame([(0, '{"a":[{"k":"x"}]}'), (1, '{"a":'), (2, "[1]"), (3, None), (4, "null"), (5, "{}")], "n int, b string")
     assert [r[0] for r in rows(json_docs.unreadable_documents(bodies, "b", ["n"]))] == [1, 2, 3, 4]
+
+
+# ------------------------------------------------------------ as-of join, positions, ends of state
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_as_of_join_is_the_plain_one(spark, partitions):
+    import random
+
+    from tideline.operators.asof import as_of_join
+
+    chance = random.Random(4)
+    day = dt.datetime(2024, 1, 1)
+    at = lambda: chance.choice([None, *[day + dt.timedelta(hours=h) for h in range(40)]])
+    topics = ["hot"] * 8 + ["a", "b", "never", None]
+    events = [(i, chance.choice(topics), at()) for i in range(400)]
+    rows_ = [(chance.choice(["hot", "hot", "a", "b", "c", None]), at(), chance.randint(0, 9)) for _ in range(60)]
+    want = []
+    for i, t, e in events:
+        known = [(r, v) for k, r, v in rows_ if k == t is not None and r is not None and e is not None and r <= e]
+        want.append((i, t, e, *(max(known) if known else (None, None))))
+    got = as_of_join(
+        spark.createDataFrame(events, "i int, topic string, commit_ts timestamp_ntz"), spark.createDataFrame(rows_, "topic string, since timestamp_ntz, v int"),
+        ["topic"], "commit_ts", "since", ["v"], partitions,
+    )
+    assert rows(got) == sorted(want, key=lambda t: tuple((v is None, str(v)) for v in t))
+
+
+def test_as_of_join_without_rows_or_events(spark):
+    from tideline.operators.asof import as_of_join
+
+    events = spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 1))], "i int, topic string, commit_ts timestamp_ntz")
+    none = spark.createDataFrame([], "topic string, since timestamp_ntz, v int")
+    assert rows(as_of_join(events, none, ["topic"], "commit_ts", "since", ["v"]), "i", "v") == [(1, None)]
+    assert as_of_join(events.limit(0), none, ["topic"], "commit_ts", "since", ["v"]).count() == 0
+
+
+def test_positions_merge_whatever_the_batches(spark, tmp_path):
+    import random
+
+    from tideline.streaming.positions import ReplayPositions
+
+    chance = random.Random(9)
+    ids = [("t", i) for i in [*range(0, 50), *range(60, 70), 65_535, 65_536, 65_537, -3]] + [("u", 5), ("u", 5), (None, 1), ("u", None)]
+    chance.shuffle(ids)
+    held = ReplayPositions(spark, str(tmp_path / "p"))
+    for batch in range(4):
+        frame = spark.createDataFrame(ids[batch::4], "topic string, replay_id bigint")
+        held.advance(frame, batch)
+        held.advance(frame, batch)  # runs again
+    assert rows(held.ranges()) == [("t", -3, -3), ("t", 0, 49), ("t", 60, 69), ("t", 65535, 65537), ("u", 5, 5)]
+    assert rows(held.gaps()) == [("t", -2, -1), ("t", 50, 59), ("t", 70, 65534)]
+    assert len(list((tmp_path / "p").iterdir())) == 2
+
+
+def test_state_is_bounded_by_live_records_and_the_window(spark, tmp_path):
+    from .test_streaming import CHANGES as EVENTS
+    from .test_streaming import STATE
+
+    log = ReplicaLog(spark, str(tmp_path / "r"), ["record_id"], STATE, buckets=1)
+    day = dt.datetime(2024, 1, 1)
+    for batch in range(6):  # ten records come and go each day, one stays
+        at = day + dt.timedelta(days=batch)
+        come = [(f"d{batch}-{i}", at, 20 * batch + i, "CREATE", [], 1.0, 1) for i in range(10)] + [(f"keep{batch}", at, 1000 + batch, "CREATE", [], 2.0, 2)]
+        go = [(f"d{batch}-{i}", at + dt.timedelta(hours=1), 500 + 20 * batch + i, "DELETE", [], None, None) for i in range(10)]
+        stray = [(f"never{batch}", at, 2000 + batch, "UPDATE", ["Value__c"], 3.0, None)]
+        log.append(spark.createDataFrame(come + go + stray, EVENTS), batch)
+        log.compact(low_water=at - dt.timedelta(days=1))
+    assert rows(log.current(), "record_id") == [(f"keep{b}",) for b in range(6)]
+    assert log.folded().count() == 6 + 2 * 11  # live ones; deletes and strays of the last two days

@@ -21,7 +21,7 @@ HOT_ROWS = 5_000_000
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
 
-def _range_sorted(df: DataFrame, sort: Sequence[Column], partitions: int | None) -> DataFrame:
+def range_sorted(df: DataFrame, sort: Sequence[Column], partitions: int | None) -> DataFrame:
     """Rows in global order: ``_part`` is the partition, ``_pos`` the place in it.
 
     The checkpoint fixes the range borders, so that the count and the rows seen
@@ -48,7 +48,7 @@ def _with_index(ranged: DataFrame) -> DataFrame:
 
 def global_row_number(df: DataFrame, order: Sequence[Column], out: str, partitions: int | None = None) -> DataFrame:
     """1-based place of every row in a total order, with no single-task sort."""
-    indexed = _with_index(_range_sorted(df, order, partitions))
+    indexed = _with_index(range_sorted(df, order, partitions))
     return indexed.withColumn(out, (F.col("_index") + 1).cast("bigint")).drop("_part", "_pos", "_index")
 
 
@@ -79,7 +79,7 @@ def row_number_within(
     if hot is None:
         return numbered
     sort = [F.col(k) for k in keys] + list(order)
-    indexed = _with_index(_range_sorted(hot, sort, partitions))
+    indexed = _with_index(range_sorted(hot, sort, partitions))
     starts = indexed.groupBy(*[F.col(k).alias(f"__s{i}") for i, k in enumerate(keys)]).agg(F.min("_index").alias("_start"))
     same = [indexed[k].eqNullSafe(F.col(f"__s{i}")) for i, k in enumerate(keys)]
     placed = indexed.join(small_side(starts), same).withColumn(out, (F.col("_index") - F.col("_start") + 1).cast("bigint"))
@@ -100,7 +100,7 @@ def lag_within(
     lagged = cold.select("*", *[F.lag(v).over(window).alias(o) for v, o in values.items()])
     if hot is None:
         return lagged
-    ranged = _range_sorted(hot, [F.col(k) for k in keys] + list(order), partitions)
+    ranged = range_sorted(hot, [F.col(k) for k in keys] + list(order), partitions)
     row = F.struct(F.struct(*keys).alias("k"), F.struct(*values).alias("v"))
     inside = Window.partitionBy("_part").orderBy("_pos")
     last = ranged.groupBy("_part").agg(F.max_by(row, "_pos").alias("_last"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import delta
+from ..operators import asof, delta
 from ..session import work_dir
 from ..sources import feed, snapshot
 from ..streaming import apply as streams
 from ..streaming import orders as order_trigger
+from ..streaming import positions
 from ..streaming.replica import ReplicaLog
 from . import domain
 from .catalog import query
@@ -242,3 +245,57 @@ def stream_order_documents(spark, sf_dir):
     entered, _ = order_trigger.run_trigger(stream, log, path, path + "/checkpoint", "order_id", compact_every=2)
     documents = domain.documents_of_orders(spark, sf_dir, only=entered)
     return entered.select("order_id", F.col("replay_id").alias("event_id")).join(documents, "order_id")
+
+
+# Positions, marks, topics in force ------------------------------------------------------------
+
+
+@query(
+    "stream_replay_gaps",
+    """WITH a AS (SELECT event_id FROM events WHERE value >= 5), r AS (SELECT min(event_id) AS low, max(event_id) AS high FROM (SELECT event_id, event_id - row_number() OVER (ORDER BY event_id) AS g FROM a) GROUP BY g),
+    n AS (SELECT *, lag(high) OVER (ORDER BY low) AS before FROM r)
+    SELECT 'applied' AS kind, '/data/ChangeEvents' AS topic, low, high FROM r UNION ALL SELECT 'missing', '/data/ChangeEvents', before + 1, low - 1 FROM n WHERE before IS NOT NULL""",
+)
+def stream_replay_gaps(spark, sf_dir):
+    """The channel of all events, some of which never arrive: what was applied and what is missing, after five batches."""
+    path = work_dir(spark, "positions")
+    arrived = domain.change_events(spark, sf_dir, ("value",)).filter("value >= 5").select(F.lit("/data/ChangeEvents").alias("topic"), "replay_id")
+    arrived.repartition(5).write.parquet(path + "/landed")  # in no order
+    stream = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", 1).parquet(path + "/landed")
+    held = positions.ReplayPositions(spark, path + "/held")
+    streams.run_batches(stream, held.advance, path + "/checkpoint")
+    kind = lambda df, name: df.select(F.lit(name).alias("kind"), "topic", "low", "high")
+    return kind(held.ranges(), "applied").unionByName(kind(held.gaps(), "missing"))
+
+
+@query("stream_state_ends", FIELDS_APPLIED)
+def stream_state_ends(spark, sf_dir):
+    """The feed in six parts by time, compacted after each: old deletes leave the state, the replica is the same."""
+    path = work_dir(spark, "ends")
+    decoded = feed.decode_events(feed.split_envelopes(domain.envelopes(spark, sf_dir)), domain.PAYLOAD)
+    decoded.write.parquet(path + "/decoded")
+    whole = spark.read.schema(decoded.schema).parquet(path + "/decoded")
+    seconds = F.unix_micros(F.col("commit_ts").cast("timestamp"))
+    span = whole.agg(F.min(seconds).alias("low"), F.max(seconds).alias("high")).first()
+    part = F.coalesce(F.floor((seconds - F.lit(span["low"])) * 6 / (span["high"] - span["low"] + 1)), F.lit(0))  # those without a time come first
+    for k in range(6):
+        whole.filter(part == k).coalesce(1).write.mode("append").parquet(path + "/landed")
+    stream = spark.readStream.schema(decoded.schema).option("maxFilesPerTrigger", 1).parquet(path + "/landed")
+    schema = T.StructType([T.StructField("entity", T.StringType()), *STATE.fields])
+    log = ReplicaLog(spark, path + "/replica", ["entity", "record_id"], schema, buckets=4)
+    streams.apply_feed(stream, log, path + "/dead", path + "/checkpoint", compact_every=1, lateness=dt.timedelta(hours=6))
+    return log.current()
+
+
+@query(
+    "topic_as_of",
+    f"""WITH {EV}, h AS (SELECT topic, commit_ts, event_type = 'signup' AS active FROM ev WHERE raw_value > 90 AND event_type IN ('signup', 'error')
+      QUALIFY row_number() OVER (PARTITION BY topic, commit_ts ORDER BY event_type = 'signup' DESC, replay_id DESC) = 1)
+    SELECT ev.replay_id, ev.topic, h.active, h.commit_ts AS in_force_since FROM ev ASOF LEFT JOIN h ON ev.topic = h.topic AND ev.commit_ts >= h.commit_ts""",
+)
+def topic_as_of(spark, sf_dir):
+    """Whether each event's topic was subscribed to when it was committed; few topics, so each is many partitions."""
+    events = domain.with_topic(domain.change_events(spark, sf_dir, ("value", "event_type")))
+    history = events.filter("value > 90 and event_type in ('signup', 'error')").select("topic", F.col("commit_ts").alias("since"), (F.col("event_type") == "signup").alias("active"))
+    met = asof.as_of_join(events.select("replay_id", "topic", "commit_ts"), history, ["topic"], "commit_ts", "since", ["active"])
+    return met.select("replay_id", "topic", "active", "in_force_since")

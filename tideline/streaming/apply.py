@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.apply import field_state
@@ -36,6 +38,13 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
     query.awaitTermination()
 
 
+def newest_of_sources(events: DataFrame, source: str) -> dict[str, dt.datetime]:
+    """The last commit time of each source; bounded by the number of sources."""
+    newest = events.filter(F.col(source).isNotNull() & F.col("commit_ts").isNotNull()).groupBy(source).agg(F.max("commit_ts").alias("t"))
+    row = newest.agg(F.map_from_entries(F.collect_list(F.struct(source, "t"))).alias("m")).first()
+    return row["m"]
+
+
 def apply_feed(
     decoded: DataFrame,
     replica: ReplicaLog,
@@ -43,21 +52,28 @@ def apply_feed(
     checkpoint: str,
     compact_every: int = 100,
     rows_of: Callable[[DataFrame], DataFrame] = fan_out,
+    lateness: dt.timedelta | None = None,
+    source: str = "topic",
 ) -> None:
     """Applies decoded events batch by batch; refused ones go to the dead letters.
 
     All topics run through the one stream; ``entity`` tells them apart.  ``rows_of``
-    makes one row per record out of the good events.
+    makes one row per record out of the good events.  With ``lateness`` a source's
+    events come at most so late: deletes older than the mark of all sources end
+    when the replica is compacted.
     """
+    marks: dict[str, dt.datetime] = {}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # decoded once for both outputs
         good, bad = split_dead_letters(batch)
         bad.write.mode("overwrite").parquet(f"{dead_letters}/batch={batch_id}")
         replica.append(rows_of(good), batch_id)
+        if lateness is not None:
+            marks.update(newest_of_sources(good, source))
         batch.unpersist()
         if compact_every and batch_id and batch_id % compact_every == 0:
-            replica.compact()
+            replica.compact(low_water=min(marks.values()) - lateness if marks else None)
 
     run_batches(decoded, handle, checkpoint)
 

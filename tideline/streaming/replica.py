@@ -12,7 +12,7 @@ reader that has begun on the one before can finish.
 ``bootstrap`` makes a snapshot the first base: records as they were before the
 feed.  Changes merge by their order, so events that the snapshot already holds
 change nothing.  Deletes stay in the state, so a late older change cannot bring a
-record back.  All of it is in files of the shared folder; nothing depends on one
+record back, until a low-water mark says that none will come.  All of it is in files of the shared folder; nothing depends on one
 executor.
 """
 
@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.apply import EVENT_ORDER, base_as_changes, field_state, finish_fields, finish_images, image_state, merge_into, merge_states
 from ..files import remove, subfolders
+from ..operators.apply import EVENT_ORDER, base_as_changes, field_state, finish_fields, finish_images, image_state, merge_into, merge_states
+from ..operators.delta import DELETES
 
 BUCKETS = 32
 SNAPSHOT = -1  # version and manifest number of a bootstrap: before every batch
@@ -152,8 +153,22 @@ class ReplicaLog:
         state = self._state_of(base_as_changes(image.select(*columns), order))
         self._publish(self._write_base(self._with_bucket(state).repartition("bucket"), SNAPSHOT), SNAPSHOT)
 
-    def compact(self, before: int | None = None) -> None:
-        """Merges the batches since the last compaction (only those before a batch) into the buckets they touch."""
+    def _without_old_deletes(self, state: DataFrame, low_water: dt.datetime) -> DataFrame:
+        """State without deleted records (and updates that never met a create) whose last change is before the mark."""
+        mark = F.lit(low_water).cast("timestamp_ntz")
+        at = F.col("_at.commit_ts") if self.partial else F.col("_last.commit_ts")
+        if self.partial:
+            dead = F.col("_reset").isNull() | F.col("_reset.kind").isin(*DELETES)
+        else:
+            dead = F.upper("_last.change_type").isin(*DELETES)
+        return state.filter(~(dead & (at < mark)))
+
+    def compact(self, before: int | None = None, low_water: dt.datetime | None = None) -> None:
+        """Merges the batches since the last compaction (only those before a batch) into the buckets they touch.
+
+        With ``low_water`` no change older than it is expected any more: in the
+        touched buckets, the state of records deleted before it ends.
+        """
         number, live = self._manifest()
         batches = self._batches(number, before)
         if not batches:
@@ -165,7 +180,9 @@ class ReplicaLog:
             held = self._base({b: v for b, v in live.items() if b in touched})
             # Dealt by bucket once: that serves the merge by (bucket, key) and the writing of whole buckets.
             merged = merge_states(held.unionByName(later).repartition("bucket"), ["bucket", *self.key])
-            live = {**live, **self._write_base(merged, max(batches))}
+            merged = merged if low_water is None else self._without_old_deletes(merged, low_water)
+            kept = {b: v for b, v in live.items() if b not in touched}  # a touched bucket may have become empty
+            live = {**kept, **self._write_base(merged, max(batches))}
         # Readers use the new buckets from here on.
         self._publish(live, max(batches))
         self.reclaim()
