@@ -430,3 +430,26 @@ def test_empty_tables_and_clashing_columns(spark, odd, empty, crowded, name):
     assert as_set(plain, *shared) == as_set(more, *shared) or name == "mixing"
     assert len(set(more.columns)) == len(more.columns)
     assert LONG is not None
+
+
+def test_planted_repeats_are_found_and_other_numbers_left(spark, sf_dir):
+    """Phone numbers planted into real texts, each once more without its prefix; half of the texts get other numbers instead."""
+    texts = [(r["doc_id"], r["text"]) for r in documents(spark, sf_dir).filter("length(text) between 200 and 4000").collect()]
+    rows, planted = [], {}
+    for k, (doc, text) in enumerate(texts):
+        middle = text.find(" ", len(text) // 2)
+        if k % 2:
+            number = f"{200 + k}-{5550000 + 37 * k}"
+            head = f"{text[:middle]} +1 {number} "
+            rows.append((doc, f"{head}{text[middle:]} and {number} again"))
+            planted[doc] = number
+        else:
+            rows.append((doc, f"{text[:middle]} page {k} of {1900 + k} {text[middle:]} in {1900 + k} again"))
+    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    written, hits = dict(rows), 0
+    for r in found:
+        added = set(r["spans"].split(",")) - set(r["base_spans"].split(","))
+        whole = {written[r["doc_id"]][int(x.split(":")[1]) : int(x.split(":")[2])] for x in added}
+        hits += planted.get(r["doc_id"]) in whole
+        assert whole <= {planted.get(r["doc_id"])}
+    assert hits >= 0.95 * len(planted) and len(planted) > 30

@@ -9,7 +9,13 @@ passing gives each token's label; tokens that the field is sure of add spans
 where no base span is, as when a number stands again without its prefix.
 
 Potentials are fitted by pseudo-likelihood on the base spans of at most
-``SAMPLE`` documents, the first in the order of a hash of their ids.
+``SAMPLE`` distinct documents, the first in the order of a hash of their ids.  The
+base patterns know a number only with what stands before it, so their labels are
+carried along the skip edges first: a token with the digits or mail name of a
+labelled one is that kind.  Each such token of the sample, labelled or not, is
+seen once more as it would stand later in its text, among plain words and linked
+to where it stood: from these pairs the skip potential learns that like tokens
+have like labels, and the others how much a token says without its prefix.
 """
 
 from __future__ import annotations
@@ -35,6 +41,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = frozenset("0123456789")
 _EDGE = ".,;:!?\"'()[]{}<>"
+PLAIN = ("aaaa", "aaaa")  # plain words before and after a token
 
 SAMPLE = 2000
 SLOTS = 1 << 12
@@ -133,6 +140,11 @@ def link_keys(token: str) -> set[str]:
     return keys
 
 
+def strong_keys(token: str) -> set[str]:
+    """The keys that say "the same number or mailbox", not just the same word."""
+    return {k for k in link_keys(token) if k[0] in "dm"}
+
+
 def candidates(data: np.ndarray, offsets: np.ndarray) -> Iterator[Tokens | None]:
     """The candidate tokens of each text, None where there is none (then no base span is either)."""
     cut = W.cut(data, offsets)
@@ -267,6 +279,27 @@ def _token_labels(t: Tokens, spans: list[tuple[int, int, int]]) -> list[int]:
     return out
 
 
+def _carried(t: Tokens, labels: list[int]) -> list[int]:
+    """Labels, with those of labelled tokens given to the tokens of one strong key."""
+    known: dict[str, int] = {}
+    keys = [strong_keys(t.text[s:e]) for s, e in zip(t.starts, t.ends)]
+    for own, label in zip(keys, labels):
+        for key in own if label else ():
+            known.setdefault(key, label)
+    return [label or next((known[k] for k in sorted(own) if k in known), 0) for own, label in zip(keys, labels)]
+
+
+def _seen_again(t: Tokens, graph: Graph, labels: list[int]) -> tuple[Graph, list[int]]:
+    """The graph with each token of a strong key once more, among plain words and linked to where it stood."""
+    again = [i for i, (s, e) in enumerate(zip(t.starts, t.ends)) if strong_keys(t.text[s:e])]
+    if not again:
+        return graph, labels
+    n = len(labels)
+    slots = np.array([token_features(t.text[t.starts[i] : t.ends[i]], *PLAIN) for i in again], np.int64)
+    links = np.array([(i, n + k) for k, i in enumerate(again)], np.int64)
+    return Graph(np.vstack([graph.slots, slots]), graph.chain, np.vstack([graph.skip, links])), labels + [labels[i] for i in again]
+
+
 def added_spans(t: Tokens, probability: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of sure tokens that touch no base span; neighbours of one kind are one span."""
     out: list[tuple[int, int, int]] = []
@@ -289,8 +322,9 @@ def added_spans(t: Tokens, probability: np.ndarray, base: list[tuple[int, int, i
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
     """The field, from the base spans of a bounded sample of documents that have a candidate token."""
     marked = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("h"), F.col(text).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@+]"))
-    first = marked.select("h").orderBy("h").limit(sample)
-    chosen = marked.join(first, "h", "left_semi").select("h", F.col("text").cast("binary").alias("text"))
+    first = marked.select("h").distinct().orderBy("h").limit(sample)
+    # One row of each hash, so that copies are neither a large part of the sample nor all sent.
+    chosen = marked.join(first, "h", "left_semi").groupBy("h").agg(F.min("text").cast("binary").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,8 +332,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
             for lo, _, data, offsets in W.chunks(batch, "text"):
                 for i, t in enumerate(candidates(data, offsets), lo):
                     if t:
-                        g = graph_of([t])
-                        out.append((batch.column(0)[i].as_py(), g.slots.ravel(), g.chain.ravel(), g.skip.ravel(), _token_labels(t, base_spans(t.text))))
+                        g, labels = _seen_again(t, graph_of([t]), _carried(t, _token_labels(t, base_spans(t.text))))
+                        out.append((batch.column(0)[i].as_py(), g.slots.ravel(), g.chain.ravel(), g.skip.ravel(), labels))
             lists = [pa.array([o[k] for o in out], pa.list_(pa.int64())) for k in range(1, 5)]
             yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), *lists], ["h", "slots", "chain", "skip", "labels"])
 
