@@ -10,8 +10,8 @@ or equal crossing can be left; of all crossings of the least cost the one whose
 concatenated letters come first wins.
 
 A conversation of any length is spread over tasks.  Its rows are reduced to one
-letter each and range-partitioned by (conversation, turn, ...); pieces of at most
-``PIECE`` letters are searched by themselves.  A conversation of several pieces
+letter each and range-partitioned by (conversation, turn, ...); pieces of at most 256
+letters are searched by themselves.  A conversation of several pieces
 takes three steps: costs between the states at both ends of every piece, the costs
 from there to the end (a stream over 16 numbers a piece), then the best letters of
 every piece for each state it may begin in, of which a stream picks the right ones.
