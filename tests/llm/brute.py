@@ -21,6 +21,19 @@ def shingles(words, width=5):
     return {tuple(words)} if words else set()
 
 
+def notices(text, templates, threshold):
+    """(first word, label, containment) of every block, from each template word on, that meets a template."""
+    words, found = ALNUM.findall(lower(text)), []
+    for label, notice, must in templates:
+        own = ALNUM.findall(lower(notice))
+        length, tokens = int(len(own) / threshold + 1e-9), set(own)
+        for at, word in enumerate(words):
+            held = tokens & set(words[at : at + length])
+            if word in tokens and len(held) >= threshold * len(tokens) - 1e-9 and set(must.split()) <= held:
+                found.append((at, label, len(held) / len(tokens)))
+    return found
+
+
 def near_duplicates(rows):
     """rows: (doc_id, text) -> sorted (doc_id, n_shingles, component_id, kept)."""
     sets = [shingles(WORD.findall(lower(t))) for _, t in rows]

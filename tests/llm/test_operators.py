@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -15,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, fingerprints, licenses, lm_score, mixing, neardup, pii, quality, substrings, url_filter
+from tideline.llm import base, decontaminate, fingerprints, licenses, lm_score, mixing, neardup, pii, quality, substrings, url_filter
 from tideline.llm import words as W
 
 from . import brute
@@ -81,6 +82,43 @@ def test_notice_needs_the_threshold(spark):
     assert as_set(licenses.scan_licenses(docs), "doc_id", "labels") == [(0, "cc-by-nc"), (1, "cc-by-nc"), (2, ""), (3, "")]
 
 
+NOT_THEIRS = [
+    ("Licensed under the Eclipse License, Version 2.0.", ""),
+    ("software released under the license", ""),
+    ("Released under the BSD license", "bsd"),
+    ("all kinds of rights are here reserved for you", ""),
+    ("released " + "x " * 20 + "under the mit " + "x " * 20 + "license", ""),
+]
+
+
+def test_other_notices_are_not_mistaken(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NOT_THEIRS)], "doc_id bigint, text string")
+    assert as_set(licenses.scan_licenses(docs), "doc_id", "labels") == [(i, label) for i, (_, label) in enumerate(NOT_THEIRS)]
+
+
+@pytest.mark.parametrize("before", [0, 1, 7, 63, 64, 100, 129])
+def test_every_template_is_found_wherever_it_stands(spark, before):
+    texts = [f"{'x ' * before}{notice} {'y ' * 70}" for _, notice, _ in licenses.TEMPLATES]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
+    for i, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert label in found[i]["labels"].split(",") and found[i]["score"] == 1.0
+
+
+def test_blocks_equal_the_plain_search(spark):
+    draw = random.Random(4)
+    vocabulary = sorted({w for _, notice, _ in licenses.TEMPLATES for w in brute.ALNUM.findall(brute.lower(notice))})
+    texts = []
+    for _ in range(150):
+        words = brute.ALNUM.findall(brute.lower(draw.choice(licenses.TEMPLATES)[1]))
+        kept = [w if draw.random() < 0.9 else draw.choice(vocabulary + ["other"] * 20) for w in words for _ in range(draw.choice([1, 1, 1, 1, 2]))]
+        texts.append(" ".join(["pad"] * draw.randrange(90) + kept + draw.choices(vocabulary, k=draw.randrange(30))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = licenses.similar_blocks(base.keyed(docs)).select(F.col("kd").alias("doc_id"), "start", "label", F.round("containment", 9).alias("c"))
+    want = {(i, at, label, round(share, 9)) for i, t in enumerate(texts) for at, label, share in brute.notices(t, licenses.TEMPLATES, licenses.THRESHOLD)}
+    assert set(as_set(got, "doc_id", "start", "label", "c")) == want and len(want) > 100
+
+
 # ------------------------------------------------------------ 2 mixing
 
 

@@ -14,7 +14,7 @@ def _quoted(text: str) -> str:
 
 
 def _licenses() -> str:
-    templates = ", ".join(f"({i}, {_quoted(label)}, {_quoted(text)})" for i, (label, text) in enumerate(TEMPLATES))
+    templates = ", ".join(f"({i}, {', '.join(map(_quoted, t))})" for i, t in enumerate(TEMPLATES))
     places, labels = [], []
     for phrase, label in PHRASES:
         test = " AND ".join(f"words[i + {k + 1}] = {_quoted(w)}" for k, w in enumerate(phrase.split()))
@@ -24,19 +24,20 @@ def _licenses() -> str:
     every = f"flatten([{', '.join(f'p{i}' for i in range(len(places)))}])"
     return f"""
 WITH t AS (
-  SELECT id, label, list_distinct(regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ALNUM}')) AS tokens,
-         len(regexp_extract_all(body, '[A-Za-z0-9]+')) AS size
-  FROM (VALUES {templates}) v(id, label, body)),
-m AS (SELECT max(size) AS longest FROM t),
+  SELECT id, label, list_distinct(regexp_extract_all(lower(notice), '{ALNUM}')) AS tokens, string_split(must, ' ') AS must,
+         floor(len(regexp_extract_all(notice, '[A-Za-z0-9]+')) / {THRESHOLD} + 1e-9)::INT AS length
+  FROM (VALUES {templates}) v(id, label, notice, must)),
 d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{ALNUM}') AS words FROM documents),
 b AS (SELECT doc_id, words, {named} FROM d),
 x AS (SELECT *, {every} AS places, list_distinct([l FOR l IN [{', '.join(labels)}] IF l IS NOT NULL]) AS base FROM b),
-blocks AS (
-  SELECT doc_id, words[s + 1 : s + 2 * longest] AS block
-  FROM (SELECT doc_id, words, longest, unnest(range(0, greatest(len(words) - longest - 1, 0) + 1, longest)) AS s FROM d, m)),
+words AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d),
+places AS (SELECT doc_id, id, pos, word FROM words JOIN (SELECT id, unnest(tokens) AS word FROM t) USING (word)),
 hits AS (
-  SELECT doc_id, label, len(list_intersect(tokens, block))::DOUBLE / len(tokens) AS share FROM blocks, t
-  WHERE len(list_intersect(tokens, block)) >= ceil({THRESHOLD} * len(tokens) - 1e-9)),
+  SELECT a.doc_id, any_value(label) AS label, count(DISTINCT b.word)::DOUBLE / any_value(len(tokens)) AS share
+  FROM places a JOIN t USING (id) JOIN places b ON a.doc_id = b.doc_id AND a.id = b.id AND b.pos >= a.pos AND b.pos < a.pos + length
+  GROUP BY a.doc_id, id, a.pos
+  HAVING count(DISTINCT b.word) >= ceil({THRESHOLD} * any_value(len(tokens)) - 1e-9)
+     AND len(list_intersect(any_value(must), list(DISTINCT b.word))) = any_value(len(must))),
 n AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS best FROM hits GROUP BY doc_id)
 SELECT x.doc_id, len(words)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
        array_to_string(list_sort(base), ',') AS base_labels,
