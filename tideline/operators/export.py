@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .keys import drop_matching
-from .ordering import row_number_within
+from .ordering import indexed_rows, row_number_within
 from .shape import columns_with_values, exclude_columns
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -63,6 +63,44 @@ def write_xml(df: DataFrame, path: str, table: str, root: str = "X") -> None:
     df.write.mode("overwrite").format("xml").option("rootTag", root).option("rowTag", table).save(path)
 
 
+def document_lines(
+    df: DataFrame, text: Column, order: Sequence[Column], opening: str, closing: str, separator: str = "", partitions: int | None = None, out: str = "line"
+) -> DataFrame:
+    """Lines of one document of any size, in order: the lines of all partitions, one after the other, are the document.
+
+    Rows are range-partitioned, so no task sees more than its share; the first row
+    of all carries the opening text, each other one the separator, the last one the
+    closing text.  Rows that tie in ``order`` stand in any order.  Without rows there
+    is no line to carry them; ``write_document`` writes both.  The count of rows runs
+    while the frame is built.
+    """
+    indexed, total = indexed_rows(df, order, partitions)
+    head = F.when(F.col("_index") == 0, F.lit(opening)).otherwise(F.lit(separator))
+    tail = F.when(F.col("_index") == total - 1, F.lit(closing)).otherwise(F.lit(""))
+    return indexed.withColumn(out, F.concat(head, text, tail)).drop("_part", "_pos", "_index")
+
+
+def write_document(
+    df: DataFrame, text: Column, order: Sequence[Column], path: str, opening: str, closing: str, separator: str = "", partitions: int | None = None
+) -> None:
+    """One valid document from many tasks: the part files, concatenated by name, are it."""
+    lines = document_lines(df, text, order, opening, closing, separator, partitions, "value").select("value")
+    if df.isEmpty():
+        lines = df.sparkSession.createDataFrame([(opening + closing,)], "value string").coalesce(1)
+    lines.write.mode("overwrite").text(path)
+
+
+def write_json_array(df: DataFrame, order: Sequence[Column], path: str, excluded: str | Iterable[str] = (), partitions: int | None = None) -> None:
+    """All rows as one JSON array in part files; no excluded columns, no column without a value."""
+    columns = columns_with_values(exclude_columns(df, excluded))
+    write_document(df, F.to_json(json_ready(df, columns), KEEP_NULLS), order, path, "[", "]", ",", partitions)
+
+
+def write_xml_document(df: DataFrame, order: Sequence[Column], path: str, table: str, root: str = "X", partitions: int | None = None) -> None:
+    """All rows as elements of one root in part files."""
+    write_document(df, element_xml(F.struct(*df.columns), table), order, path, f"<{root}>", f"</{root}>", "", partitions)
+
+
 def element_xml(value: Column, tag: str) -> Column:
     """One element on one line."""
     return F.rtrim(F.to_xml(value, {"rowTag": tag, "indent": ""}), F.lit("\n"))

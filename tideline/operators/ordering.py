@@ -52,6 +52,12 @@ def global_row_number(df: DataFrame, order: Sequence[Column], out: str, partitio
     return indexed.withColumn(out, (F.col("_index") + 1).cast("bigint")).drop("_part", "_pos", "_index")
 
 
+def indexed_rows(df: DataFrame, order: Sequence[Column], partitions: int | None = None) -> tuple[DataFrame, int]:
+    """Rows in global order with ``_index`` from 0, partitions in that order too, and how many rows there are."""
+    ranged = range_sorted(df, order, partitions)
+    return _with_index(ranged), ranged.count()
+
+
 def _split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
     found = hot_keys(df, keys, hot_rows)
     hot = small_side(found.select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)]))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import event_to_object
 from ..functions.once import computed_once
-from ..operators import edi, export, orders, registry
+from ..operators import edi, export, orders, outbox, registry
 from ..session import work_dir
 from ..sources import json_docs, snapshot, xml_docs
 from . import domain
@@ -186,6 +186,30 @@ def distinct_to_xml(spark, sf_dir):
     return export.distinct_to_xml(domain.table(spark, sf_dir, "customer"), ["c_mktsegment", "c_nationkey"], "Customer")
 
 
+@query(
+    "json_document",
+    """SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderkey) = 1 THEN '[' ELSE ',' END || '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}'
+    || CASE WHEN row_number() OVER (ORDER BY o_orderkey DESC) = 1 THEN ']' ELSE '' END AS line FROM orders""",
+)
+def json_document(spark, sf_dir):
+    o = domain.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    body = F.to_json(export.json_ready(o, o.columns), export.KEEP_NULLS)
+    return export.document_lines(o, body, [F.col("o_orderkey")], "[", "]", ",").select("o_orderkey", "line")
+
+
+@query(
+    "xml_document",
+    """WITH d AS (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer)
+    SELECT c_mktsegment, c_nationkey, CASE WHEN row_number() OVER (ORDER BY c_mktsegment, c_nationkey) = 1 THEN '<X>' ELSE '' END
+    || '<Customer><c_mktsegment>' || c_mktsegment || '</c_mktsegment><c_nationkey>' || c_nationkey || '</c_nationkey></Customer>'
+    || CASE WHEN row_number() OVER (ORDER BY c_mktsegment DESC, c_nationkey DESC) = 1 THEN '</X>' ELSE '' END AS line FROM d""",
+)
+def xml_document(spark, sf_dir):
+    columns = ["c_mktsegment", "c_nationkey"]
+    rows = export.distinct_to_xml(domain.table(spark, sf_dir, "customer"), columns, "Customer")
+    return export.document_lines(rows, F.col("xml"), [F.col(c) for c in columns], "<X>", "</X>").select(*columns, "line")
+
+
 def _edited(spark, sf_dir):
     """Customers before and after an edit: some changed, some gone, suppliers added."""
     before = domain.table(spark, sf_dir, "customer")
@@ -227,6 +251,29 @@ def order_dispatch(spark, sf_dir):
     return o.select("order_id", export.status_event(F.col("order_id"), F.col("status")).alias("payload"))
 
 
+@query(
+    "outbox_retry",
+    """SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE CASE o_orderkey % 5 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 3 ELSE 1 END END AS attempts,
+    CASE WHEN o_orderkey % 7 = 0 THEN 'sent' WHEN o_orderkey % 5 = 4 THEN 'failed' ELSE 'acknowledged' END AS state,
+    CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 5 = 4 THEN 'refused 3' END AS error FROM orders""",
+)
+def outbox_retry(spark, sf_dir):
+    """Status events of all orders in three runs; an order with remainder r by five is refused until its attempt r, one in seven gets no answer."""
+    o = domain.order_rows(spark, sf_dir)
+    payload = export.status_event(F.col("order_id"), F.col("status"))
+    messages = o.select("order_id", payload.alias("payload")).withColumn("message_key", outbox.message_key(F.col("order_id"), F.col("payload")))
+    folder = work_dir(spark, "outbox")
+    ledger, landed = f"{folder}/sent", f"{folder}/results"
+    results = spark.createDataFrame([], outbox.RESULTS)
+    for run in (1, 2, 3):
+        sent = outbox.send_due(messages, ledger, results, run).filter("order_id % 7 <> 0")
+        ok = F.col("order_id") % 5 <= F.when(F.col("attempt") < 3, F.col("attempt")).otherwise(F.lit(3))
+        error = F.when(~ok, F.concat(F.lit("refused "), F.col("attempt").cast("string")))
+        sent.select("message_key", "attempt", ok.alias("ok"), error.alias("error")).write.mode("append").parquet(landed)
+        results = spark.read.schema(outbox.RESULTS).parquet(landed)
+    return outbox.outbox_report(messages, ledger, results, ["order_id"])
+
+
 # Orders and documents -----------------------------------------------------------------------
 
 
