@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -95,3 +96,36 @@ def test_long_tokens_cost_what_they_are(spark):
     held = spark.createDataFrame(texts, "doc_id bigint, text string")
     rows = {r["doc_id"]: r["score"] for r in lm_score.score_documents(held).filter("doc_id >= 1000").collect()}
     assert all(math.isfinite(s) for s in rows.values()) and rows[1002] < rows[1001] < rows[1000] < 0
+
+
+def test_cells_hold_every_bit_and_no_order_changes_them(learned):
+    code, tables, _ = learned
+    leaves = np.random.default_rng(1).permutation(code_and_tables()[2])
+    cells, whole, parts = code_bits.Cells.of(tables), *(np.zeros(2 * code_bits.CELLS, np.int64) for _ in range(2))
+    cells.count(code, whole, leaves, np.array([0, 1000, 1000, 3000]))
+    assert whole.sum() == np.diff(code.first)[leaves].sum()
+    for lo, hi in ((1000, 3000), (0, 1000)):
+        cells.count(code, parts, leaves[lo:hi], np.array([0, hi - lo]))
+    assert (parts == whole).all()
+    fitted, plain = code_bits.Cells.learn([cells], [whole]), code_bits.Cells.learn([cells], [whole * 0])
+    assert len(set(map(tuple, plain.weights))) == 1  # where nothing was counted, the weights it starts from
+    score = lambda mixer: code_bits.Model.of(code, tables, mixer).log10(leaves, np.array([0, 3000]))[0]
+    assert score(fitted) > score(plain)
+
+
+def test_mixers_are_fitted_to_all_training_texts(spark, monkeypatch):
+    """No sample: every bit of every training text and token is counted, one text longer than a piece included."""
+    random = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in random.zipf(1.5, 40) % 5000) for _ in range(400)] + [" ".join(f"w{k}" for k in range(40_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    train = [t.split() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    found = {}
+    learn_bits, learn_spelling, build = code_bits.Cells.learn, lm_score.Cells.learn, code_bits.build_code
+    monkeypatch.setattr(code_bits.Cells, "learn", lambda halves, seen: found.update(bits=sum(s.sum() for s in seen)) or learn_bits(halves, seen))
+    monkeypatch.setattr(lm_score.Cells, "learn", lambda self, tables, seen: found.update(spelled=seen.sum()) or learn_spelling(self, tables, seen))
+    monkeypatch.setattr(code_bits, "build_code", lambda *a: found.setdefault("code", build(*a)))
+    assert lm_score.score_documents(docs).filter("score < 0").count() == len(texts)
+    code, size = found["code"], np.diff(found["code"].first)
+    leaves = [code.leaves_of(lm_score._hashes([w.encode() for w in t])) for t in train]
+    assert found["bits"] == sum(int(size[own].sum()) + size[code_bits.END] for own in leaves)
+    assert found["spelled"] == 8 * (sum(len(w) + 1 for w in {w for t in train for w in t}) + 1)

@@ -12,9 +12,11 @@ to its leaf; a bit's predictors are the counts of that tree node
 
 The corpus counts are hashed tables summed over all training texts.  The log-odds
 are mixed by weights that a gate selects (how well each context is known) and an
-adaptive map refines the result; weights and map are learned online, bit after
-bit, over a bounded sample of training texts whose own bits are taken out of the
-tables.  The bits of all nodes sum to a probability over the leaves.
+adaptive map refines the result.  Weights and map are fitted to every bit of every
+training text, read from tables of the other half of the texts, as a text's own
+bits foretell it too well: bits of one gate with alike log-odds are counted in one
+cell, the cells are summed over all tasks, and the fit reads the sums.  The bits of
+all nodes sum to a probability over the leaves.
 """
 
 from __future__ import annotations
@@ -32,10 +34,13 @@ LEAVES = 1 << 16  # tokens with a leaf of their own
 ANCHORS = 256  # the most frequent ones, which the second context remembers
 BITS_ANCHOR, BITS_BEFORE = 18, 18
 SEGMENT = 1 << 15  # tokens of a text handled at once
+RUN = 1 << 14  # bits mixed at once: they stay in the caches
 END, ESCAPE = 0, 1  # leaf numbers; tokens follow
 INPUTS = 5
 GATES = 4 * 4 * 4
 STEPS = 33
+FINE = 1 << 10  # steps at which the refined log-odds are read
+BINS = 16  # of each log-odds in a cell
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -170,11 +175,11 @@ def seen_so_far(owner: np.ndarray, node: np.ndarray, bit: np.ndarray, nodes: int
     ones = np.cumsum(b, dtype=np.int32) - b
     n1 = ones - np.repeat(ones[begins], size)
     n = np.arange(len(key), dtype=np.int32) - np.repeat(begins.astype(np.int32), size)
-    zeros_out, ones_out = np.empty(len(key), np.float32), np.empty(len(key), np.float32)
+    zeros_out, ones_out = np.empty(len(key), np.int32), np.empty(len(key), np.int32)
     zeros_out[order], ones_out[order] = n - n1, n1
     if held is not None:
-        zeros_out += held[node, 0]
-        ones_out += held[node, 1]
+        zeros_out += held[node, 0].astype(np.int32)
+        ones_out += held[node, 1].astype(np.int32)
     return zeros_out, ones_out
 
 
@@ -210,64 +215,191 @@ class Read:
         return Read(self.odds.take(slot), self.level.take(slot))
 
 
+_OWN = np.log(np.arange(1 << 15) + 0.4).astype(np.float32)
+
+
+def _own_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log-odds of what the text had so far; 0 for nothing."""
+    if len(zeros) and zeros.dtype.kind == "i" and max(zeros.max(), ones.max()) < len(_OWN):
+        return np.clip(_OWN.take(ones) - _OWN.take(zeros), -9, 9)
+    return _log_odds(zeros.astype(np.float32), ones.astype(np.float32), 0.4)
+
+
 def inputs(corpus: list[Read], zeros: np.ndarray, ones: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """(log-odds of each predictor and a constant, gate)."""
     base = corpus[0].odds
-    x = [base, *(np.where(np.isnan(c.odds), base, c.odds) for c in corpus[1:])]
-    known = zeros + ones
-    x.append(np.where(known > 0, _log_odds(zeros, ones, 0.4), np.float32(0)))
-    x.append(np.full(len(base), 0.3, np.float32))
-    return x, corpus[1].level.astype(np.int64) * 16 + corpus[2].level * 4 + _level(known, _LEVELS[2])
+    x = [base, *(np.where(np.isnan(c.odds), base, c.odds) for c in corpus[1:]), _own_odds(zeros, ones), np.full(len(base), 0.3, np.float32)]
+    return x, corpus[1].level.astype(np.int64) * 16 + corpus[2].level * 4 + _level(zeros + ones, _LEVELS[2])
 
 
 @dataclass
 class BitMixer:
     weights: np.ndarray  # gate x input
     refine: np.ndarray  # gate x bucket: log-odds
+    read: tuple[np.ndarray, np.ndarray] | None = None  # gate x step of the mixed log-odds: refined ones, and log10 probability of each bit
+
+    def __post_init__(self) -> None:
+        z = (np.arange(FINE) + 0.5) * (20 / FINE) - 10
+        at = (z + 10) / 20 * (STEPS - 1)
+        low = at.astype(np.int64)
+        refined = self.refine[:, low] + (self.refine[:, low + 1] - self.refine[:, low]) * (at - low)
+        odds = np.clip((z + refined) / 2, -11.5, 11.5)
+        by_bit = np.stack([-np.log1p(np.exp(odds)), -np.log1p(np.exp(-odds))], axis=2) / math.log(10)
+        self.read = odds.astype(np.float32).ravel(), by_bit.astype(np.float32).ravel()
+
+    def _steps(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        weights = np.ascontiguousarray(self.weights.T, np.float32)
+        z = weights[0].take(gate)
+        z *= x[0]
+        for k in range(1, INPUTS):
+            part = weights[k].take(gate)
+            part *= x[k]
+            z += part
+        z += np.float32(10)
+        z *= np.float32(FINE / 20)
+        np.clip(z, 0, FINE - 1, out=z)
+        step = z.astype(np.int64)
+        step += gate * FINE
+        return step
 
     def odds(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         """Log-odds of a one."""
-        weights, refine = np.ascontiguousarray(self.weights.T, np.float32), self.refine.astype(np.float32).ravel()
-        z = weights[0].take(gate) * x[0]
-        for k in range(1, INPUTS):
-            z += weights[k].take(gate) * x[k]
-        np.clip(z, -9.9, 9.9, out=z)
-        at = (z + np.float32(10)) * np.float32((STEPS - 1) / 20)
-        low = at.astype(np.int64)
-        at -= low
-        low += gate * STEPS
-        near = refine.take(low)
-        low += 1
-        z += near + (refine.take(low) - near) * at
-        z *= np.float32(0.5)
-        return np.clip(z, -11.5, 11.5, out=z)
+        return self.read[0].take(self._steps(x, gate))
 
     def log10(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """log10 probability of each bit: of a one 1 / (1 + e^-odds), of a zero the rest."""
-        z = self.odds(x, gate)
-        np.negative(z, out=z, where=bit == 1)
-        np.exp(z, out=z)
-        z += np.float32(1)
-        np.log(z, out=z)
-        z *= np.float32(-1 / math.log(10))
-        return z
-
-
-def learn(x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, rate: float = 0.004, passes: int = 3) -> BitMixer:
-    """Goes over the sample's bits online, in runs of 64."""
-    mixer = BitMixer(np.tile(np.array([0.1, 0.6, 0.2, 0.1, 0.0]), (GATES, 1)), np.tile(np.linspace(-10, 10, STEPS), (GATES, 1)))
-    order = np.random.default_rng(3)
+        step = self._steps(x, gate)
+        step *= 2
+        step += bit
+        return self.read[1].take(step)
+
+
+def fit(x: np.ndarray, gate: np.ndarray, seen: np.ndarray, start: np.ndarray, steps: int, reach: float, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, refining log-odds on ``steps`` points from -reach to reach) per gate.
+
+    ``x`` are the inputs of each cell, ``seen`` its zeros and ones.  Newton's steps
+    from ``start``, which weighs as much as a few bits and a thousandth of all; then the zeros and ones
+    around each point, shared between the two nearest.
+    """
+    weights, grid = start.astype(float).copy(), np.linspace(-reach, reach, steps)
+    refine = np.tile(grid, (len(start), 1))
+    by = np.argsort(gate, kind="stable")
+    borders = np.searchsorted(gate[by], np.arange(len(start) + 1))
+    for g, (lo, hi) in enumerate(zip(borders[:-1], borders[1:])):
+        if lo == hi:
+            continue
+        own, n0, n1 = x[by[lo:hi]].astype(float), *seen[by[lo:hi]].astype(float).T
+        hold = 4 + 1e-3 * (n0.sum() + n1.sum())
+        mixed = lambda w: np.clip(own @ w, -reach, reach)
+        loss = lambda w: float(n1 @ np.logaddexp(0, -mixed(w)) + n0 @ np.logaddexp(0, mixed(w)) + hold / 2 * ((w - start[g]) ** 2).sum())
+        w, now = weights[g], loss(weights[g])
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-mixed(w)))
+            slope = own.T @ ((n0 + n1) * p - n1) + hold * (w - start[g])
+            bend = (own * ((n0 + n1) * p * (1 - p))[:, None]).T @ own + hold * np.eye(len(w))
+            step = np.linalg.solve(bend, slope)
+            while np.abs(step).max() > 1e-5 and loss(w - step) > now:
+                step /= 2
+            if np.abs(step).max() <= 1e-5:
+                break
+            w, now = w - step, loss(w - step)
+        weights[g] = w
+        at = (mixed(w) + reach) / (2 * reach) * (steps - 1)
+        low = np.minimum(at.astype(np.int64), steps - 2)
+        zeros, ones = (np.bincount(low, n * (1 - at + low), steps) + np.bincount(low + 1, n * (at - low), steps) for n in (n0, n1))
+        p = 1 / (1 + np.exp(-grid))
+        refine[g] = np.log((ones + 4 * p) / (zeros + 4 * (1 - p)))
+    return weights, np.clip(refine, -reach, reach)
+
+
+_START = np.tile(np.array([0.1, 0.6, 0.2, 0.1, 0.0]), (GATES, 1))
+
+
+def learn(x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray) -> BitMixer:
+    """The mixer fitted to bits one by one."""
     x = np.stack(x, axis=1) if len(bit) else np.empty((0, INPUTS))
-    for k in range(passes):
-        places = order.permutation(len(bit))
-        for lo in range(0, len(places), 64):
-            at = places[lo : lo + 64]
-            own, g, y = x[at], gate[at], bit[at]
-            z = np.clip((mixer.weights[g] * own).sum(axis=1), -9.9, 9.9)
-            np.add.at(mixer.weights, g, rate / (1 + k) * (y - 1 / (1 + np.exp(-z)))[:, None] * own)
-            nearest = np.rint((z + 10) / 20 * (STEPS - 1)).astype(np.int64)
-            np.add.at(mixer.refine, (g, nearest), 0.02 * (y - 1 / (1 + np.exp(-mixer.refine[g, nearest]))))
-    return mixer
+    return BitMixer(*fit(x, gate, np.stack([1 - bit, bit], axis=1), _START, STEPS, 10.0))
+
+
+# A cell holds the bits of one gate whose four log-odds fall into the same bins.
+CELLS = GATES * BINS**4
+_HALF = np.array([0.25, 0.8, 1.5, 2.3, 3.2, 4.4, 6.0])
+_BORDERS = np.concatenate([-_HALF[::-1], [0], _HALF])
+_NODE_BORDERS = np.array([0.06, 0.15, 0.27, 0.42, 0.65, 1.1, 2.5])  # a Huffman node is even, nearly
+_NODE_BORDERS = np.concatenate([-_NODE_BORDERS[::-1], [0], _NODE_BORDERS])
+_PLACES = BINS ** np.arange(3, -1, -1)
+_NEAR = 1 << 8  # counts in a text up to here are looked up
+
+
+def _own_cells(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    known, odds = zeros + ones, _own_odds(zeros, ones)
+    return odds, np.searchsorted(_BORDERS, odds), _level(known, _LEVELS[2]).astype(np.int64)
+
+
+@dataclass
+class Cells:
+    """What each table adds to the cell of a bit, and what the text had; the tables are of other texts."""
+
+    parts: list[np.ndarray]
+    own: np.ndarray  # at _NEAR zeros + ones
+    mean: list[np.ndarray]  # level x bin: mean log-odds of each input
+
+    @classmethod
+    def of(cls, tables: Tables) -> "Cells":
+        parts, mean = [], []
+        for k, counts in enumerate((tables.node, tables.anchor, tables.before)):
+            read = Read.of(counts, k)
+            odds, level = np.nan_to_num(read.odds), read.level.astype(np.int64)
+            at = np.searchsorted(_BORDERS if k else _NODE_BORDERS, odds)
+            parts.append((level * ((0, 16, 4)[k] * BINS**4) + at * _PLACES[k]).astype(np.int32))
+            mean.append(cls._mean(odds, level * BINS + at, counts.sum(axis=1)))
+        zeros, ones = np.divmod(np.arange(_NEAR * _NEAR), _NEAR)
+        odds, at, level = _own_cells(zeros, ones)
+        mean.append(cls._mean(odds, level * BINS + at, 1.0 / (1 + zeros + ones) ** 3))
+        return cls(parts, (level * BINS**4 + at).astype(np.int32), mean)
+
+    @staticmethod
+    def _mean(odds: np.ndarray, group: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        total = np.bincount(group, weight, 4 * BINS)
+        return (np.bincount(group, weight * odds, 4 * BINS) / np.maximum(total, 1e-9)).reshape(4, BINS)
+
+    def count(self, code: Code, seen: np.ndarray, leaves: np.ndarray, first: np.ndarray) -> None:
+        """Adds the bits of training texts to ``seen``, at 2 cell + bit."""
+        for steps, held, _ in _segments(code, leaves, first):
+            zeros, ones = seen_so_far(steps.owner, steps.node, steps.bit, code.nodes, held)
+            slots = steps.node, steps.anchor, steps.before
+            for lo in range(0, len(zeros), RUN):
+                run = slice(lo, lo + RUN)
+                n0, n1, bit = zeros[run], ones[run], steps.bit[run]
+                if max(n0.max(), n1.max()) < _NEAR:
+                    cell = self.own.take(n0 * _NEAR + n1)
+                else:
+                    _, at, level = _own_cells(n0, n1)
+                    cell = (level * BINS**4 + at).astype(np.int32)
+                for part, slot in zip(self.parts, slots):
+                    cell += part.take(slot[run])
+                cell *= 2
+                cell += bit
+                np.add.at(seen, cell, seen.dtype.type(1))
+
+    @staticmethod
+    def learn(halves: list["Cells"], seen: list[np.ndarray]) -> BitMixer:
+        """The mixer fitted to all bits that were counted, by the cells of each half."""
+        x, gate, bits = (np.concatenate(p) for p in zip(*(cells._described(s) for cells, s in zip(halves, seen))))
+        return BitMixer(*fit(x, gate, bits, _START, STEPS, 10.0))
+
+    def _described(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(inputs, gate, zeros and ones) of the cells in use."""
+        seen = seen.reshape(-1, 2)
+        cell = np.flatnonzero(seen.any(axis=1))
+        gate = cell // BINS**4
+        levels = (np.zeros_like(gate), gate // 16, gate // 4 % 4, gate % 4)
+        x = np.full((len(cell), INPUTS), 0.3)
+        for k in range(4):
+            x[:, k] = self.mean[k][levels[k], cell // _PLACES[k] % BINS]
+            if k in (1, 2):
+                x[:, k] = np.where(levels[k] == 0, x[:, 0], x[:, k])
+        return x, gate, seen[cell]
 
 
 def _segments(code: Code, leaves: np.ndarray, first: np.ndarray) -> Iterator[tuple[Steps, np.ndarray | None, int]]:
@@ -320,8 +452,12 @@ class Model:
         """log10 probability of the leaves of each text."""
         out = np.zeros(len(first) - 1)
         for steps, held, text in _segments(self.code, leaves, first):
-            corpus = [read.at(slot) for read, slot in zip(self.reads, (steps.node, steps.anchor, steps.before))]
-            x, gate = inputs(corpus, *seen_so_far(steps.owner, steps.node, steps.bit, self.code.nodes, held))
-            found = np.bincount(steps.owner, self.mixer.log10(x, gate, steps.bit))
-            out[text : text + len(found)] += found
+            zeros, ones = seen_so_far(steps.owner, steps.node, steps.bit, self.code.nodes, held)
+            for lo in range(0, len(zeros), RUN):
+                run = slice(lo, lo + RUN)
+                corpus = [read.at(slot[run]) for read, slot in zip(self.reads, (steps.node, steps.anchor, steps.before))]
+                x, gate = inputs(corpus, zeros[run], ones[run])
+                owner = steps.owner[run]
+                found = np.bincount(owner - owner[0], self.mixer.log10(x, gate, steps.bit[run]))
+                out[text + owner[0] : text + owner[0] + len(found)] += found
         return out

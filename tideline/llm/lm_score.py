@@ -13,10 +13,12 @@ that came k times among the n escaped ones of its text so far has probability
 Tokens seen once in training have no leaf: left out, they are new ones, so the
 escapes of the training texts tell how often to expect those.
 
-Counts cover all training texts: tokens are counted per task and summed by
-shuffle, the bit tables summed from all of them.  Weights and maps are learned
-online on bounded samples (``SAMPLE`` tokens, ``SAMPLE_TEXTS`` texts of at most
-``SAMPLE_BYTES``, the first by hash), each with its own occurrence taken out.
+Counts, weights and maps cover all training texts: tokens are counted per task and
+summed by shuffle, the bit tables summed from all of them.  Then the tasks count in
+cells how the bits of every training text came out, read from the tables of the
+other half of the texts, and those of every training token spelled once, its own
+occurrence taken out; weights and maps are fitted to the cells' sums, which no
+order or number of tasks changes.
 Which tokens reach the tasks by broadcast (``COMMON``) and which by a join
 changes the plan only: both use the same urn.
 """
@@ -24,7 +26,7 @@ changes the plan only: both use the same urn.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,14 +38,12 @@ from . import code_bits
 from . import words as W
 from .base import keyed, stored
 
-SAMPLE_TEXTS, SAMPLE_BYTES = 150, 1 << 16
 COUNT_BLOCK = 1 << 12  # entries of a count table that travel together
 COMMON = 1 << 18  # tokens broadcast with their counts: 6 MB, whatever the corpus
 LOOKS_BACK = (1, 2, 3, 4, 8)  # bytes of the contexts; the sixth is the place alone
 ORDERS = 1 + len(LOOKS_BACK)
 TABLE_BITS = 18
 BLOCK = 1 << 13  # slots of a table that travel together
-SAMPLE = 4000  # training tokens that weights and map are learned on, the first by hash
 ADAPT = 3000.0  # A: how many tokens the model's own probability weighs
 _MASK = (1 << TABLE_BITS) - 1
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -140,18 +140,24 @@ def _stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.log((n1 + 0.02) / (n0 + 0.02))
 
 
-def _inputs(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log-odds per order, gate): the gate is the longest context with a count, and whether it is certain."""
-    known = n0 + n1 > 0.5
-    longest = np.where(known.any(axis=0), ORDERS - 1 - known[::-1].argmax(axis=0), 0)
-    at = np.arange(n0.shape[1])
-    sure = np.minimum(n0, n1)[longest, at] < 0.5
-    some = (n0 + n1)[longest, at] > 3.5
-    return np.where(known, _stretch(n0, n1), 0.0), longest * 4 + sure * 2 + some
-
-
 GATES = 4 * ORDERS
 _STEPS_APM = 33
+_FINE = 1 << 10  # steps at which the refined log-odds are read
+_BORDERS = np.array([-5.0, -2.0, -0.4, 0.4, 2.0, 5.0])
+_KINDS = 8  # bins of a cell's log-odds: unknown, and those between the borders
+CELLS = 4 * _KINDS**ORDERS
+
+
+def _read(counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(log-odds, gate) of each slot of an order.
+
+    The longest context with a count and whether it is certain make the gate of a
+    bit: the greatest of the gates that its contexts name.
+    """
+    n0, n1 = counts[..., 0], counts[..., 1]
+    known = n0 + n1 > 0.5
+    gate = order * 4 + (np.minimum(n0, n1) < 0.5) * 2 + (n0 + n1 > 3.5)
+    return np.where(known, _stretch(n0, n1), 0.0).astype(np.float32), np.where(known | (order == 0), gate, 0).astype(np.int8)
 
 
 @dataclass
@@ -160,15 +166,32 @@ class Mixer:
     weights: np.ndarray  # gate x order
     refine: np.ndarray  # gate x bucket: log-odds of the refined probability
 
-    def probability(self, n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-        """Of a one, for each column of counts."""
-        x, gate = _inputs(n0, n1)
-        z = np.clip((self.weights[gate].T * x).sum(axis=0), -11.9, 11.9)
+    def __post_init__(self) -> None:
+        self.reads = [_read(t, k) for k, t in enumerate(self.tables)]
+        z = (np.arange(_FINE) + 0.5) * (24 / _FINE) - 12
         at = (z + 12) / 24 * (_STEPS_APM - 1)
         low = at.astype(np.int64)
-        refined = self.refine[gate, low] * (1 - at + low) + self.refine[gate, low + 1] * (at - low)
-        p = 1 / (1 + np.exp(-(z + refined) / 2))
-        return np.clip(p, 1e-6, 1 - 1e-6)
+        refined = self.refine[:, low] * (1 - at + low) + self.refine[:, low + 1] * (at - low)
+        p = np.clip(1 / (1 + np.exp(-(z + refined) / 2)), 1e-6, 1 - 1e-6)
+        self.by_bit = np.log10(np.stack([1 - p, p], axis=2)).astype(np.float32).ravel()  # gate x step x bit
+
+    def __reduce__(self):
+        return Mixer, (self.tables, self.weights, self.refine)
+
+    def bits_log10(self, bit: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """log10 probability of each bit."""
+        gate = self.reads[0][1].take(slots[0])
+        for k in range(1, ORDERS):
+            np.maximum(gate, self.reads[k][1].take(slots[k]), out=gate)
+        gate = gate.astype(np.int64)
+        weights, z = self.weights.astype(np.float32), np.full(len(bit), 12, np.float32)
+        for k in range(ORDERS):
+            part = np.ascontiguousarray(weights[:, k]).take(gate)
+            part *= self.reads[k][0].take(slots[k])
+            z += part
+        step = np.clip(z * np.float32(_FINE / 24), 0, _FINE - 1).astype(np.int64)
+        step += gate * _FINE
+        return self.by_bit.take(step * 2 + bit)
 
     def log10(self, tokens: list[bytes]) -> np.ndarray:
         """log10 probability of each token, with the sign that ends it."""
@@ -179,42 +202,66 @@ class Mixer:
             for lo in range(0, len(byte), 1 << 14):  # small enough for the caches
                 part = slice(lo, lo + (1 << 14))
                 for bit, slots in _slots(byte[part], [c[part] for c in contexts]):
-                    counts = np.stack([self.tables[k][slots[k]] for k in range(ORDERS)])
-                    p = self.probability(counts[:, :, 0], counts[:, :, 1])
-                    log[part] += np.log10(np.where(bit == 1, p, 1 - p))
+                    log[part] += self.bits_log10(bit, slots)
             out += np.bincount(owner, log[group], len(tokens))
         return out
 
 
-def learn_mixer(tables: np.ndarray, tokens: list[bytes], rate: float = 0.02, passes: int = 3, seed: int = 5) -> Mixer:
-    """Goes over the sample online; the tables are read without the token's own occurrence."""
-    x, gate, bits = [], [], []
-    for _, bit, slots in _bits(tokens):
-        counts = np.stack([tables[k][slots[k]] for k in range(ORDERS)]).astype(float)
-        own = np.stack([1 - bit, bit], axis=1)
-        counts = np.maximum(counts - own[None], 0)
-        a, g = _inputs(counts[:, :, 0], counts[:, :, 1])
-        x.append(a), gate.append(g), bits.append(bit)
-    grid = np.linspace(-12, 12, _STEPS_APM)
-    mixer = Mixer(tables, np.full((GATES, ORDERS), 0.3), np.tile(grid, (GATES, 1)))
-    if not x:
-        return mixer
-    x, gate, bits = np.concatenate(x, axis=1), np.concatenate(gate), np.concatenate(bits)
-    order = np.random.default_rng(seed)
-    refine = mixer.refine.copy()
-    for _ in range(passes):
-        places = order.permutation(len(bits))
-        for lo in range(0, len(places), 64):  # in runs of 64 bits
-            at = places[lo : lo + 64]
-            own, g, y = x[:, at], gate[at], bits[at]
-            z = np.clip((mixer.weights[g].T * own).sum(axis=0), -11.9, 11.9)
-            error = y - 1 / (1 + np.exp(-z))
-            np.add.at(mixer.weights, g, rate * (error * own).T)
-            np.clip(mixer.weights, -4, 4, out=mixer.weights)
-            nearest = np.rint((z + 12) / 24 * (_STEPS_APM - 1)).astype(np.int64)
-            np.add.at(refine, (g, nearest), 0.05 * (y - 1 / (1 + np.exp(-refine[g, nearest]))))
-    mixer.refine = np.clip(refine, -12, 12)
-    return mixer
+@dataclass
+class Cells:
+    """How the bits of tokens came out, by the bins of their log-odds and the gate's lower part.
+
+    ``bins`` and ``gates`` are of each order's slots at 2 slot + bit, the bit's own
+    occurrence taken out; ``mean`` is the mean log-odds of an order's bin.
+    """
+
+    bins: list[np.ndarray]
+    gates: list[np.ndarray]
+    mean: np.ndarray
+
+    @classmethod
+    def of(cls, tables: np.ndarray) -> "Cells":
+        bins, gates, mean = [], [], np.zeros((ORDERS, _KINDS))
+        for k, counts in enumerate(tables):
+            left = np.maximum(counts[:, None, :] - np.eye(2, dtype=np.float32), 0)  # slot x bit taken out x counts
+            odds, gate = (r.ravel() for r in _read(left, k))
+            bin_ = np.where((left.sum(axis=2) > 0.5).ravel(), 1 + np.searchsorted(_BORDERS, odds), 0)
+            total = np.bincount(bin_, counts.ravel(), _KINDS)
+            mean[k] = np.bincount(bin_, counts.ravel() * odds, _KINDS) / np.maximum(total, 1e-9)
+            bins.append((bin_ * _KINDS**k).astype(np.int32)), gates.append(gate)
+        return cls(bins, gates, mean)
+
+    def count(self, seen: np.ndarray, tokens: list[bytes]) -> None:
+        """Adds each bit of the tokens to ``seen``, at 2 cell + bit."""
+        for _, byte, contexts in _places(tokens, 1 << 17):
+            group, byte, contexts = _alike(byte, contexts)
+            times = np.bincount(group, minlength=len(byte)).astype(seen.dtype)
+            for lo in range(0, len(byte), 1 << 14):
+                part = slice(lo, lo + (1 << 14))
+                for bit, slots in _slots(byte[part], [c[part] for c in contexts]):
+                    cell, gate = np.zeros(len(bit), np.int32), np.zeros(len(bit), np.int8)
+                    for k in range(ORDERS):
+                        at = slots[k] * 2 + bit
+                        cell += self.bins[k].take(at)
+                        np.maximum(gate, self.gates[k].take(at), out=gate)
+                    np.add.at(seen, ((gate & 3) * np.int64(_KINDS**ORDERS) + cell) * 2 + bit, times[part])
+
+    def learn(self, tables: np.ndarray, seen: np.ndarray) -> Mixer:
+        """The mixer fitted to all bits that were counted."""
+        seen = seen.reshape(-1, 2)
+        cell = np.flatnonzero(seen.any(axis=1))
+        bins = np.stack([cell // _KINDS**k % _KINDS for k in range(ORDERS)], axis=1)
+        longest = np.where((bins > 0).any(axis=1), ORDERS - 1 - (bins[:, ::-1] > 0).argmax(axis=1), 0)
+        x = np.stack([self.mean[k][bins[:, k]] for k in range(ORDERS)], axis=1)
+        start = np.full((GATES, ORDERS), 0.3)
+        return Mixer(tables, *code_bits.fit(x, longest * 4 + cell // _KINDS**ORDERS, seen[cell], start, _STEPS_APM, 12.0))
+
+
+def learn_mixer(tables: np.ndarray, tokens: list[bytes]) -> Mixer:
+    """The mixer of a few tokens."""
+    cells, seen = Cells.of(tables), np.zeros(2 * CELLS, np.int64)
+    cells.count(seen, tokens)
+    return cells.learn(tables, seen)
 
 
 # ---------------------------------------------------------------- counts
@@ -279,18 +326,13 @@ def _leaves(code: code_bits.Code, cut: W.Words) -> tuple[np.ndarray, np.ndarray]
     return leaves, first
 
 
-def _learn_code(rows: DataFrame, code: code_bits.Code) -> code_bits.Model:
-    """Bit counts of all training texts, and the mixer learned on a bounded sample of them."""
-    sent = rows.sparkSession.sparkContext.broadcast(code)
-    train = rows.filter("train = 1")
+def _summed(rows: DataFrame, counted: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
+    """Sum over the tasks of the flat counts that ``counted`` makes of a task's rows, added block by block."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = code_bits.Tables.empty(sent.value.nodes)
-        for batch in batches:
-            for _, _, data, offsets in W.chunks(batch, "text", 1 << 18):
-                code_bits.count(sent.value, tables, *_leaves(sent.value, W.cut(data, offsets, lower=True)))
-        flat = np.concatenate([t.ravel() for t in (tables.node, tables.anchor, tables.before)]).astype(np.int32)
-        flat = np.pad(flat, (0, -len(flat) % COUNT_BLOCK)).reshape(-1, COUNT_BLOCK)
+        flat = counted(batches).astype(np.int32, copy=False)
+        over = -len(flat) % COUNT_BLOCK
+        flat = (np.pad(flat, (0, over)) if over else flat).reshape(-1, COUNT_BLOCK)
         used = np.flatnonzero(flat.any(axis=1))
         for lo in range(0, len(used), 64):
             part = used[lo : lo + 64]
@@ -301,24 +343,48 @@ def _learn_code(rows: DataFrame, code: code_bits.Code) -> code_bits.Model:
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
                 sums[block] = sums.get(block, 0) + np.frombuffer(counts.as_py(), np.int32).astype(np.int64)
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([t.astype(np.float32).tobytes() for t in sums.values()], pa.binary())], ["block", "counts"])
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([t.tobytes() for t in sums.values()], pa.binary())], ["block", "counts"])
 
-    blocks = train.select("text").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(total, "block int, counts binary").toArrow()  # bounded: the tables' size
-    tables = code_bits.Tables.empty(code.nodes)
-    sizes = [t.size for t in (tables.node, tables.anchor, tables.before)]
-    flat = np.zeros((-(-sum(sizes) // COUNT_BLOCK), COUNT_BLOCK), np.float32)
+    blocks = rows.mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(total, "block int, counts binary").toArrow()  # bounded: the tables' size
+    flat = np.zeros((-(-size // COUNT_BLOCK), COUNT_BLOCK), np.int64)
     for block, counts in zip(blocks.column(0).to_pylist(), blocks.column(1).to_pylist()):
-        flat[block] = np.frombuffer(counts, np.float32)
-    parts = np.split(flat.ravel()[: sum(sizes)], np.cumsum(sizes)[:-1])
-    tables = code_bits.Tables(*(p.reshape(-1, 2) for p in parts))
-    drawn = train.filter(F.length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("doc_id", "text"), "text").limit(SAMPLE_TEXTS).select("text").toArrow()
-    found = []
-    for batch in drawn.to_batches():
-        for _, _, data, offsets in W.chunks(batch, "text", 1 << 18):
-            found += code_bits.describe(code, tables, *_leaves(code, W.cut(data, offsets, lower=True)))
-    x = [np.concatenate([f[0][k] for f in found]) for k in range(code_bits.INPUTS)] if found else []
-    gate, bit = (np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]) for k in (1, 2))
-    return code_bits.Model.of(code, tables, code_bits.learn(x, gate, bit))
+        flat[block] = np.frombuffer(counts, np.int64)
+    return flat.ravel()[:size]
+
+
+def _learn_code(rows: DataFrame, code: code_bits.Code) -> code_bits.Model:
+    """Bit counts of all training texts, and the mixer fitted to all their bits."""
+    context = rows.sparkSession.sparkContext
+    half = F.pmod(F.xxhash64("kd", "kh"), F.lit(2)).cast("int")
+    train, sent = rows.filter("train = 1").select("text", half.alias("half")), context.broadcast(code)
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            own = np.asarray(batch.column(1))
+            for k in (0, 1):
+                for _, _, data, offsets in W.chunks(batch.filter(pa.array(own == k)), "text", 1 << 18):
+                    yield k, *_leaves(sent.value, W.cut(data, offsets, lower=True))
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        tables = [code_bits.Tables.empty(sent.value.nodes) for _ in range(2)]
+        for k, *part in leaves(batches):
+            code_bits.count(sent.value, tables[k], *part)
+        return np.concatenate([t.ravel() for both in tables for t in (both.node, both.anchor, both.before)])
+
+    sizes = [t.size for t in vars(code_bits.Tables.empty(code.nodes)).values()]
+    counted = _summed(train, bits, 2 * sum(sizes)).reshape(2, -1)
+    tables_of = lambda flat: code_bits.Tables(*(p.reshape(-1, 2) for p in np.split(flat.astype(np.float32), np.cumsum(sizes)[:-1])))
+    cells = [code_bits.Cells.of(tables_of(other)) for other in counted[::-1]]
+    sent_cells = context.broadcast(cells)
+
+    def outcomes(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        seen = np.zeros((2, 2 * code_bits.CELLS), np.int32)
+        for k, *part in leaves(batches):
+            sent_cells.value[k].count(sent.value, seen[k], *part)
+        return seen.ravel()
+
+    seen = _summed(train, outcomes, 4 * code_bits.CELLS).reshape(2, -1)
+    return code_bits.Model.of(code, tables_of(counted.sum(axis=0)), code_bits.Cells.learn(cells, list(seen)))
 
 
 _PARTS = "doc_id bigint, kd bigint, kh bigint, n bigint, n_bytes bigint, n_known bigint, n_rare bigint, base double, bits double, model double, rare array<struct<token:binary,tf:bigint,leaf:boolean>>"
@@ -352,8 +418,19 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     for _, bit, slots in _bits([_END]):
         for k in range(ORDERS):
             tables[k, slots[k], bit] += min(ends, 1)
-    drawn = known.orderBy(F.xxhash64("token"), "token").limit(SAMPLE).select("token").toArrow()
-    mixer = spark.sparkContext.broadcast(learn_mixer(tables, drawn.column(0).to_pylist()))
+    cells = Cells.of(tables)
+    sent_cells = spark.sparkContext.broadcast(cells)
+
+    def outcomes(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        seen = np.zeros(2 * CELLS, np.int32)
+        for batch in batches:
+            sent_cells.value.count(seen, batch.column(0).to_pylist())
+        return seen
+
+    seen = _summed(known, outcomes, 2 * CELLS)
+    if ends:
+        cells.count(seen, [_END])
+    mixer = spark.sparkContext.broadcast(cells.learn(tables, seen))
 
     # The code: tokens that came at least twice, the most frequent ones.
     top = vocabulary.filter("c > 1").orderBy(F.desc("c"), "token").limit(code_bits.LEAVES).toArrow()
