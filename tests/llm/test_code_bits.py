@@ -107,7 +107,7 @@ def test_cells_hold_every_bit_and_no_order_changes_them(learned):
     for lo, hi in ((1000, 3000), (0, 1000)):
         cells.count(code, parts, leaves[lo:hi], np.array([0, hi - lo]))
     assert (parts == whole).all()
-    fitted, plain = code_bits.Cells.learn([cells], [whole]), code_bits.Cells.learn([cells], [whole * 0])
+    fitted, plain = code_bits.Cells.learn([cells], whole), code_bits.Cells.learn([cells], whole * 0)
     assert len(set(map(tuple, plain.weights))) == 1  # where nothing was counted, the weights it starts from
     score = lambda mixer: code_bits.Model.of(code, tables, mixer).log10(leaves, np.array([0, 3000]))[0]
     assert score(fitted) > score(plain)
@@ -121,7 +121,7 @@ def test_mixers_are_fitted_to_all_training_texts(spark, monkeypatch):
     train = [t.split() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
     found = {}
     learn_bits, learn_spelling, build = code_bits.Cells.learn, lm_score.Cells.learn, code_bits.build_code
-    monkeypatch.setattr(code_bits.Cells, "learn", lambda halves, seen: found.update(bits=sum(s.sum() for s in seen)) or learn_bits(halves, seen))
+    monkeypatch.setattr(code_bits.Cells, "learn", lambda halves, seen: found.update(bits=seen.sum()) or learn_bits(halves, seen))
     monkeypatch.setattr(lm_score.Cells, "learn", lambda self, tables, seen: found.update(spelled=seen.sum()) or learn_spelling(self, tables, seen))
     monkeypatch.setattr(code_bits, "build_code", lambda *a: found.setdefault("code", build(*a)))
     assert lm_score.score_documents(docs).filter("score < 0").count() == len(texts)

@@ -40,7 +40,7 @@ INPUTS = 5
 GATES = 4 * 4 * 4
 STEPS = 33
 FINE = 1 << 10  # steps at which the refined log-odds are read
-BINS = 16  # of each log-odds in a cell
+NODE_BINS, BINS = 8, 16  # of a node's and of each other log-odds in a cell
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -322,11 +322,11 @@ def learn(x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray) -> BitMixer:
 
 
 # A cell holds the bits of one gate whose four log-odds fall into the same bins.
-CELLS = GATES * BINS**4
+_GATE = NODE_BINS * BINS**3
+CELLS = GATES * _GATE
 _HALF = np.array([0.25, 0.8, 1.5, 2.3, 3.2, 4.4, 6.0])
 _BORDERS = np.concatenate([-_HALF[::-1], [0], _HALF])
-_NODE_BORDERS = np.array([0.06, 0.15, 0.27, 0.42, 0.65, 1.1, 2.5])  # a Huffman node is even, nearly
-_NODE_BORDERS = np.concatenate([-_NODE_BORDERS[::-1], [0], _NODE_BORDERS])
+_NODE_BORDERS = np.array([-0.9, -0.35, -0.12, 0, 0.12, 0.35, 0.9])  # a Huffman node is even, nearly
 _PLACES = BINS ** np.arange(3, -1, -1)
 _NEAR = 1 << 8  # counts in a text up to here are looked up
 
@@ -342,26 +342,25 @@ class Cells:
 
     parts: list[np.ndarray]
     own: np.ndarray  # at _NEAR zeros + ones
-    mean: list[np.ndarray]  # level x bin: mean log-odds of each input
+    sums: list[np.ndarray]  # of each input's log-odds and of their bits, by level and bin
 
     @classmethod
     def of(cls, tables: Tables) -> "Cells":
-        parts, mean = [], []
+        parts, sums = [], []
         for k, counts in enumerate((tables.node, tables.anchor, tables.before)):
             read = Read.of(counts, k)
             odds, level = np.nan_to_num(read.odds), read.level.astype(np.int64)
             at = np.searchsorted(_BORDERS if k else _NODE_BORDERS, odds)
-            parts.append((level * ((0, 16, 4)[k] * BINS**4) + at * _PLACES[k]).astype(np.int32))
-            mean.append(cls._mean(odds, level * BINS + at, counts.sum(axis=1)))
+            parts.append((level * ((0, 16, 4)[k] * _GATE) + at * _PLACES[k]).astype(np.int32))
+            sums.append(cls._sums(odds, level * BINS + at, counts.sum(axis=1)))
         zeros, ones = np.divmod(np.arange(_NEAR * _NEAR), _NEAR)
         odds, at, level = _own_cells(zeros, ones)
-        mean.append(cls._mean(odds, level * BINS + at, 1.0 / (1 + zeros + ones) ** 3))
-        return cls(parts, (level * BINS**4 + at).astype(np.int32), mean)
+        sums.append(cls._sums(odds, level * BINS + at, 1.0 / (1 + zeros + ones) ** 3))
+        return cls(parts, (level * _GATE + at).astype(np.int32), sums)
 
     @staticmethod
-    def _mean(odds: np.ndarray, group: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        total = np.bincount(group, weight, 4 * BINS)
-        return (np.bincount(group, weight * odds, 4 * BINS) / np.maximum(total, 1e-9)).reshape(4, BINS)
+    def _sums(odds: np.ndarray, group: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(group, w, 4 * BINS) for w in (weight * odds, weight)])
 
     def count(self, code: Code, seen: np.ndarray, leaves: np.ndarray, first: np.ndarray) -> None:
         """Adds the bits of training texts to ``seen``, at 2 cell + bit."""
@@ -375,7 +374,7 @@ class Cells:
                     cell = self.own.take(n0 * _NEAR + n1)
                 else:
                     _, at, level = _own_cells(n0, n1)
-                    cell = (level * BINS**4 + at).astype(np.int32)
+                    cell = (level * _GATE + at).astype(np.int32)
                 for part, slot in zip(self.parts, slots):
                     cell += part.take(slot[run])
                 cell *= 2
@@ -383,23 +382,19 @@ class Cells:
                 np.add.at(seen, cell, seen.dtype.type(1))
 
     @staticmethod
-    def learn(halves: list["Cells"], seen: list[np.ndarray]) -> BitMixer:
-        """The mixer fitted to all bits that were counted, by the cells of each half."""
-        x, gate, bits = (np.concatenate(p) for p in zip(*(cells._described(s) for cells, s in zip(halves, seen))))
-        return BitMixer(*fit(x, gate, bits, _START, STEPS, 10.0))
-
-    def _described(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(inputs, gate, zeros and ones) of the cells in use."""
+    def learn(halves: list["Cells"], seen: np.ndarray) -> BitMixer:
+        """The mixer fitted to all bits that were counted by the cells of either half."""
         seen = seen.reshape(-1, 2)
         cell = np.flatnonzero(seen.any(axis=1))
-        gate = cell // BINS**4
+        gate = cell // _GATE
         levels = (np.zeros_like(gate), gate // 16, gate // 4 % 4, gate % 4)
         x = np.full((len(cell), INPUTS), 0.3)
         for k in range(4):
-            x[:, k] = self.mean[k][levels[k], cell // _PLACES[k] % BINS]
+            odds, bits = sum(h.sums[k] for h in halves)
+            x[:, k] = (odds / np.maximum(bits, 1e-9))[levels[k] * BINS + cell // _PLACES[k] % (BINS if k else NODE_BINS)]
             if k in (1, 2):
                 x[:, k] = np.where(levels[k] == 0, x[:, 0], x[:, k])
-        return x, gate, seen[cell]
+        return BitMixer(*fit(x, gate, seen[cell], _START, STEPS, 10.0))
 
 
 def _segments(code: Code, leaves: np.ndarray, first: np.ndarray) -> Iterator[tuple[Steps, np.ndarray | None, int]]:

@@ -38,6 +38,7 @@ from . import code_bits
 from . import words as W
 from .base import keyed, stored
 
+PIECE = 1 << 17  # bytes of texts whose bits are handled at once
 COUNT_BLOCK = 1 << 12  # entries of a count table that travel together
 COMMON = 1 << 18  # tokens broadcast with their counts: 6 MB, whatever the corpus
 LOOKS_BACK = (1, 2, 3, 4, 8)  # bytes of the contexts; the sixth is the place alone
@@ -362,7 +363,7 @@ def _learn_code(rows: DataFrame, code: code_bits.Code) -> code_bits.Model:
         for batch in batches:
             own = np.asarray(batch.column(1))
             for k in (0, 1):
-                for _, _, data, offsets in W.chunks(batch.filter(pa.array(own == k)), "text", 1 << 18):
+                for _, _, data, offsets in W.chunks(batch.filter(pa.array(own == k)), "text", PIECE):
                     yield k, *_leaves(sent.value, W.cut(data, offsets, lower=True))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -378,13 +379,13 @@ def _learn_code(rows: DataFrame, code: code_bits.Code) -> code_bits.Model:
     sent_cells = context.broadcast(cells)
 
     def outcomes(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        seen = np.zeros((2, 2 * code_bits.CELLS), np.int32)
+        seen = np.zeros(2 * code_bits.CELLS, np.int32)
         for k, *part in leaves(batches):
-            sent_cells.value[k].count(sent.value, seen[k], *part)
-        return seen.ravel()
+            sent_cells.value[k].count(sent.value, seen, *part)
+        return seen
 
-    seen = _summed(train, outcomes, 4 * code_bits.CELLS).reshape(2, -1)
-    return code_bits.Model.of(code, tables_of(counted.sum(axis=0)), code_bits.Cells.learn(cells, list(seen)))
+    seen = _summed(train, outcomes, 2 * code_bits.CELLS)
+    return code_bits.Model.of(code, tables_of(counted.sum(axis=0)), code_bits.Cells.learn(cells, seen))
 
 
 _PARTS = "doc_id bigint, kd bigint, kh bigint, n bigint, n_bytes bigint, n_known bigint, n_rare bigint, base double, bits double, model double, rare array<struct<token:binary,tf:bigint,leaf:boolean>>"
@@ -461,7 +462,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, model_of_bits = sent.value, learned.value
         for batch in batches:
-            for lo, hi, data, offsets in W.chunks(batch, "text", 1 << 18):
+            for lo, hi, data, offsets in W.chunks(batch, "text", PIECE):
                 cut = W.cut(data, offsets, lower=True)
                 bits = model_of_bits.log10(*_leaves(model_of_bits.code, cut))
                 raw = cut.data.tobytes()
