@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.operators import cascade, edi
+from tideline.operators import cascade, edi, registry
 from tideline.sources import json_docs, xml_docs
 from tideline.streaming import orders as order_trigger
 from tideline.streaming.replica import ReplicaLog
@@ -181,3 +181,15 @@ def test_state_is_bounded_by_live_records_and_the_window(spark, tmp_path):
         log.compact(low_water=at - dt.timedelta(days=1))
     assert rows(log.current(), "record_id") == [(f"keep{b}",) for b in range(6)]
     assert log.folded().count() == 6 + 2 * 11  # live ones; deletes and strays of the last two days
+
+
+def test_roles_by_a_shared_table_are_those_by_one_join_each(spark):
+    """Receivers that many partnerships share: missing, NULL and unknown ones, and a key that occurs twice."""
+    accounts = spark.createDataFrame([("a", "A"), ("b", "B")], "id string, name string")
+    lines = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (3, "x"), (4, "a"), (None, "b")], "k int, sender string")
+    deals = spark.createDataFrame([(1, "b"), (2, "y"), (3, None), (3, "a")], "k int, receiver string")
+    columns = ("k", "sender", "receiver", "sender_name", "receiver_name")
+    once = registry.with_roles(lines.join(deals, "k", "left"), accounts, "sender", "receiver", "id", ["name"])
+    shared = registry.with_roles(lines, accounts, "sender", "receiver", "id", ["name"], deals, "k")
+    assert rows(shared, *columns) == rows(once, *columns)
+    assert len(rows(shared)) == 7

@@ -46,13 +46,25 @@ def to_initialise(flags: DataFrame, name: str) -> DataFrame:
     return flags.filter(F.col("initialize")).select(name).distinct()
 
 
-def with_roles(partnerships: DataFrame, accounts: DataFrame, sender: str, receiver: str, account_id: str, attributes: Sequence[str]) -> DataFrame:
-    """Joins the account dimension twice, as sender and as receiver."""
-    result = partnerships
-    for role, column in (("sender", sender), ("receiver", receiver)):
+def with_roles(
+    partnerships: DataFrame, accounts: DataFrame, sender: str, receiver: str, account_id: str, attributes: Sequence[str],
+    shared: DataFrame | None = None, key: str | None = None,
+) -> DataFrame:
+    """Joins the account dimension twice, as sender and as receiver.
+
+    ``shared`` holds the receiver of many partnerships by ``key``: it takes its
+    role before it meets them, so the partnerships move once less.
+    """
+
+    def with_role(rows: DataFrame, role: str, column: str) -> DataFrame:
         side = accounts.select(F.col(account_id).alias(f"_{role}"), *[F.col(a).alias(f"{role}_{a}") for a in attributes])
-        result = result.join(side, result[column] == F.col(f"_{role}"), "left").drop(f"_{role}")
-    return result
+        return rows.join(side, rows[column] == F.col(f"_{role}"), "left").drop(f"_{role}")
+
+    sent = with_role(partnerships, "sender", sender)
+    if shared is None:
+        return with_role(sent, "receiver", receiver)
+    received = with_role(shared.withColumnRenamed(key, "_key"), "receiver", receiver)
+    return sent.join(received, sent[key] == F.col("_key"), "left").drop("_key")
 
 
 def reconcile_partners(partners: DataFrame, accounts: DataFrame, partner_type: str = PARTNER_TYPE) -> DataFrame:

@@ -424,12 +424,9 @@ def partnership_roles(spark, sf_dir):
     accounts = s.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")).unionByName(
         c.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
     )
-    deals = l.join(o, l.l_orderkey == o.o_orderkey, "left").select(
-        "l_orderkey", "l_linenumber", "l_partkey",
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("sender_id"),
-        F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("receiver_id"),
-    )
-    return registry.with_roles(deals, accounts, "sender_id", "receiver_id", "id", ["name", "nation"]).drop("sender_id", "receiver_id")
+    lines = l.select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("sender_id"))
+    deals = o.select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("receiver_id"))
+    return registry.with_roles(lines, accounts, "sender_id", "receiver_id", "id", ["name", "nation"], deals, "l_orderkey").drop("sender_id", "receiver_id")
 
 
 @query(
