@@ -75,3 +75,11 @@ def test_parts_together_are_one_document(spark, tmp_path, n, partitions):
     assert root.tag == "X" and [(int(r.find("k").text), r.find("s").text) for r in root] == want
     if n == 5000:
         assert len(glob.glob(str(tmp_path / "json" / "part-*"))) > 100
+
+
+def test_what_goes_out_is_read_from_the_ledger_without_another_shuffle(spark, tmp_path):
+    messages = _messages(spark, ["a", "b", "b"])
+    sent = outbox.send_due(messages, str(tmp_path / "sent"), spark.createDataFrame([], outbox.RESULTS), 1)
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and sent.columns == ["name", "message_key", "attempt"]
+    assert rows(sent, "name", "attempt") == [("a", 1), ("b", 1)]

@@ -1,9 +1,9 @@
 """Outgoing messages with acknowledgements: a ledger of what was sent, and what is due again.
 
 A message is known by a key made of its content, so the same message is sent once
-however often it is handed over.  The ledger is a folder with a part per run:
-(message_key, attempt) of what that run sent.  A run overwrites its own part, so
-one that is run again sends the same.
+however often it is handed over.  The ledger is a folder with a part per run: the
+messages that run sent, with (message_key, attempt).  A run overwrites its own part,
+so one that is run again sends the same.
 """
 
 from __future__ import annotations
@@ -69,11 +69,11 @@ def send_due(messages: DataFrame, ledger: str, results: DataFrame, run: int, max
     again = F.col("state") == FAILED
     if max_attempts is not None:
         again &= F.col("attempts") < max_attempts
-    due = joined.filter(F.col("_known").isNull() | again)
-    due.select("message_key", (F.coalesce("attempts", F.lit(0)) + 1).cast("int").alias("attempt")).write.mode("overwrite").parquet(f"{ledger}/run={run}")
+    attempt = (F.coalesce("attempts", F.lit(0)) + 1).cast("int").alias("attempt")
+    due = joined.filter(F.col("_known").isNull() | again).select(*messages.columns, attempt)
+    due.write.mode("overwrite").parquet(f"{ledger}/run={run}")
     # What was written is what goes out, also if results arrive meanwhile.
-    noted = spark.read.schema(LEDGER).parquet(f"{ledger}/run={run}")
-    return messages.dropDuplicates(["message_key"]).join(noted, "message_key")
+    return spark.read.schema(due.schema).parquet(f"{ledger}/run={run}")
 
 
 def outbox_report(messages: DataFrame, ledger: str, results: DataFrame, columns: Sequence[str]) -> DataFrame:
