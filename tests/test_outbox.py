@@ -83,3 +83,11 @@ def test_what_goes_out_is_read_from_the_ledger_without_another_shuffle(spark, tm
     plan = sent._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and sent.columns == ["name", "message_key", "attempt"]
     assert rows(sent, "name", "attempt") == [("a", 1), ("b", 1)]
+
+
+def test_packed_keys_come_back(spark):
+    keys = ["ab" * 32, "AB" * 32, "a", "", "é", None, "0" * 63]
+    df = spark.createDataFrame([(k,) for k in keys], "message_key string")
+    packed = df.select("message_key", outbox._packed(F.col("message_key")).alias("p"))
+    assert all(r[0] == r[1] for r in packed.select("message_key", outbox._unpacked(F.col("p")).alias("q")).collect())
+    assert packed.select("p").distinct().count() == len(keys)
