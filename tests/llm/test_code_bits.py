@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -129,3 +130,65 @@ def test_mixers_are_fitted_to_all_training_texts(spark, monkeypatch):
     leaves = [code.leaves_of(lm_score._hashes([w.encode() for w in t])) for t in train]
     assert found["bits"] == sum(int(size[own].sum()) + size[code_bits.END] for own in leaves)
     assert found["spelled"] == 8 * (sum(len(w) + 1 for w in {w for t in train for w in t}) + 1)
+
+
+@pytest.mark.parametrize("segment", [5, 1 << 17])
+def test_walk_tells_what_a_text_had_before_each_bit(segment, monkeypatch):
+    """Every bit of every token once, its text's earlier zeros and ones at the node, the slots of its contexts."""
+    monkeypatch.setattr(code_bits, "SEGMENT", segment)
+    code, _, _ = code_and_tables(tokens=400)
+    random = np.random.default_rng(3)
+    sizes = [0, 1, 4, 300, 0, 0, 2, 60, 0]
+    leaves, first = random.integers(0, 402, sum(sizes)), np.cumsum([0, *sizes])
+    got, want = [], []
+    for run in code_bits._runs(leaves, first, code.nodes):
+        for bits in code_bits.walk(code, run):
+            owner = run.text + np.repeat(np.arange(len(bits.first) - 1), np.diff(bits.first))
+            got += zip(*(a.tolist() for a in (owner, bits.node, bits.bit, bits.zeros, bits.ones, bits.anchor, bits.before)))
+    for text, (a, b) in enumerate(zip(first[:-1], first[1:])):
+        seen, before, anchor = {}, -1, -1
+        for leaf in leaves[a:b].tolist():
+            for k in range(code.first[leaf], code.first[leaf + 1]):
+                node, bit = int(code.node[k]), int(code.bit[k])
+                spread = code_bits._spread(np.array([node]))
+                slots = (int(code_bits._slot(code_bits._context(np.array([c]), salt), spread, 18)[0]) for c, salt in ((anchor, 7), (before, 11)))
+                want.append((text, node, bit, *seen.get(node, [0, 0]), *slots))
+                seen.setdefault(node, [0, 0])[bit] += 1
+            before, anchor = leaf, leaf if 2 <= leaf < 2 + code_bits.ANCHORS else anchor
+    assert sorted(got) == sorted(want)
+
+
+def test_leaves_are_found_where_hashes_share_their_first_bits():
+    random = np.random.default_rng(2)
+    hashes = np.unique(np.concatenate([random.integers(0, 50, 300).astype(np.uint64) + np.uint64(top) for top in (0, 7 << 40, 2**64 - 60, 2**63)]))
+    random.shuffle(hashes)
+    code = code_bits.build_code(hashes, np.full(len(hashes), 3), 1, 1)
+    assert code.leaves_of(hashes).tolist() == list(range(2, len(hashes) + 2))
+    others = np.setdiff1d(np.concatenate([hashes + np.uint64(50), random.integers(0, 2**63, 1000).astype(np.uint64)]), hashes)
+    assert (code.leaves_of(others) == code_bits.ESCAPE).all()
+
+
+def test_counting_a_piece_costs_its_bits_not_the_tables():
+    """A short piece is added where its bits are: nothing of the tables' size is made for it."""
+    code, tables, leaves = code_and_tables()
+    tracemalloc.start()
+    code_bits.count(code, tables, leaves[:20], np.array([0, 20]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < tables.anchor.nbytes / 10
+
+
+def test_base_of_tokens_with_and_without_a_leaf(spark, monkeypatch):
+    """Leaves meet their counts in the task, all but three of the other tokens by the join; empty texts have their end."""
+    monkeypatch.setattr(lm_score, "COMMON", 3)
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(300)) + " same same") for i in range(30)] + [(100, ""), (101, None)]
+    rows = {r["doc_id"]: r for r in lm_score.score_documents(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    train = [i for i, _ in texts if zlib.crc32(str(i).encode()) % 10]
+    kinds, n = 300 * sum(i < 100 for i in train) + 2, 302 * sum(i < 100 for i in train) + len(train)
+    below = math.log10(n + 0.1 * (kinds + 1))
+    same, ends = 2 * sum(i < 100 for i in train), len(train)
+    for i in range(30):
+        c = 1 if i in train else 0
+        want = 300 * (math.log10(c + 0.1) - below) + 2 * (math.log10(same + 0.1) - below) + math.log10(ends + 0.1) - below
+        assert rows[i]["base_score"] == pytest.approx(want) and rows[i]["n_known"] == 300 * c + 3 and rows[i]["n_tokens"] == 303
+    assert rows[101]["n_tokens"] == rows[100]["n_known"] == 1

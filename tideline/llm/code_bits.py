@@ -25,6 +25,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 
@@ -33,8 +34,9 @@ from . import words as W
 LEAVES = 1 << 16  # tokens with a leaf of their own
 ANCHORS = 256  # the most frequent ones, which the second context remembers
 BITS_ANCHOR, BITS_BEFORE = 18, 18
-SEGMENT = 1 << 15  # tokens of a text handled at once
-RUN = 1 << 14  # bits mixed at once: they stay in the caches
+BITS_HOME = 18  # of the look-up of leaves
+SEGMENT = 1 << 17  # tokens handled at once
+RUN = 1 << 15  # bits mixed at once: they stay in the caches
 END, ESCAPE = 0, 1  # leaf numbers; tokens follow
 INPUTS = 5
 GATES = 4 * 4 * 4
@@ -51,17 +53,37 @@ class Code:
     first: np.ndarray  # leaf l has the steps first[l]:first[l + 1]
     node: np.ndarray
     bit: np.ndarray
-    spread: np.ndarray  # node of each step, spread over 64 bits
+    step: np.ndarray  # 4 node + 2 bit + whether another step follows
+    home: np.ndarray  # open addressing by a hash's first bits: place in ``hashes`` + 1, or 0
 
     @property
     def nodes(self) -> int:
         return len(self.first)
 
     def leaves_of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(hashes), ESCAPE, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.leaf[at], ESCAPE)
+        out = np.full(len(hashes), ESCAPE, np.int64)
+        left, at = np.arange(len(hashes)), _home(hashes)
+        while len(left):
+            found = pick(self.home, at)
+            some = np.flatnonzero(found)
+            left, at, found = left[some], at[some], found[some] - 1
+            same = pick(self.hashes, found) == hashes[left]
+            out[left[same]] = pick(self.leaf, found[same])
+            left, at = left[~same], at[~same] + 1
+        return out
+
+
+def _home(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BITS_HOME)).view(np.int64)
+
+
+def _homes(hashes: np.ndarray) -> np.ndarray:
+    """The table of sorted hashes: each at the first free place from its home on."""
+    place = np.arange(len(hashes))
+    at = np.maximum.accumulate(_home(hashes) - place) + place if len(hashes) else place
+    table = np.zeros((1 << BITS_HOME) + len(hashes) + 1, np.int32)
+    table[at] = place + 1
+    return table
 
 
 def build_code(hashes: np.ndarray, counts: np.ndarray, ends: int, others: int) -> Code:
@@ -86,21 +108,42 @@ def build_code(hashes: np.ndarray, counts: np.ndarray, ends: int, others: int) -
     steps = [s for p in paths for s in p]
     first = np.cumsum([0, *map(len, paths)])
     by = np.argsort(hashes)
-    node = np.array([s[0] for s in steps], np.int32)
-    return Code(hashes[by], (by + 2).astype(np.int64), first, node, np.array([s[1] for s in steps], np.int8), _spread(node))
+    node, bit = np.array(steps, np.int32).T
+    step = node * 4 + bit * 2 + 1
+    step[first[1:] - 1] -= 1
+    return Code(hashes[by], (by + 2).astype(np.int64), first, node, bit.astype(np.int8), step, _homes(hashes[by]))
+
+
+@dataclass
+class Run:
+    """Tokens of a run of texts, text after text: leaves[first[i]:first[i + 1]]."""
+
+    leaves: np.ndarray
+    first: np.ndarray
+    anchor: np.ndarray  # hash of the last very frequent token before each, and of the token before
+    before: np.ndarray
+    held: np.ndarray | None  # what the only text had earlier, at 2 node + bit
+    text: int  # number of the first text
 
 
 @dataclass
-class Steps:
-    """The bits of a run of texts, text after text."""
+class Bits:
+    """The next bit of every token that is still on its way; those of one text and node stand together, in the text's order."""
 
-    owner: np.ndarray  # text of each bit
+    first: np.ndarray  # text i has the bits first[i]:first[i + 1]
     node: np.ndarray
     bit: np.ndarray
+    zeros: np.ndarray  # how often the text had a 0 and a 1 at the node before
+    ones: np.ndarray
     anchor: np.ndarray  # slot of (last very frequent token, node)
     before: np.ndarray  # slot of (token before, node)
 
 
+def pick(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """table[at] for places that are inside; numpy's check of each costs more than the reading."""
+    return table.take(at, mode="clip")
+
+
 def _spread(node: np.ndarray) -> np.ndarray:
     return (node.astype(np.uint64) + np.uint64(1)) * _C2
 
@@ -117,8 +160,8 @@ def _slot(context: np.ndarray, spread: np.ndarray, bits: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def steps_of(code: Code, leaves: np.ndarray, first: np.ndarray, before: int = -1, anchor: int = -1) -> Steps:
-    """Bits of texts whose leaves are leaves[first[i]:first[i + 1]]; ``before`` and ``anchor`` are the contexts the first text begins with."""
+def _run(leaves: np.ndarray, first: np.ndarray, text: int, before: int = -1, anchor: int = -1, held: np.ndarray | None = None) -> Run:
+    """``before`` and ``anchor`` are the contexts the first text begins with."""
     n = len(leaves)
     begins = first[:-1][np.diff(first) > 0]
     previous = np.empty(n, np.int64)
@@ -136,14 +179,60 @@ def steps_of(code: Code, leaves: np.ndarray, first: np.ndarray, before: int = -1
     anchors = np.where(inside, leaves[np.maximum(shifted, 0)], -1) if n else previous
     if n:
         anchors[(owner == owner[0]) & ~inside] = anchor
-    size = np.diff(code.first)[leaves]
-    total = int(size.sum())
-    at = np.repeat(code.first[leaves] - (np.cumsum(size) - size), size) + np.arange(total)
-    spread = code.spread[at]
-    return Steps(
-        np.repeat(owner.astype(np.int32), size), code.node[at], code.bit[at],
-        _slot(np.repeat(_context(anchors, 7), size), spread, BITS_ANCHOR), _slot(np.repeat(_context(previous, 11), size), spread, BITS_BEFORE),
-    )
+    return Run(leaves, first, _context(anchors, 7), _context(previous, 11), held, text)
+
+
+def walk(code: Code, run: Run) -> Iterator[Bits]:
+    """The bits of a run, one level of the tree after the other.
+
+    The tokens of a text at a node are parted, each side in its order, when they go
+    on to the next level; so what the text had at a node is a running sum, and
+    nothing is sorted.
+    """
+    at, first, size, anchor, before = pick(code.first, run.leaves), run.first, np.diff(run.first), run.anchor, run.before
+    begin, end = np.repeat(first[:-1], size), np.repeat(first[1:], size)  # of the text's tokens at the node
+    while len(at):
+        place = np.arange(len(at))
+        step = pick(code.step, at).astype(np.int64)
+        going = (step & 1).view(bool)[::8]
+        step >>= 1
+        bit = step & 1
+        node = step >> 1
+        sums = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(bit, out=sums[1:])
+        earlier = pick(sums, begin)
+        ones = sums[:-1] - earlier
+        zeros = place - begin
+        zeros -= ones
+        middle = end - pick(sums, end)
+        middle += earlier
+        # The zeros go to begin:middle, the ones to middle:end; by masks, which are faster than where.
+        mask = -bit
+        begin ^= (begin ^ middle) & mask
+        end ^= middle
+        end &= mask
+        end ^= middle
+        goal = (zeros ^ ones) & mask
+        goal ^= zeros
+        goal += begin
+        if run.held is not None:
+            zeros += run.held[node * 2]
+            ones += run.held[node * 2 + 1]
+            np.add.at(run.held, step, 1)
+        spread = _spread(node)
+        yield Bits(first, node, bit, zeros, ones, _slot(anchor, spread, BITS_ANCHOR), _slot(before, spread, BITS_BEFORE))
+        at += 1
+        order = np.empty(len(at), np.int64)
+        order[goal] = place
+        going = pick(going, order)
+        if not going.all():  # the tokens at a leaf are all there, and all their text's
+            order = pick(order, np.flatnonzero(going))
+            gone = np.zeros(len(at) + 1, np.int64)
+            np.cumsum(~going, out=gone[1:])
+            begin -= pick(gone, begin)
+            end -= pick(gone, end)
+            first = first - gone[first]
+        at, begin, end, anchor, before = (pick(a, order) for a in (at, begin, end, anchor, before))
 
 
 @dataclass
@@ -154,33 +243,25 @@ class Tables:
 
     @classmethod
     def empty(cls, nodes: int) -> "Tables":
-        return cls(*(np.zeros((n, 2), np.float32) for n in (nodes, 1 << BITS_ANCHOR, 1 << BITS_BEFORE)))
-
-    def add(self, steps: Steps) -> None:
-        for table, slot in ((self.node, steps.node), (self.anchor, steps.anchor), (self.before, steps.before)):
-            table += np.bincount(slot.astype(np.int64) * 2 + steps.bit, minlength=2 * len(table)).reshape(-1, 2).astype(np.float32)
-
-
-def seen_so_far(owner: np.ndarray, node: np.ndarray, bit: np.ndarray, nodes: int, held: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """For every bit, how often its text had a 0 and a 1 at that node before it; ``held`` is what the only text had earlier."""
-    places = len(node).bit_length()
-    # Sorting (text, node, place) as one number is faster than a stable sort of (text, node).
-    key = (owner.astype(np.int64) * nodes + node << places) | np.arange(len(node))
-    key.sort()
-    order = key & ((1 << places) - 1)
-    key >>= places
-    b = bit[order]
-    begins = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
-    size = np.diff(np.append(begins, len(key)))
-    ones = np.cumsum(b, dtype=np.int32) - b
-    n1 = ones - np.repeat(ones[begins], size)
-    n = np.arange(len(key), dtype=np.int32) - np.repeat(begins.astype(np.int32), size)
-    zeros_out, ones_out = np.empty(len(key), np.int32), np.empty(len(key), np.int32)
-    zeros_out[order], ones_out[order] = n - n1, n1
-    if held is not None:
-        zeros_out += held[node, 0].astype(np.int32)
-        ones_out += held[node, 1].astype(np.int32)
-    return zeros_out, ones_out
+        return cls(*(np.zeros((n, 2), np.int32) for n in (nodes, 1 << BITS_ANCHOR, 1 << BITS_BEFORE)))
+
+    def add(self, code: Code, run: Run) -> None:
+        sizes = np.diff(code.first)
+        for lo in range(0, len(run.leaves), RUN // 8):
+            part = slice(lo, lo + RUN // 8)
+            leaves = run.leaves[part]
+            size = pick(sizes, leaves)
+            at = np.repeat(pick(code.first, leaves) - (np.cumsum(size) - size), size)
+            at += np.arange(len(at))
+            step = pick(code.step, at) >> 1
+            step = step.astype(np.int64)
+            bit, spread = step & 1, _spread(step >> 1)
+            np.add.at(self.node.reshape(-1), step, np.int32(1))
+            for table, context, bits in ((self.anchor, run.anchor, BITS_ANCHOR), (self.before, run.before, BITS_BEFORE)):
+                slot = _slot(np.repeat(context[part], size), spread, bits)
+                slot *= 2
+                slot += bit
+                np.add.at(table.reshape(-1), slot, np.int32(1))
 
 
 _ADD = (0.1, 0.2, 0.2)  # added to the corpus counts of a node, after an anchor, after a token
@@ -197,39 +278,68 @@ def _log_odds(zeros: np.ndarray, ones: np.ndarray, add: float) -> np.ndarray:
     return np.clip(np.log((ones + add) / (zeros + add)), -9, 9)
 
 
+def _with_level(odds: np.ndarray, level: np.ndarray) -> np.ndarray:
+    return (odds.view(np.int32) & np.int32(-4) | level).view(np.float32)
+
+
+def _plain(odds: np.ndarray) -> np.ndarray:
+    return (odds.view(np.int32) & np.int32(-4)).view(np.float32)
+
+
 @dataclass
 class Read:
-    """What the predictors need of one table, per slot: log-odds (NaN where nothing is known) and level."""
+    """What the predictors need of one table, per slot: log-odds (NaN where nothing is known) and level.
+
+    The level stands in the last two bits of the log-odds, so that one reading brings both.
+    """
 
     odds: np.ndarray
-    level: np.ndarray
 
     @classmethod
     def of(cls, counts: np.ndarray, k: int) -> "Read":
         """``counts`` are (slot, bit), of table k: nodes, after an anchor, after a token."""
         known = counts.sum(axis=1)
-        odds = _log_odds(counts[:, 0], counts[:, 1], _ADD[k])
-        return cls(np.where((known > 0) | (k == 0), odds, np.float32(np.nan)), _level(known, _LEVELS[k - 1]) if k else np.zeros(len(counts), np.int8))
+        odds = _log_odds(counts[:, 0].astype(np.float32), counts[:, 1].astype(np.float32), _ADD[k])
+        return cls(_with_level(np.where((known > 0) | (k == 0), odds, np.float32(np.nan)), _level(known, _LEVELS[k - 1]) if k else np.int8(0)))
+
+    @property
+    def level(self) -> np.ndarray:
+        return self.odds.view(np.int32) & 3
 
     def at(self, slot: np.ndarray) -> "Read":
-        return Read(self.odds.take(slot), self.level.take(slot))
+        return Read(pick(self.odds, slot))
+
 
+def _own(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """What the text had so far, with its level as in ``Read``; 0 for nothing."""
+    if len(zeros) and zeros.dtype.kind == "i" and max(zeros.max(), ones.max()) < _NEAR:
+        at = zeros * _NEAR
+        at += ones
+        return pick(_near(), at)
+    zeros, ones = zeros.astype(np.float32), ones.astype(np.float32)
+    return _with_level(_log_odds(zeros, ones, 0.4), _level(zeros + ones, _LEVELS[2]))
 
-_OWN = np.log(np.arange(1 << 15) + 0.4).astype(np.float32)
 
+_NEAR = 1 << 10  # counts in a text below this are looked up
 
-def _own_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log-odds of what the text had so far; 0 for nothing."""
-    if len(zeros) and zeros.dtype.kind == "i" and max(zeros.max(), ones.max()) < len(_OWN):
-        return np.clip(_OWN.take(ones) - _OWN.take(zeros), -9, 9)
-    return _log_odds(zeros.astype(np.float32), ones.astype(np.float32), 0.4)
+
+@cache
+def _near() -> np.ndarray:
+    zeros, ones = (n.astype(np.float32) for n in np.divmod(np.arange(_NEAR * _NEAR), _NEAR))
+    return _own(zeros, ones)
 
 
 def inputs(corpus: list[Read], zeros: np.ndarray, ones: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """(log-odds of each predictor and a constant, gate)."""
-    base = corpus[0].odds
-    x = [base, *(np.where(np.isnan(c.odds), base, c.odds) for c in corpus[1:]), _own_odds(zeros, ones), np.full(len(base), 0.3, np.float32)]
-    return x, corpus[1].level.astype(np.int64) * 16 + corpus[2].level * 4 + _level(zeros + ones, _LEVELS[2])
+    base, own = corpus[0].odds, Read(_own(zeros, ones))
+    x = [base, *(c.odds.copy() for c in corpus[1:]), own.odds, np.full(len(base), 0.3, np.float32)]
+    for odds in x[1:3]:
+        np.copyto(odds, base, where=np.isnan(odds))
+    gate = corpus[1].level
+    for read in (corpus[2], own):
+        gate *= 4
+        gate += read.level
+    return x, gate.astype(np.int64)
 
 
 @dataclass
@@ -249,13 +359,13 @@ class BitMixer:
 
     def _steps(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         weights = np.ascontiguousarray(self.weights.T, np.float32)
-        z = weights[0].take(gate)
+        z = pick(weights[0], gate)
         z *= x[0]
-        for k in range(1, INPUTS):
-            part = weights[k].take(gate)
+        for k in range(1, INPUTS - 1):
+            part = pick(weights[k], gate)
             part *= x[k]
             z += part
-        z += np.float32(10)
+        z += pick(weights[INPUTS - 1] * np.float32(0.3) + np.float32(10), gate)
         z *= np.float32(FINE / 20)
         np.clip(z, 0, FINE - 1, out=z)
         step = z.astype(np.int64)
@@ -264,14 +374,14 @@ class BitMixer:
 
     def odds(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         """Log-odds of a one."""
-        return self.read[0].take(self._steps(x, gate))
+        return pick(self.read[0], self._steps(x, gate))
 
     def log10(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """log10 probability of each bit: of a one 1 / (1 + e^-odds), of a zero the rest."""
         step = self._steps(x, gate)
         step *= 2
         step += bit
-        return self.read[1].take(step)
+        return pick(self.read[1], step)
 
 
 def fit(x: np.ndarray, gate: np.ndarray, seen: np.ndarray, start: np.ndarray, steps: int, reach: float, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -328,12 +438,18 @@ _HALF = np.array([0.25, 0.8, 1.5, 2.3, 3.2, 4.4, 6.0])
 _BORDERS = np.concatenate([-_HALF[::-1], [0], _HALF])
 _NODE_BORDERS = np.array([-0.9, -0.35, -0.12, 0, 0.12, 0.35, 0.9])  # a Huffman node is even, nearly
 _PLACES = BINS ** np.arange(3, -1, -1)
-_NEAR = 1 << 8  # counts in a text up to here are looked up
 
 
 def _own_cells(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    known, odds = zeros + ones, _own_odds(zeros, ones)
-    return odds, np.searchsorted(_BORDERS, odds), _level(known, _LEVELS[2]).astype(np.int64)
+    own = Read(_own(zeros, ones))
+    odds = _plain(own.odds)
+    return odds, np.searchsorted(_BORDERS, odds), own.level.astype(np.int64)
+
+
+@cache
+def _near_cells() -> np.ndarray:
+    _, at, level = _own_cells(*np.divmod(np.arange(_NEAR * _NEAR), _NEAR))
+    return (level * _GATE + at).astype(np.int32)
 
 
 @dataclass
@@ -341,7 +457,6 @@ class Cells:
     """What each table adds to the cell of a bit, and what the text had; the tables are of other texts."""
 
     parts: list[np.ndarray]
-    own: np.ndarray  # at _NEAR zeros + ones
     sums: list[np.ndarray]  # of each input's log-odds and of their bits, by level and bin
 
     @classmethod
@@ -349,14 +464,14 @@ class Cells:
         parts, sums = [], []
         for k, counts in enumerate((tables.node, tables.anchor, tables.before)):
             read = Read.of(counts, k)
-            odds, level = np.nan_to_num(read.odds), read.level.astype(np.int64)
+            odds, level = np.nan_to_num(_plain(read.odds)), read.level.astype(np.int64)
             at = np.searchsorted(_BORDERS if k else _NODE_BORDERS, odds)
             parts.append((level * ((0, 16, 4)[k] * _GATE) + at * _PLACES[k]).astype(np.int32))
             sums.append(cls._sums(odds, level * BINS + at, counts.sum(axis=1)))
-        zeros, ones = np.divmod(np.arange(_NEAR * _NEAR), _NEAR)
+        zeros, ones = np.divmod(np.arange(1 << 16), 1 << 8)
         odds, at, level = _own_cells(zeros, ones)
         sums.append(cls._sums(odds, level * BINS + at, 1.0 / (1 + zeros + ones) ** 3))
-        return cls(parts, (level * _GATE + at).astype(np.int32), sums)
+        return cls(parts, sums)
 
     @staticmethod
     def _sums(odds: np.ndarray, group: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -364,22 +479,17 @@ class Cells:
 
     def count(self, code: Code, seen: np.ndarray, leaves: np.ndarray, first: np.ndarray) -> None:
         """Adds the bits of training texts to ``seen``, at 2 cell + bit."""
-        for steps, held, _ in _segments(code, leaves, first):
-            zeros, ones = seen_so_far(steps.owner, steps.node, steps.bit, code.nodes, held)
-            slots = steps.node, steps.anchor, steps.before
-            for lo in range(0, len(zeros), RUN):
-                run = slice(lo, lo + RUN)
-                n0, n1, bit = zeros[run], ones[run], steps.bit[run]
+        for run in _runs(leaves, first, code.nodes):
+            for bits in walk(code, run):
+                n0, n1 = bits.zeros, bits.ones
                 if max(n0.max(), n1.max()) < _NEAR:
-                    cell = self.own.take(n0 * _NEAR + n1)
+                    cell = pick(_near_cells(), n0 * _NEAR + n1)
                 else:
                     _, at, level = _own_cells(n0, n1)
                     cell = (level * _GATE + at).astype(np.int32)
-                for part, slot in zip(self.parts, slots):
-                    cell += part.take(slot[run])
-                cell *= 2
-                cell += bit
-                np.add.at(seen, cell, seen.dtype.type(1))
+                for part, slot in zip(self.parts, (bits.node, bits.anchor, bits.before)):
+                    cell += pick(part, slot)
+                np.add.at(seen, cell * np.int64(2) + bits.bit, seen.dtype.type(1))
 
     @staticmethod
     def learn(halves: list["Cells"], seen: np.ndarray) -> BitMixer:
@@ -397,20 +507,18 @@ class Cells:
         return BitMixer(*fit(x, gate, seen[cell], _START, STEPS, 10.0))
 
 
-def _segments(code: Code, leaves: np.ndarray, first: np.ndarray) -> Iterator[tuple[Steps, np.ndarray | None, int]]:
-    """(bits, counts held from before, number of the first text): short texts together, a long one piece by piece."""
+def _runs(leaves: np.ndarray, first: np.ndarray, nodes: int) -> Iterator[Run]:
+    """Short texts together, a long one piece by piece; a piece's bits are added to ``held`` by walking it."""
     text = 0
     while text < len(first) - 1:
         end = max(text + 1, int(np.searchsorted(first, first[text] + SEGMENT, "right")) - 1)
         if first[end] - first[text] <= SEGMENT:
-            yield steps_of(code, leaves[first[text] : first[end]], first[text : end + 1] - first[text]), None, text
+            yield _run(leaves[first[text] : first[end]], first[text : end + 1] - first[text], text)
         else:
-            held, before, anchor = np.zeros((code.nodes, 2), np.float32), -1, -1
+            held, before, anchor = np.zeros(2 * nodes, np.int64), -1, -1
             for lo in range(first[text], first[end], SEGMENT):
                 part = leaves[lo : min(lo + SEGMENT, first[end])]
-                steps = steps_of(code, part, np.array([0, len(part)]), before, anchor)
-                yield steps, held, text
-                held = held + np.bincount(steps.node.astype(np.int64) * 2 + steps.bit, minlength=2 * code.nodes).reshape(-1, 2).astype(np.float32)
+                yield _run(part, np.array([0, len(part)]), text, before, anchor, held)
                 before = int(part[-1])
                 anchors = part[(part >= 2) & (part < 2 + ANCHORS)]
                 anchor = int(anchors[-1]) if len(anchors) else anchor
@@ -418,17 +526,21 @@ def _segments(code: Code, leaves: np.ndarray, first: np.ndarray) -> Iterator[tup
 
 
 def count(code: Code, tables: Tables, leaves: np.ndarray, first: np.ndarray) -> None:
-    for steps, _, _ in _segments(code, leaves, first):
-        tables.add(steps)
+    for run in _runs(leaves, first, code.nodes):
+        tables.add(code, run)
 
 
 def describe(code: Code, tables: Tables, leaves: np.ndarray, first: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """(inputs, gate, bits) of training texts: a bit's own occurrence is taken out of the tables."""
-    for steps, held, _ in _segments(code, leaves, first):
-        mine = np.stack([1 - steps.bit, steps.bit], axis=1).astype(np.float32)
-        slots = (steps.node, steps.anchor, steps.before)
-        corpus = [Read.of(np.maximum(t[s] - mine, 0), k) for k, (t, s) in enumerate(zip((tables.node, tables.anchor, tables.before), slots))]
-        yield *inputs(corpus, *seen_so_far(steps.owner, steps.node, steps.bit, code.nodes, held)), steps.bit
+    """(inputs, gate, bits) of training texts, all at once: a bit's own occurrence is taken out of the tables."""
+    found = []
+    for bits in (bits for run in _runs(leaves, first, code.nodes) for bits in walk(code, run)):
+        mine = np.stack([1 - bits.bit, bits.bit], axis=1)
+        slots = zip((tables.node, tables.anchor, tables.before), (bits.node, bits.anchor, bits.before))
+        corpus = [Read.of(np.maximum(t[s] - mine, 0), k) for k, (t, s) in enumerate(slots)]
+        x, gate = inputs(corpus, bits.zeros, bits.ones)
+        found.append((*x, gate, bits.bit))
+    *x, gate, bit = (np.concatenate(part) for part in zip(*found))
+    yield x, gate, bit
 
 
 @dataclass
@@ -446,13 +558,13 @@ class Model:
     def log10(self, leaves: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 probability of the leaves of each text."""
         out = np.zeros(len(first) - 1)
-        for steps, held, text in _segments(self.code, leaves, first):
-            zeros, ones = seen_so_far(steps.owner, steps.node, steps.bit, self.code.nodes, held)
-            for lo in range(0, len(zeros), RUN):
-                run = slice(lo, lo + RUN)
-                corpus = [read.at(slot[run]) for read, slot in zip(self.reads, (steps.node, steps.anchor, steps.before))]
-                x, gate = inputs(corpus, zeros[run], ones[run])
-                owner = steps.owner[run]
-                found = np.bincount(owner - owner[0], self.mixer.log10(x, gate, steps.bit[run]))
-                out[text + owner[0] : text + owner[0] + len(found)] += found
+        for run in _runs(leaves, first, self.code.nodes):
+            for bits in walk(self.code, run):
+                found = np.empty(len(bits.bit))
+                for lo in range(0, len(found), RUN):
+                    part = slice(lo, lo + RUN)
+                    corpus = [read.at(slot[part]) for read, slot in zip(self.reads, (bits.node, bits.anchor, bits.before))]
+                    found[part] = self.mixer.log10(*inputs(corpus, bits.zeros[part], bits.ones[part]), bits.bit[part])
+                text = np.flatnonzero(np.diff(bits.first))
+                out[run.text + text] += np.add.reduceat(found, bits.first[text])
         return out

@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 from . import code_bits
 from . import words as W
 from .base import keyed, stored
+from .code_bits import pick
 
-PIECE = 1 << 17  # bytes of texts whose bits are handled at once
+PIECE = 1 << 19  # bytes of texts whose bits are handled at once
 COUNT_BLOCK = 1 << 12  # entries of a count table that travel together
 COMMON = 1 << 18  # tokens broadcast with their counts: 6 MB, whatever the corpus
 LOOKS_BACK = (1, 2, 3, 4, 8)  # bytes of the contexts; the sixth is the place alone
@@ -81,17 +82,22 @@ def _places(tokens: list[bytes], block: int) -> Iterator[tuple[np.ndarray, np.nd
         yield owner[at], flat[at].astype(np.uint64), contexts
 
 
-def _slots(byte: np.ndarray, contexts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _slots(byte: np.ndarray, contexts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """(bit, slots per order) for each of the eight bits of the bytes."""
     contexts = [W.mix(c + salt) for c, salt in zip(contexts, _SALTS)]
     node = np.ones(len(byte), np.uint64)
     for shift in range(7, -1, -1):
-        bit = (byte >> np.uint64(shift)) & np.uint64(1)
-        yield bit.astype(np.int64), np.stack([((c ^ (node * _C1)) * _C2 >> np.uint64(64 - TABLE_BITS)).astype(np.int64) for c in contexts])
+        bit, spread, slots = (byte >> np.uint64(shift)) & np.uint64(1), node * _C1, []
+        for c in contexts:
+            slot = c ^ spread
+            slot *= _C2
+            slot >>= np.uint64(64 - TABLE_BITS)
+            slots.append(slot.view(np.int64))
+        yield bit.view(np.int64), slots
         node = node * np.uint64(2) + bit
 
 
-def _bits(tokens: list[bytes], block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _bits(tokens: list[bytes], block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
     """(token, bit, slots per order) for each bit of each byte, over all places of all tokens at once."""
     for owner, byte, contexts in _places(tokens, block):
         for bit, slots in _slots(byte, contexts):
@@ -109,12 +115,12 @@ def _count_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Each token counts once: the bits are there to spell tokens that are new.
     """
-    tables = np.zeros((ORDERS, 2 << TABLE_BITS))
+    tables = np.zeros((ORDERS, 2 << TABLE_BITS), np.int32)
     for batch in batches:
         tokens = batch.column(0).to_pylist()
         for _, byte, contexts in _places(tokens, 1 << 17):
             group, byte, contexts = _alike(byte, contexts)
-            times = np.bincount(group).astype(float)
+            times = np.bincount(group).astype(np.int32)
             for bit, slots in _slots(byte, contexts):
                 for k in range(ORDERS):
                     np.add.at(tables[k], slots[k] * 2 + bit, times)
@@ -129,7 +135,7 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-            seen = np.frombuffer(counts.as_py())
+            seen = np.frombuffer(counts.as_py(), np.int32).astype(np.int64)
             total[block] = total[block] + seen if block in total else seen
     yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([t.astype(np.float32).tobytes() for t in total.values()], pa.binary())], ["block", "counts"])
 
@@ -181,18 +187,18 @@ class Mixer:
 
     def bits_log10(self, bit: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """log10 probability of each bit."""
-        gate = self.reads[0][1].take(slots[0])
+        gate = pick(self.reads[0][1], slots[0])
         for k in range(1, ORDERS):
-            np.maximum(gate, self.reads[k][1].take(slots[k]), out=gate)
+            np.maximum(gate, pick(self.reads[k][1], slots[k]), out=gate)
         gate = gate.astype(np.int64)
         weights, z = self.weights.astype(np.float32), np.full(len(bit), 12, np.float32)
         for k in range(ORDERS):
-            part = np.ascontiguousarray(weights[:, k]).take(gate)
-            part *= self.reads[k][0].take(slots[k])
+            part = pick(np.ascontiguousarray(weights[:, k]), gate)
+            part *= pick(self.reads[k][0], slots[k])
             z += part
         step = np.clip(z * np.float32(_FINE / 24), 0, _FINE - 1).astype(np.int64)
         step += gate * _FINE
-        return self.by_bit.take(step * 2 + bit)
+        return pick(self.by_bit, step * 2 + bit)
 
     def log10(self, tokens: list[bytes]) -> np.ndarray:
         """log10 probability of each token, with the sign that ends it."""
@@ -243,8 +249,8 @@ class Cells:
                     cell, gate = np.zeros(len(bit), np.int32), np.zeros(len(bit), np.int8)
                     for k in range(ORDERS):
                         at = slots[k] * 2 + bit
-                        cell += self.bins[k].take(at)
-                        np.maximum(gate, self.gates[k].take(at), out=gate)
+                        cell += pick(self.bins[k], at)
+                        np.maximum(gate, pick(self.gates[k], at), out=gate)
                     np.add.at(seen, ((gate & 3) * np.int64(_KINDS**ORDERS) + cell) * 2 + bit, times[part])
 
     def learn(self, tables: np.ndarray, seen: np.ndarray) -> Mixer:
@@ -268,6 +274,22 @@ def learn_mixer(tables: np.ndarray, tokens: list[bytes]) -> Mixer:
 # ---------------------------------------------------------------- counts
 
 
+def _begins(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def _tokens(cut: W.Words, at: np.ndarray) -> pa.Array:
+    """The words at these places, as a binary column."""
+    starts, size = cut.starts[at], cut.ends[at] - cut.starts[at]
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    data = cut.data[np.repeat(starts - offsets[:-1], size) + np.arange(offsets[-1])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
+
+
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, occurrences in training texts) per chunk; tokens of other texts come with 0."""
     for batch in batches:
@@ -276,12 +298,10 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             cut = W.cut(data, offsets, lower=True)
             if not len(cut.hashes):
                 continue
-            kinds, first, inverse = np.unique(cut.hashes, return_index=True, return_inverse=True)
-            weight = np.repeat(counts_in[lo:hi], np.diff(cut.first))
-            total = np.bincount(inverse, weights=weight, minlength=len(kinds)).astype(np.int64)
-            raw = cut.data.tobytes()
-            tokens = [raw[s:e] for s, e in zip(cut.starts[first].tolist(), cut.ends[first].tolist())]
-            yield pa.record_batch([pa.array(tokens, pa.binary()), pa.array(total)], ["token", "c"])
+            by = np.argsort(cut.hashes)
+            kinds = _begins(cut.hashes[by])
+            total = np.add.reduceat(np.repeat(counts_in[lo:hi], np.diff(cut.first))[by], kinds)
+            yield pa.record_batch([_tokens(cut, by[kinds]), pa.array(total)], ["token", "c"])
 
 
 def _log_gamma_ratio(x: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -308,8 +328,10 @@ def _urn(lp: np.ndarray, times: np.ndarray) -> np.ndarray:
 @dataclass
 class Common:
     hashes: np.ndarray  # sorted
-    counts: np.ndarray
+    known: np.ndarray
+    base: np.ndarray  # log10 of the base's probability
     lp: np.ndarray
+    leaf_base: np.ndarray  # by leaf, of the end too
 
 
 def _hashes(tokens: list[bytes]) -> np.ndarray:
@@ -388,7 +410,7 @@ def _learn_code(rows: DataFrame, code: code_bits.Code) -> code_bits.Model:
     return code_bits.Model.of(code, tables_of(counted.sum(axis=0)), code_bits.Cells.learn(cells, seen))
 
 
-_PARTS = "doc_id bigint, kd bigint, kh bigint, n bigint, n_bytes bigint, n_known bigint, n_rare bigint, base double, bits double, model double, rare array<struct<token:binary,tf:bigint,leaf:boolean>>"
+_PARTS = "doc_id bigint, kd bigint, kh bigint, n bigint, n_bytes bigint, n_known bigint, n_rare bigint, base double, bits double, model double, rare array<struct<token:binary,tf:bigint>>"
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -454,45 +476,50 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     mixed = stored(vocabulary.select("token", "c").mapInArrow(mix, "token binary, c bigint, lp double"), "mixed")
     top = mixed.orderBy(F.desc("c"), "token").limit(COMMON).toArrow()
-    hashes = _hashes(top.column("token").to_pylist())
+    hashes, seen = _hashes(top.column("token").to_pylist()), np.asarray(top.column("c"))
     by = np.argsort(hashes)
-    common = Common(hashes[by], np.asarray(top.column("c"))[by], np.asarray(top.column("lp"))[by])
-    sent = spark.sparkContext.broadcast(common)
+    base_of = lambda counts: np.log10(counts + 0.1) - below
+    leaf_base = base_of(np.concatenate([[ends, 0], with_leaf]))
+    sent = spark.sparkContext.broadcast(Common(hashes[by], seen[by] > 0, base_of(seen)[by], np.asarray(top.column("lp"))[by], leaf_base))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, model_of_bits = sent.value, learned.value
         for batch in batches:
             for lo, hi, data, offsets in W.chunks(batch, "text", PIECE):
                 cut = W.cut(data, offsets, lower=True)
-                bits = model_of_bits.log10(*_leaves(model_of_bits.code, cut))
-                raw = cut.data.tobytes()
-                out = []
-                for t in range(cut.texts):
-                    from_, to = cut.first[t], cut.first[t + 1]
-                    own, first, tf = np.unique(cut.hashes[from_:to], return_index=True, return_counts=True)
-                    at = np.minimum(np.searchsorted(c.hashes, own), max(len(c.hashes) - 1, 0))
-                    hit = c.hashes[at] == own if len(c.hashes) else np.zeros(len(own), bool)
-                    seen, times = c.counts[at[hit]] if len(c.hashes) else np.empty(0), tf[hit]
-                    base = float((times * (np.log10(seen + 0.1) - below)).sum()) + math.log10(ends + 0.1) - below
-                    leaf = model_of_bits.code.leaves_of(own) != code_bits.ESCAPE
-                    urn = hit & ~leaf
-                    model = float(_urn(c.lp[at[urn]], tf[urn].astype(float)).sum()) if urn.any() else 0.0
-                    rest = np.flatnonzero(~hit)
-                    s, e = cut.starts[from_ + first[rest]].tolist(), cut.ends[from_ + first[rest]].tolist()
-                    rare = [{"token": raw[a:b], "tf": k, "leaf": f} for a, b, k, f in zip(s, e, tf[rest].tolist(), leaf[rest].tolist())]
-                    out.append((int(to - from_) + 1, int(offsets[t + 1] - offsets[t]), int(times[seen > 0].sum()) + (ends > 0), int(tf[~leaf].sum()), base, float(bits[t]), model, rare))
-                kinds_ = [pa.int64()] * 4 + [pa.float64()] * 3 + [pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64()), ("leaf", pa.bool_())]))]
-                columns = [pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds_)]
+                leaves, first = _leaves(model_of_bits.code, cut)
+                bits = model_of_bits.log10(leaves, first)
+                leaf = leaves != code_bits.ESCAPE
+                base = np.add.reduceat(np.where(leaf, pick(c.leaf_base, leaves), 0.0), first[:-1])
+                n_known = np.add.reduceat(leaf.astype(np.int64), first[:-1]) - (ends == 0)
+                # Tokens without a leaf, each kind of a text once.
+                words = np.flatnonzero(~leaf)
+                owner = np.repeat(np.arange(cut.texts), np.diff(first))[words]
+                words -= owner  # a text's end is no word
+                own = cut.hashes[words]
+                by = np.lexsort((own, owner))
+                kinds = _begins(owner[by], own[by])
+                words, owner, own, tf = words[by[kinds]], owner[by[kinds]], own[by[kinds]], np.diff(np.append(kinds, len(by)))
+                at = np.minimum(np.searchsorted(c.hashes, own), max(len(c.hashes) - 1, 0))
+                hit = c.hashes[at] == own if len(c.hashes) else np.zeros(len(own), bool)
+                of, times, at = owner[hit], tf[hit].astype(float), at[hit]
+                base += np.bincount(of, times * c.base[at], cut.texts)
+                n_known += np.bincount(of, times * c.known[at], cut.texts).astype(np.int64)
+                model = np.bincount(of, _urn(c.lp[at], times), cut.texts).astype(float)  # counts, where nothing was hit
+                rest = np.flatnonzero(~hit)
+                tokens = pa.StructArray.from_arrays([_tokens(cut, words[rest]), pa.array(tf[rest])], ["token", "tf"])
+                borders = np.searchsorted(owner[rest], np.arange(cut.texts + 1)).astype(np.int32)
+                columns = [np.diff(first), np.diff(offsets), n_known, np.bincount(owner, tf, cut.texts).astype(np.int64), base, bits, model]
                 ids = [batch.column(k).slice(lo, hi - lo) for k in range(3)]
-                yield pa.record_batch(ids + columns, ["doc_id", "kd", "kh", "n", "n_bytes", "n_known", "n_rare", "base", "bits", "model", "rare"])
+                yield pa.record_batch([*ids, *map(pa.array, columns), pa.ListArray.from_arrays(borders, tokens)], ["doc_id", "kd", "kh", "n", "n_bytes", "n_known", "n_rare", "base", "bits", "model", "rare"])
 
     binary = rows.select("doc_id", "kd", "kh", F.col("text").cast("binary").alias("text"))
     partial = stored(binary.mapInArrow(parts, _PARTS), "texts")  # read twice, made once
     # The rest of the tokens meet their counts by a join.
-    rare = partial.select("kd", "kh", F.explode("rare").alias("r")).select("kd", "kh", "r.token", "r.tf", "r.leaf")
+    rare = partial.select("kd", "kh", F.explode("rare").alias("r")).select("kd", "kh", "r.token", "r.tf")
     first_log = F.lit(math.log(ADAPT)) + F.col("lp") * math.log(10)
     more = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.col("tf") - 1), F.lit(0.0), lambda a, j: a + F.log(F.exp(first_log) + j))
-    urn = F.when(F.col("leaf"), 0.0).when(F.col("tf") == 1, first_log).otherwise(first_log + more)
+    urn = F.when(F.col("tf") == 1, first_log).otherwise(first_log + more)
     found = rare.join(mixed, "token").groupBy("kd", "kh").agg(
         F.sum(F.col("tf") * (F.log10(F.col("c") + 0.1) - below)).alias("rare_base"), F.sum(urn).alias("rare_model"), F.sum(F.when(F.col("c") > 0, F.col("tf"))).alias("rare_known")
     )
